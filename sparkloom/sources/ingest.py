@@ -130,7 +130,8 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A table of inferred types with __row_id; malformed lines are kept as far as they parse."""
     # Spark opens the path, wherever it is; only the head's lines come to the driver
     head = "\n".join(r["value"] for r in spark.read.text(path).limit(2000).collect()).encode()
-    raw = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("c")).first()["c"])
+    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("c")).first()
+    raw = bytes(first["c"]) if first else b""  # an empty file has no row
     if file_type(raw) != "csv":
         raise ValueError(f"not a delimited text file ({file_type(raw)})")
     how = dialect(head[:SAMPLE_BYTES])
