@@ -17,6 +17,8 @@ never overlap base spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,22 +69,50 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is worked out once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running(items: Column, add: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``add`` puts out, walking the items from offset 0: add(at, item) gives (end, array of ``kind``).
+
+    The items are taken in about sqrt(n) chunks of as many items, so that what has been put out is copied
+    within its chunk only: n items cost n^1.5 copied references, not n^2.
+    """
+    none = F.array().cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        return once(add(acc["at"], x), lambda y: F.struct(y["end"].alias("at"), F.when(F.size(y["out"]) > 0, F.concat(acc["out"], y["out"])).otherwise(acc["out"]).alias("out")))
+
+    def chunk(acc: Column, xs: Column) -> Column:
+        own = F.aggregate(xs, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return once(own, lambda y: F.struct(y["at"].alias("at"), F.concat(acc["out"], F.array(y["out"])).alias("out")))
+
+    def walk(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / width).cast("int") - 1), lambda c: F.slice(xs, c * width + 1, width))
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(chunks, first, chunk, lambda acc: F.flatten(acc["out"]))
+
+    return once(items, lambda xs: F.when(F.size(xs) > 0, walk(xs)).otherwise(none))
+
+
 def spans(text: Column, kind: str, pattern: str) -> Column:
     """Valid matches in order, as (kind, start, end). Between the matches stand the pieces of a split, so
     lengths of pieces and matches add up to offsets."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).cast("long").alias("skip"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["skip"]
+    def add(at: Column, x: Column) -> Column:
+        a = at + x["skip"]
         b = a + F.coalesce(F.length(x["m"]), F.lit(0)).cast("long")
         found = F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"))).cast(SPAN)
         keep = x["m"].isNotNull() & valid(kind, x["m"])
-        return F.struct(b.alias("at"), F.when(keep, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        return F.struct(b.alias("end"), F.when(keep, found).otherwise(F.array().cast(SPAN)).alias("out"))
 
-    return F.aggregate(both, start, add, lambda acc: acc["out"])
+    return running(both, add, SPAN)
 
 
 def base_spans(text: Column) -> Column:
@@ -101,20 +131,22 @@ def instances(text: Column) -> Column:
     pattern = r"(?:(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(INSTANCE).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["p"]).cast("long")
-        b = a + F.coalesce(F.length(x["m"]), F.lit(0)).cast("long")
-        words = F.lower(F.regexp_extract(F.right(x["p"], F.lit(80)), r"([^\x20\x09-\x0D]+[\x20\x09]+[^\x20\x09-\x0D]+)[\x20\x09]+$", 1))
-        value = F.regexp_extract(x["m"], r"^[\"'(\[<]*+(.*?)[\"'),.;:!?\]>]*+$", 1)
-        lead = F.length(F.regexp_extract(x["m"], r"^([\"'(\[<]*+)", 1)).cast("long")
-        found = F.array(F.struct((a + lead).alias("start"), (a + lead + F.length(value)).alias("end"), value.alias("value"), words.alias("context"))).cast(INSTANCE)
-        keep = x["m"].isNotNull() & (F.length(value) > 0)
-        return F.struct(b.alias("at"), F.when(keep, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike("[0-9@]"), F.aggregate(both, start, add, lambda acc: acc["out"])).otherwise(none)
+    words = lambda p: F.lower(F.regexp_extract(F.right(p, F.lit(80)), r"([^\x20\x09-\x0D]+[\x20\x09]+[^\x20\x09-\x0D]+)[\x20\x09]+$", 1))
+    value = lambda m: F.regexp_extract(m, r"^[\"'(\[<]*+(.*?)[\"'),.;:!?\]>]*+$", 1)
+    lead = lambda m: F.length(F.regexp_extract(m, r"^([\"'(\[<]*+)", 1)).cast("long")
+    both = F.zip_with(
+        pieces,
+        matches,
+        lambda p, m: F.struct(F.length(p).cast("long").alias("skip"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("take"), lead(m).alias("lead"), value(m).alias("value"), words(p).alias("context")),
+    )
+
+    def add(at: Column, x: Column) -> Column:
+        a = at + x["skip"]
+        start = a + x["lead"]
+        found = F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["context"].alias("context"))).cast(INSTANCE)
+        return F.struct((a + x["take"]).alias("end"), F.when(F.length(x["value"]) > 0, found).otherwise(none).alias("out"))
+
+    return F.when(text.rlike("[0-9@]"), running(both, add, INSTANCE)).otherwise(none)
 
 
 def discover(seen: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame:
