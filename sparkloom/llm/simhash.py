@@ -164,18 +164,19 @@ def links(nodes: DataFrame, lanes: int, max_bits: int, min_bytes: int, block: in
     names = [f"fp{k}" for k in range(lanes)]
     family = key_family(min_bytes, width)
     keys = [_key(i, p) for i, p in enumerate(family)]
-    carried = names if lanes == 1 else []
+    carried = names if lanes == 1 else ["spread"]
+    nodes = nodes.withColumn("spread", F.xxhash64(*names))  # blocks follow the fingerprints, so that reruns agree
     split = F.explode(F.array(*[F.struct(F.lit(k).alias("lane"), F.col(n).alias("bytes")) for k, n in enumerate(names)])).alias("of")
     posted = nodes.select("node", *carried, split).select("node", *carried, "of.*").select("node", *carried, F.explode(F.array(*keys)).alias("key"))
     held = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = posted.join(held, "key").withColumn("blocks", F.ceil(F.col("n") / block))
-    met = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = met.withColumn("mine", F.pmod(F.xxhash64(*carried), F.col("blocks")))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.withColumn("part", F.least("mine", "with") * F.col("blocks") + F.greatest("mine", "with"))
     met = met.select("key", "part", "node", *carried)
-    if not carried:  # long fingerprints travel only for those that meet
+    if lanes > 1:  # long fingerprints travel only for those that meet
         met = met.join(nodes.select("node", *names), "node")
-    dealt = met.repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = met.select("key", "part", "node", *names).repartition("key", "part").sortWithinPartitions("key", "part", *names)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(whole: pd.DataFrame) -> pd.DataFrame:
