@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -122,10 +123,20 @@ def test_lm(odd):
         assert got[doc][1] == pytest.approx(total, rel=1e-9, abs=1e-9)
 
 
+def test_lm_slices_do_not_change_scores(odd, docs):
+    whole = {r["doc_id"]: (r["n_tokens"], round(r["log_prob"], 6)) for d in (odd, docs) for r in lm.score(d).collect()}
+    number = lm.Numberer(lm.vocabulary(lm.unigram_counts(odd)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["a b", None, "", "c " * 50, "d"]})
+    assert [(at, [len(x) for x in ids]) for at, ids in lm.slices(batch, number, 40)] == [(0, [2, 0, 0, 50]), (4, [1])]
+    assert {r["doc_id"]: (r["n_tokens"], round(r["log_prob"], 6)) for d in (odd, docs) for r in lm.score(d, slice_words=40).collect()} == whole
+
+
 def test_lm_vocabulary_and_packing(docs):
     small = lm.vocabulary(lm.unigram_counts(docs), size=50)
     assert 0 < len(small.hashes) <= 50 and small.counts.sum() == small.total
     keys, of = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 5000)), np.arange(5000) % 977
+    ids = np.array([7, -3, 1 << 62, lm.NO_ID, 0, 5], dtype=np.int64)
+    assert lm.unpack_ids(lm.pack_ids(ids)).tolist() == ids.tolist() and len(lm.unpack_ids(lm.pack_ids(ids[:0]))) == 0
     a, b = lm.unpack(*lm.pack(keys, of))
     assert (a == keys).all() and (b == of).all()
 
