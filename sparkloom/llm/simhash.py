@@ -35,6 +35,11 @@ from .components import components
 BLOCK = 2048
 #: From so many distinct fingerprints on, keys take one more byte, so that chance meetings stay rare.
 WIDE_FROM = 1 << 26
+#: Counters that order shingles by how common they are, and the rows they travel in. Any order gives the same links.
+COUNTERS = 1 << 21
+COUNTER_ROWS = 64
+#: 64-bit words of a shingle set's parity bitmap.
+PARITY = 8
 
 
 def shingles(text: bytes | None, words: int) -> list[bytes]:
@@ -228,6 +233,120 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, lan
     return both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
+def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How often shingles fall on each counter, about (a partition counts up to 65535)."""
+    width = COUNTERS // COUNTER_ROWS
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, dtype=np.uint32)
+        for batch in batches:
+            for text in byte_values(batch.column(1)):
+                h = np.unique(gram_hashes(shingles(text, words)))
+                np.add.at(n, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
+        if n.any():
+            rows = np.minimum(n, 65535).astype("<u2").reshape(COUNTER_ROWS, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_ROWS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(n, dtype="<u2").astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n.tobytes() for n in total.values()], pa.binary())], ["at", "n"])
+
+    out = np.zeros((COUNTER_ROWS, width), dtype=np.uint32)
+    for r in id_and_text(docs).mapInArrow(of, "at int, n binary").repartition("at").mapInArrow(add, "at int, n binary").collect():
+        out[r["at"]] = np.frombuffer(r["n"], dtype="<u4")
+    return out.ravel()
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, words: int, lanes: int, similarity: float) -> DataFrame:
+    """doc_id, fp0 (fp1, ...), size, p0 ... (parity of the shingles in each bit) and prefix of every row with words.
+
+    prefix holds the least common shingles, so many that two sets sharing ``similarity`` have one in common.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+    names = [*(f"fp{k}" for k in range(lanes)), "size", *(f"p{k}" for k in range(PARITY))]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = held.value
+        for batch in batches:
+            rows, ids, kept = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
+                h = np.unique(gram_hashes(list(set(shingles(text, words)))))
+                if not len(h):
+                    continue
+                order = np.lexsort((h, n[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+                parity = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                rows.append(np.r_[simhash(h, lanes), np.uint64(len(h)), np.packbits(parity.astype(bool), bitorder="little").view("<u8")])
+                ids.append(i)
+                kept.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].view("<i8"))
+            whole = np.array(rows, dtype="<u8").reshape(-1, len(names)).view("<i8")
+            columns = [pa.array(np.ascontiguousarray(whole[:, k])) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns, pa.array(kept, pa.list_(pa.int64()))], ["doc_id", *names, "prefix"])
+
+    return id_and_text(docs).mapInArrow(of, ", ".join(["doc_id long", *(f"{x} long" for x in names), "prefix array<long>"]))
+
+
+def _across(group: np.ndarray, component: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of different components whose sizes and parities allow the similarity; none that has it is left out."""
+    out = []
+    for k, a in enumerate(group[:-1].tolist()):
+        b = group[k + 1 :]
+        b = b[component[b] != component[a]]
+        both = size[b] + size[a]
+        differ = np.bitwise_count(parity[b] ^ parity[a]).sum(axis=1)  # no more than shingles in one set only
+        ok = (np.minimum(size[b], size[a]) >= similarity * np.maximum(size[b], size[a]) - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * both + 1e-6)
+        out += [(a, x) for x in b[ok].tolist()]
+    return out
+
+
+def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): every pair of nodes of different components (parts) that may share ``similarity`` of its shingles.
+
+    Nodes meet under each shingle of their prefixes, so no such pair is left out. Nodes without doc_id have no text.
+    """
+    names = [f"fp{k}" for k in range(lanes)]
+    carried = ["size", *(f"p{k}" for k in range(PARITY)), "component"]
+    owned = nodes.where("first IS NOT NULL").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = prefixes(docs, shingle_counts(docs, words), words, lanes, similarity).withColumnRenamed("doc_id", "first")
+    of = cut(of.join(owned, [*names, "first"]).select("node", *carried, "prefix").dropDuplicates(["node"]), "prefixes")
+    posted = of.select("node", "component", F.explode("prefix").alias("key"))
+    held = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
+    met = posted.join(held, "key").withColumn("blocks", F.ceil(F.col("n") / block))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.withColumn("part", F.least("mine", "with") * F.col("blocks") + F.greatest("mine", "with")).select("key", "part", "node")
+    dealt = met.join(of.select("node", *carried), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(whole: pd.DataFrame) -> pd.DataFrame:
+            node, key, part = (whole[c].to_numpy() for c in ("node", "key", "part"))
+            component, size = whole["component"].to_numpy(), whole["size"].to_numpy()
+            parity = np.ascontiguousarray(whole[carried[1:-1]].to_numpy(np.int64)).view(np.uint64)
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            out: list[tuple[int, int]] = []
+            for group in np.split(np.arange(len(whole)), new[1:]):
+                out += _across(group, component, size, parity, similarity)
+            both = np.sort(node[np.array(out, dtype=np.int64).reshape(-1, 2)], axis=1)
+            return pd.DataFrame({"a": both[:, 1], "b": both[:, 0]}).drop_duplicates()
+
+        rest: pd.DataFrame | None = None  # the last group may go on in the next batch
+        for batch in batches:
+            whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if whole.empty:
+                continue
+            last = (whole["key"] == whole["key"].iloc[-1]) & (whole["part"] == whole["part"].iloc[-1])
+            cut_at = int(np.argmax(last.to_numpy()))
+            rest = whole.iloc[cut_at:].reset_index(drop=True)
+            if cut_at:
+                yield found(whole.iloc[:cut_at].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield found(rest)
+
+    return dealt.mapInPandas(near, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 3, lanes: int = 1, max_bits: int = 3, min_bytes: int | None = None, block: int = BLOCK, wide_from: int = WIDE_FROM, sure_bits: int | None = None, similarity: float = 0.8
 ) -> DataFrame:
@@ -235,7 +354,8 @@ def near_duplicates(
 
     With one lane and up to 5 bits no link is lost. With more bits than bytes (as for texts that
     share 0.8 of their shingles) ``min_bytes`` is set by hand, and the index finds most such links.
-    With ``sure_bits`` shingles are distinct, and links of more bits are verified on the texts' shingles.
+    With ``sure_bits`` shingles are distinct, links of more bits are verified on the texts' shingles, and
+    so is every other pair that may share ``similarity`` of them: none is lost between texts with doc_id.
     """
     least = 8 - max_bits if min_bytes is None else min_bytes
     if least < 3:
@@ -248,6 +368,12 @@ def near_duplicates(
         edges = cut(edges, "edges")
         edges = edges.where("sure").select("a", "b").unionByName(similar(edges.where("NOT sure").select("a", "b"), nodes, docs, words, lanes, similarity))
     parts = components(edges.select("a", "b"))
+    if sure_bits is not None:
+        # what the index or its forests passed over: all pairs between the components so far, by their shingles
+        edges, parts = cut(edges, "sure-edges"), cut(parts, "parts")
+        more = cut(apart(nodes, parts, docs, words, lanes, similarity, block), "apart")
+        edges = edges.unionByName(similar(more, nodes, docs, words, lanes, similarity))
+        parts = components(edges)
     joined = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = cut(joined.join(ids, "component").select(*names, "component_id"), "classes")
@@ -260,7 +386,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 4, max_bi
     Four 64-bit lanes of distinct five-word shingles. Texts that share 0.8 of them differ in 39 of the 256
     bits, plus or minus 6; unrelated ones in 128, plus or minus 8. Up to 28 bits links hold as they are,
     up to 56 they are verified on the texts. The index finds 84 % of links of exactly 0.8 (some byte triple
-    of a lane must agree), 95 % at 0.85, 99 % at 0.9; rows without doc_id link by up to 28 bits only.
+    of a lane must agree), 95 % at 0.85, 99 % at 0.9; a second index over the texts' least common shingles
+    finds all that are left, verified likewise. Rows without doc_id link by up to 28 bits only.
     A doc_id names one document: its rows stay or go together. Rows without doc_id stay.
     """
     found = near_duplicates(docs, words, lanes, max_bits, min_bytes, sure_bits=sure_bits, similarity=similarity)

@@ -219,6 +219,34 @@ def test_near_copies_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
 
 
+def test_near_copies_match_brute_force(spark):
+    """Pairs of about 0.8, and families of three where only two are near enough: no link is lost."""
+    rng = np.random.default_rng(3)
+    texts = []
+
+    def changed(w, at):
+        return [f"x{rng.integers(0, 1 << 40)}" if i in at else x for i, x in enumerate(w)]
+
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+        texts += [base, changed(base, {20, 60, 100, 140})]  # 180 shingles of 220
+        first = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+        second = changed(first, {10, 40, 70, 100, 130, 160})
+        texts += [first, second, changed(second, {20, 55, 85, 115})]
+    for text in texts[:10]:
+        texts.append(changed(text, {5, 25, 45, 65, 85, 105}))  # below 0.8
+    texts = [" ".join(w) for w in texts]
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = [low if x == high else x for x in top]
+    kept = simhash.drop_near_duplicates(frame(spark, rows_of(texts)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(top))
+
+
 # 4 -------------------------------------------------------------------------------------------------
 
 
