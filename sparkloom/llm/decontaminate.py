@@ -98,7 +98,7 @@ def _blocks(benchmark: DataFrame, n: int, bound: int) -> list[list]:
 FOUND = "doc_id long, n_words long, hit_words array<int>, items array<long>"
 
 
-def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
+def _scan(docs: DataFrame, windows: Windows, key: str = "doc_id") -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,35 +106,36 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
             found = [held.value.hits(t) for t in byte_values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([m.tolist() for _, m, _ in found], pa.list_(pa.int32())), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "hit_words", "items"],
+                [key, "n_words", "hit_words", "items"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, FOUND)
+    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(scan, FOUND.replace("doc_id", key))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_words, hit_words (numbers of the hit words), items; one row for each row of docs.
+def _merged(rows: DataFrame, blocks: list, n: int) -> DataFrame:
+    """__row, n_words, hit_words and items of the rows that any block hits; each block is scanned on the whole text."""
+    parts = [cut(_scan(rows, Windows(block(), n), "__row").where("size(hit_words) > 0"), "hits") for block in blocks]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return every.groupBy("__row").agg(F.max("n_words").alias("n_words"), merge("hit_words"), merge("items"))
 
-    With several blocks rows that repeat a doc_id are told apart by their number of words alone.
-    """
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, n_words, hit_words (numbers of the hit words), items; one row for each row of docs."""
     blocks = _blocks(benchmark, n, bound)
-    parts = []
-    for block in blocks:
-        found = _scan(docs, Windows(block(), n))
-        parts.append(found if len(blocks) == 1 else cut(found if not parts else found.where("size(hit_words) > 0"), "hits"))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        more = part.dropDuplicates(["doc_id", "n_words", "hit_words", "items"]).groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hit_words")).alias("more_words"), F.flatten(F.collect_list("items")).alias("more_items"))
-        more = more.withColumnsRenamed({"doc_id": "__id", "n_words": "__n"})
-        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("n_words") == F.col("__n")), "left").select(
-            "doc_id",
-            "n_words",
-            F.array_sort(F.array_union("hit_words", F.coalesce("more_words", F.array().cast("array<int>")))).alias("hit_words"),
-            F.array_sort(F.array_union("items", F.coalesce("more_items", F.array().cast("array<bigint>")))).alias("items"),
-        )
-    return out
+    if len(blocks) == 1:
+        return _scan(docs, Windows(blocks[0](), n))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "rows")
+    counted = cut(_scan(rows, Windows([], n), "__row").select("__row", F.col("n_words").alias("__n")), "counted")
+    merged = cut(_merged(rows, blocks, n), "merged")
+    return (
+        rows.select("__row", "doc_id")
+        .join(counted, "__row")
+        .join(merged, "__row", "left")
+        .select("doc_id", F.col("__n").alias("n_words"), F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    )
 
 
 def remove_spans(text: bytes | None, mark: np.ndarray) -> bytes | None:
@@ -162,24 +163,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
         raise ValueError("remove: spans or documents")
     schema = docs.schema
     at = schema.fieldNames().index("text")
-    out = docs
-    for block in _blocks(benchmark, n, bound):
-        held = docs.sparkSession.sparkContext.broadcast(Windows(block(), n))
-
-        def scrub(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts, keep = byte_values(batch.column(at)), []
-                for i, text in enumerate(texts):
-                    total, mark, _ = held.value.hits(text)
-                    keep.append(not len(mark) or (remove == "spans" and len(mark) <= most * total))
-                    if keep[-1] and len(mark):
-                        texts[i] = remove_spans(text, mark)
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.column(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(scrub, schema)
-    return out
+    stays = lambda total, hit: not hit or (remove == "spans" and hit <= most * total)
+    blocks = _blocks(benchmark, n, bound)
+    several, width = len(blocks) > 1, len(schema)
+    if several:  # the hits of all blocks come first: the share and the cuts are those of the whole benchmark
+        rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        merged = cut(_merged(rows, blocks, n).select("__row", F.col("n_words").alias("__n"), F.col("hit_words").alias("__mark")), "merged")
+        source = rows.join(merged, "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__n", "__mark")
+    else:
+        source, held = docs, docs.sparkSession.sparkContext.broadcast(Windows(blocks[0](), n))
+
+    def marks(batch: pa.RecordBatch, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray]]:
+        if several:
+            for total, mark in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
+                yield total or 0, np.array(mark or [], dtype=np.int64)
+        else:
+            for text in texts:
+                yield held.value.hits(text)[:2]
+
+    def scrub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = byte_values(batch.column(at)), []
+            for i, (total, mark) in enumerate(marks(batch, list(texts))):
+                keep.append(stays(total, len(mark)))
+                if keep[-1] and len(mark):
+                    texts[i] = remove_spans(texts[i], mark)
+            columns = list(batch.columns)[:width]
+            columns[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
+
+    return source.mapInArrow(scrub, schema)
 
 
 def report(found: DataFrame) -> DataFrame:

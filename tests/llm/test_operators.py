@@ -304,6 +304,21 @@ def test_decontamination(spark, bound):
     assert sorted(r["doc_id"] for r in gone.collect()) == [1, 2, 5]
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 400])
+def test_decontamination_by_the_whole_benchmark(spark, bound):
+    """Blocks change nothing: the share is that of all items, spans of different items may overlap, and a cut makes no new hits."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(4))) for k in range(8)] + [(8, "i0w2 i0w3 tail more"), (9, "left right top end")]
+    whole = [t for _, t in items[:8]]
+    texts = ["clean " * 10 + " ".join(whole), "a b c d e f g h " + whole[0] + " tail more z", "start left right " + whole[3] + " top end stop " + "word " * 9, "dup " + whole[1] + " one two three four five", None]
+    docs = frame(spark, rows_of(texts, [0, 1, 2, 3, 4]) + rows_of(["dup x y z " + whole[2] + " six seven"], [3]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in decontaminate.decontaminate(docs, bench, n=4, bound=bound).collect())
+    want = ["a b c d e f g h  z", "start left right  top end stop " + "word " * 9, "dup  one two three four five", "dup x y z  six seven"]
+    assert got == Counter([(1, want[0]), (2, want[1]), (3, want[2]), (3, want[3]), (4, None)])
+    found = Counter((r["doc_id"], r["n_words"], tuple(r["hit_words"]), tuple(r["items"])) for r in decontaminate.find_hits(docs, bench, n=4, bound=bound).collect())
+    assert found == Counter((r["doc_id"], *(x if isinstance(x, int) else tuple(x) for x in hits_brute(r["text"], items, 4))) for r in docs.collect())
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 PII = {
