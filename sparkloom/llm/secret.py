@@ -1,8 +1,8 @@
 """Secret scans: dictionary-primed zstandard novelty.
 
 Base patterns find assignments, access keys and long hexadecimal strings. The method adds other
-strings: tokens with letters and digits on a line that names something sensitive. Each candidate is
-judged by its marginal compressed bytes: a zstandard compressor, primed with a dictionary of the
+strings: all long tokens on a line that names something sensitive, within ``AROUND`` bytes of such a
+name, or in a block that a key's header opens. Each candidate is judged by its marginal compressed bytes: a zstandard compressor, primed with a dictionary of the
 identifiers that stand around candidates in the whole corpus, compresses the surrounding code with
 and without the candidate. Words, names and repeated values cost little; what stays incompressible is
 reported.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, cut, id_and_text
 
-# The base patterns and the words that mark a line as sensitive.
+# The base patterns and the words that mark what stands around them as sensitive.
 KINDS = ("assign", "access", "hex", "novel")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SENSITIVE = (*KEYWORDS, b"passphrase", b"credential", b"private", b"auth", b"bearer", b"signature", b"akia")
@@ -31,6 +31,8 @@ ASSIGN = re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 WORD = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+NAMED = re.compile(b"|".join(SENSITIVE))
+KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]{0,64}-----(.*?)(?:-----END |\Z)", re.DOTALL)
 
 #: Code on either side of a candidate that the compressor sees.
 AROUND = 256
@@ -52,21 +54,44 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def sensitive_ranges(text: bytes) -> list[tuple[int, int]]:
+    """Disjoint ranges in order: ``AROUND`` bytes on either side of a sensitive word and the rest of its line, and key blocks."""
+    low, found = text.lower(), []
+    for m in NAMED.finditer(low):
+        if found and m.end() + AROUND <= found[-1][1]:
+            continue
+        end = text.find(b"\n", m.end())
+        found.append((min(max(0, m.start() - AROUND), text.rfind(b"\n", 0, m.start()) + 1), max(m.end() + AROUND, len(text) if end < 0 else end)))
+    found += [m.span(1) for m in KEY_BLOCK.finditer(text) if b"KEY" in text[m.start() : m.start(1)]]
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(found):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
 def other_candidates(text: bytes, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Tokens of letters and digits on sensitive lines, outside the base spans."""
-    low = text.lower()
-    if not any(k in low for k in SENSITIVE):
+    """Long tokens in sensitive ranges, also those that a range cuts, outside the base spans."""
+    ranges = sensitive_ranges(text)
+    if not ranges:
         return []
-    out, at = [], 0
-    for line in text.split(b"\n"):
-        own = line.lower()
-        if any(k in own for k in SENSITIVE):
-            for m in WORD.finditer(line):
-                a, b = at + m.start(), at + m.end()
-                token = m[0]
-                if any(48 <= c <= 57 for c in token) and any(c > 57 for c in token) and not any(x < b and a < y for _, x, y in base):
-                    out.append(("novel", a, b))
-        at += len(line) + 1
+    out, at, k = [], 0, 0
+    spans = sorted((x, y) for _, x, y in base)
+    ends = [y for _, y in spans]  # the furthest end so far, so that base spans may overlap
+    for i in range(1, len(ends)):
+        ends[i] = max(ends[i], ends[i - 1])
+    for m in WORD.finditer(text):
+        a, b = m.span()
+        while at < len(ranges) and ranges[at][1] <= a:
+            at += 1
+        if at == len(ranges):
+            break
+        while k < len(spans) and spans[k][0] < b:
+            k += 1
+        if ranges[at][0] < b and not (k and ends[k - 1] > a):
+            out.append(("novel", a, b))
     return out
 
 
@@ -101,17 +126,22 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def identifier_dictionary(found: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """The most frequent identifiers around all candidates, the most frequent last, where zstandard reaches them cheapest."""
+    """The identifiers around candidates of the most rows, the most frequent last, where zstandard reaches them cheapest.
+
+    Those of a single row are left out: pieces of a secret stand around the secrets next to it.
+    """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for spans in batch.column(0).to_pylist():
+                own: set[bytes] = set()
                 for s in spans:
-                    out += re.findall(rb"[A-Za-z_\x80-\xff]{3,32}", s["before"] + b" " + s["after"])
+                    own |= set(re.findall(rb"[A-Za-z_\x80-\xff]{3,32}", s["before"] + b" " + s["after"]))
+                out += own
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["word"])
 
-    counts = found.select("spans").mapInArrow(words, "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.select("spans").mapInArrow(words, "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "word").limit(size // 8).collect()
     out = b" ".join(bytes(r["word"]) for r in reversed(top))[-size:]
     return out if len(out) >= 8 else b"password secret token key value " + out

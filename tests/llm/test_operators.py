@@ -466,6 +466,24 @@ def test_secret_novelty(spark):
     assert got == {0: ["novel"], 1: [], 2: []}
 
 
+def test_secrets_on_neighbouring_lines(spark):
+    """Key blocks, values on the line after their name, and keys of letters alone are reported."""
+    rng = np.random.default_rng(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    drawn = lambda n, of: "".join(of[i] for i in rng.integers(0, len(of), n))
+    body = [drawn(64, letters + "0123456789+/") for _ in range(12)]
+    value, alone, far = drawn(40, letters + "0123456789"), drawn(40, letters), drawn(40, letters + "0123456789")
+    texts = [
+        "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body) + "\n-----END RSA PRIVATE KEY-----\n" + "plain words here\n" * 30 + far,
+        f"client_secret:\n  {value}\n",
+        f"use the credential {alone} here",
+        "the secretary wrote the words of the report and the words of the report",
+        None,
+    ]
+    got = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in secret.secrets(frame(spark, rows_of(texts))).collect()}
+    assert got == {0: body, 1: [value], 2: [alone], 3: [], 4: []}
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
