@@ -1,19 +1,23 @@
 """Language-model scoring by stupid backoff, over n-gram counts of the whole corpus.
 
 S(w | v) = c(v w) / c(v) where the bigram occurs at least ``min_count`` times, else ``backoff`` * c(w) / N.
-A document's score is the mean of log S over its words (the first word has c(w) / N).
+A document's log score is the sum of log S over its words (the first word has c(w) / N; a word that the
+corpus lacks counts as met once). All counts are exact, at any size of the corpus and its vocabulary.
 
-Unigrams are counted by hash and summed per partition; words below the vocabulary's threshold become
-one unknown word. Exploded bigrams and their count table are partitioned by the bigram's hash, so
-counting and joining happen in one exchange: a bucket counts its bigrams, joins each occurrence to
-its count, and sums per document; the sums of all buckets are then added up per document.
+The work is relational: documents are exploded to (bigram, doc_id, n), dealt by the bigram's hash;
+grouping them gives the bigram count table, which is joined back to them, and what the join finds is
+summed per document. When a corpus is scored by itself, count table and join read the same exchange.
 
-Occurrences travel packed: sorted 40-bit bigrams by byte plane, 16-bit document numbers, and the steps
-between document ids by byte plane. A task packs about ``SLICE_WORDS`` words at a time. Bigrams of two words that each make up over 1/512 of the corpus (at most 513 squared) are counted beforehand and
-broadcast, so no bucket can hold more than 1/512 of the corpus for one bigram.
+Three lists only decide which way a row takes, never what it counts:
 
-Defined cases: null and empty texts have no words and a null score; rows that repeat a doc_id (or have
-none) are scored as one document.
+* The most frequent words (at most ``size``) are numbered and broadcast. Two of them make a 40-bit
+  bigram, and a task knows their counts.
+* Other words keep their 63-bit hash, and their counts are joined from the unigram table.
+* Bigrams of two of the ``hot`` most frequent words are counted with a map-side combine and broadcast
+  (at most hot * hot counts). Any other bigram has a word of less than 1/hot of the corpus.
+
+Defined cases: null and empty texts have no words and a sum of 0; rows that repeat a doc_id (or have
+none) are scored as one document, and no bigram spans two rows.
 """
 
 from __future__ import annotations
@@ -26,33 +30,37 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, cut, id_and_text
 
-#: Largest vocabulary; the least count that a word needs rises until it fits. Sets the size of the broadcast.
-VOCABULARY = 1 << 18
-#: A word is hot above this share of all words.
-HOT = 512
-#: Bigrams of a bucket, about.
-PER_BUCKET = 2_000_000
-#: Words that a task holds at a time, about; a longer text is held by itself. And its most rows.
+#: Words that are numbered and broadcast, at most; a number has 20 bits. No score depends on it.
+SIZE = (1 << 20) - 1
+#: Words whose bigrams with each other are counted beforehand. No score depends on it.
+HOT = 1024
+#: Words that a task holds at a time, about (a longer text is held by itself), and its most rows.
 SLICE_WORDS = 500_000
 SLICE_ROWS = 20_000
+#: Words that a task remembers.
+CACHE = 300_000
 NO_ID = np.iinfo(np.int64).min
 
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """63 bits of each word's XXH64, as negative numbers: positive ones number the frequent words."""
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    return -(h >> np.uint64(1)).astype(np.int64) - 1
+
+
 def unigram_counts(docs: DataFrame) -> DataFrame:
-    """(h, n): count of every word of the corpus, by the word's XXH64."""
+    """(word, n): count of every word of the corpus, by ``word_keys``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            h = pa.array([xxhash.xxh64_intdigest(w) for w in held], pa.uint64()).cast(pa.int64(), safe=False) if held else pa.array([], pa.int64())
-            out = pa.RecordBatch.from_arrays([pa.array(np.asarray(h.to_numpy(zero_copy_only=False)).astype(np.int64)), pa.array(list(held.values()), pa.int64())], ["h", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(word_keys(list(held))), pa.array(list(held.values()), pa.int64())], ["word", "n"])
             held.clear()
             return out
 
@@ -63,57 +71,53 @@ def unigram_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = id_and_text(docs).select("text").mapInArrow(count, "h long, n long")
-    return rows.groupBy("h").agg(F.sum("n").alias("n"))
+    rows = id_and_text(docs).select("text").mapInArrow(count, "word long, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
-class Vocabulary:
-    """Word hashes in order, their numbers (1 is the most frequent, 0 unknown) and counts by number."""
+class Frequent:
+    """The most frequent words: keys in order, their numbers from 1 on by falling count, and log counts by number."""
 
-    hashes: np.ndarray
+    keys: np.ndarray
     numbers: np.ndarray
-    counts: np.ndarray
+    logs: np.ndarray
     total: int
 
-    @property
-    def hot(self) -> int:
-        """Numbers up to this one are hot; so is the unknown word."""
-        return int((self.counts[1:] * HOT > self.total).sum())
-
 
-def vocabulary(unigrams: DataFrame, size: int = VOCABULARY, min_count: int = 2) -> Vocabulary:
-    """The words of at least t occurrences, for the least t >= min_count with at most ``size`` such words."""
-    levels = unigrams.groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("all"))
-    above = Window.orderBy(F.desc("n"))
-    t = levels.where(F.col("n") >= min_count).withColumn("upto", F.sum("words").over(above)).where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    total = unigrams.agg(F.sum("n")).first()[0] or 0
-    kept = unigrams.where(F.col("n") >= t).toPandas() if t else pd.DataFrame({"h": [], "n": []}, dtype=np.int64)
-    h, n = kept["h"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)
-    order = np.lexsort((h, -n))
-    h, n = h[order], n[order]
-    by_hash = np.argsort(h)
-    return Vocabulary(h[by_hash], (by_hash + 1).astype(np.int64), np.r_[total - n.sum(), n].astype(np.int64), int(total))
+def frequent_words(unigrams: DataFrame, size: int = SIZE) -> Frequent:
+    """The words of at least t occurrences, for a t that leaves at most ``size`` of them."""
+    if size >= 1 << 20:
+        raise ValueError("word numbers have 20 bits")
+    level = F.floor(F.log2("n") * 16)
+    levels = sorted(unigrams.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
+    fits = np.cumsum([r["words"] for r in levels]) <= size
+    least = levels[int(fits.sum()) - 1]["level"] if fits.any() else None
+    kept = unigrams.where(level >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "n": []}, dtype=np.int64)
+    keys, n = kept["word"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
+    order = np.lexsort((keys, -n))
+    keys, n = keys[order], n[order]
+    by_key = np.argsort(keys)
+    return Frequent(keys[by_key], (by_key + 1).astype(np.int32), np.r_[0.0, np.log(n)], int(sum(r["n"] for r in levels)))
 
 
 class Numberer:
-    """Words of a text as vocabulary numbers, with a bounded cache of words seen."""
+    """Words of a text as numbers (frequent words) or negative keys (others), with a bounded memory of words seen."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, frequent: Frequent):
+        self.frequent = frequent
         self.cache: dict[bytes, int] = {}
 
     def _numbers(self, words: list[bytes]) -> list[int]:
-        v = self.vocabulary
-        if not len(v.hashes):
-            return [0] * len(words)
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-        at = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-        return np.where(v.hashes[at] == h, v.numbers[at], 0).tolist()
+        keys, f = word_keys(words), self.frequent
+        if not len(f.keys):
+            return keys.tolist()
+        at = np.minimum(np.searchsorted(f.keys, keys), len(f.keys) - 1)
+        return np.where(f.keys[at] == keys, f.numbers[at], keys).tolist()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         cache = self.cache
-        if len(cache) > 200_000:
+        if len(cache) > CACHE:
             cache.clear()
         words = (text or b"").lower().split()
         new = list(set(words).difference(cache))
@@ -122,138 +126,145 @@ class Numberer:
         return np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def slices(batch: pa.RecordBatch, number: Numberer, slice_words: int = SLICE_WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """First row and numbered texts of consecutive slices of a batch of (doc_id, text)."""
+def slices(batch: pa.RecordBatch, number: Numberer, slice_words: int = SLICE_WORDS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Document ids and numbered texts of consecutive slices of a batch of (doc_id, text)."""
+    names = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
     start, held, words = 0, [], 0
     for at, value in enumerate(batch.column(1)):
         text = value.as_buffer()
         held.append(number(text.to_pybytes() if text is not None else None))
         words += len(held[-1])
         if words >= slice_words or len(held) == SLICE_ROWS:
-            yield start, held
+            yield names[start : at + 1], held
             start, held, words = at + 1, [], 0
     if held:
-        yield start, held
+        yield names[start:], held
 
 
-def bigrams(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All bigrams of several texts (20 bits a word), and the number of each one's text."""
-    if not ids:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+def bigrams(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, second words and the numbers of the texts of all bigrams."""
     flat = np.concatenate(ids)
     of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     same = of[1:] == of[:-1]
-    return ((flat[:-1] << 20) | flat[1:])[same], of[1:][same]
-
-
-def log_scores(keys: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary, min_count: int, backoff: float) -> np.ndarray:
-    v, w = keys >> 20, keys & ((1 << 20) - 1)
-    seen = counts / np.maximum(1, vocabulary.counts[v])
-    return np.log(np.where(counts >= min_count, seen, backoff * vocabulary.counts[w] / max(1, vocabulary.total)))
-
-
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """64-bit values by byte plane, the lowest ``width`` of them, compressed."""
-    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _values(planes: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), dtype=np.uint8).reshape(width, -1)
-    out = np.zeros((raw.shape[1], 8), dtype=np.uint8)
-    out[:, :width] = raw.T
-    return out.view("<i8").ravel().astype(np.int64)
-
+    return flat[:-1][same], flat[1:][same], of[1:][same]
+
+
+def counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of several columns, in order of the first, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.r_[at, len(order)])
+
+
+class Counts:
+    """What the corpus gives: unigrams (DataFrame), frequent words and hot bigrams (broadcast), and its documents."""
+
+    def __init__(self, corpus: DataFrame, size: int = SIZE, hot: int = HOT, slice_words: int = SLICE_WORDS):
+        self.corpus, self.hot, self.slice_words, spark = corpus, hot, slice_words, corpus.sparkSession
+        self.unigrams = cut(unigram_counts(corpus), "unigrams")
+        frequent = frequent_words(self.unigrams, size)
+        self.total, self.frequent = frequent.total, spark.sparkContext.broadcast(frequent)
+        held = self.frequent
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = Numberer(held.value)
+            for batch in batches:
+                for _, ids in slices(batch, number, slice_words):
+                    v, w, _ = bigrams(ids)
+                    near = (np.minimum(v, w) > 0) & (np.maximum(v, w) <= hot)
+                    keys, n = np.unique(v[near] << 20 | w[near], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+
+        both = id_and_text(corpus).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+        self.hot_bigrams = spark.sparkContext.broadcast((both["key"].to_numpy(np.int64), both["n"].to_numpy(np.int64)))
+
+    def occurrences(self, docs: DataFrame) -> DataFrame:
+        """(key, other, doc, n) of every bigram that is not hot: number << 20 | number and 0, or the two words' keys."""
+        held, hot, slice_words = self.frequent, self.hot, self.slice_words
+
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = Numberer(held.value)
+            for batch in batches:
+                for names, ids in slices(batch, number, slice_words):
+                    v, w, of = bigrams(ids)
+                    far = (np.minimum(v, w) <= 0) | (np.maximum(v, w) > hot)
+                    v, w, of = v[far], w[far], of[far]
+                    known = np.minimum(v, w) > 0
+                    (of, key, other), n = counted(of, np.where(known, v << 20 | w, v), np.where(known, 0, w))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(names[of]), pa.array(n.astype(np.int32))], ["key", "other", "doc", "n"])
+
+        rows = id_and_text(docs).mapInArrow(explode, "key long, other long, doc long, n int")
+        return rows.repartition("key", "other")
+
+    def gains(self, key: Column, other: Column, n: Column, backoff: float) -> Column:
+        """What a bigram of n occurrences adds to the backed-off score, up to the counts of words that are not frequent."""
+        held = self.frequent
+
+        @F.pandas_udf("double")
+        def gain(key: pd.Series, other: pd.Series, n: pd.Series) -> pd.Series:
+            f, key, other = held.value, key.to_numpy(), other.to_numpy()
+            v, w = np.where(other == 0, key >> 20, np.maximum(key, 0)), np.where(other == 0, key & ((1 << 20) - 1), np.maximum(other, 0))
+            return pd.Series(np.log(n.to_numpy()) + np.log(f.total / backoff) - f.logs[v] - f.logs[w])
+
+        return gain(key, other, n)
+
+    def known_part(self, docs: DataFrame, min_count: int, backoff: float) -> DataFrame:
+        """(doc, word, n_tokens, value): of each document (word is null) the backed-off score of all words and the gains of
+        hot bigrams, up to the counts of its other words; and how often it needs the log count of each of these."""
+        held, hot, hot_bigrams, slice_words = self.frequent, self.hot, self.hot_bigrams, self.slice_words
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f, number = held.value, Numberer(held.value)
+            hot_keys, hot_n = hot_bigrams.value
+            for batch in batches:
+                for names, ids in slices(batch, number, slice_words):
+                    sizes = np.array([len(x) for x in ids])
+                    flat, of = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
+                    sums = np.bincount(of, weights=f.logs[np.maximum(flat, 0)], minlength=len(ids)).astype(np.float64)
+                    sums += sizes * np.log(backoff / max(1, f.total)) - np.log(backoff) * (sizes > 0)
+                    v, w, at = bigrams(ids)
+                    near = (np.minimum(v, w) > 0) & (np.maximum(v, w) <= hot)
+                    v, w, at = v[near], w[near], at[near]
+                    if len(hot_keys):
+                        place = np.minimum(np.searchsorted(hot_keys, v << 20 | w), len(hot_keys) - 1)
+                        n = np.where(hot_keys[place] == (v << 20 | w), hot_n[place], 0)
+                        gain = np.where(n >= min_count, np.log(np.maximum(n, 1)) + np.log(f.total / backoff) - f.logs[v] - f.logs[w], 0.0)
+                        sums += np.bincount(at, weights=gain, minlength=len(ids)).astype(np.float64)
+                    (doc, word), n = counted(of[flat < 0], flat[flat < 0])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.r_[names, names[doc]]),
+                            pa.array(np.r_[np.zeros(len(ids), dtype=np.int64), word], mask=np.r_[np.ones(len(ids), dtype=bool), np.zeros(len(word), dtype=bool)]),
+                            pa.array(np.r_[sizes, np.zeros(len(word), dtype=np.int64)].astype(np.int64)),
+                            pa.array(np.r_[sums, n.astype(np.float64)]),
+                        ],
+                        ["doc", "word", "n_tokens", "value"],
+                    )
+
+        return id_and_text(docs).mapInArrow(known, "doc long, word long, n_tokens long, value double")
+
+
+def score(docs: DataFrame, counts: Counts | None = None, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
+    """doc_id, n_tokens, log_prob (the sum of log S); by the counts of docs themselves, if none are given."""
+    counts = counts or Counts(docs)
+    known = cut(counts.known_part(docs, min_count, backoff), "known")
+    met = counts.occurrences(docs)
+    corpus = met if counts.corpus is docs else counts.occurrences(counts.corpus)
+    n = corpus.groupBy("key", "other").agg(F.sum("n").alias("c")).where(F.col("c") >= min_count)
+    table = n.select("key", "other", counts.gains(F.col("key"), F.col("other"), F.col("c"), backoff).alias("gain"))
+    # a bigram with a word that is not frequent also takes that word's log count off
+    part = lambda word, value: F.struct(word.cast("long").alias("word"), value.cast("double").alias("value"))
+    gain = part(F.lit(None), F.col("n") * F.col("gain"))
+    off = [part(F.when(F.col(c) < 0, F.col(c)), F.when(F.col(c) < 0, -F.col("n")).otherwise(0)) for c in ("key", "other")]
+    parts = F.explode(F.when(F.col("other") == 0, F.array(gain)).otherwise(F.array(gain, *off))).alias("p")
+    found = met.join(table, ["key", "other"]).select("doc", parts).groupBy("doc", "p.word").agg(F.sum("p.value").alias("value"))
+    found = cut(found, "bigrams-found")
+    every = known.unionByName(found.withColumn("n_tokens", F.lit(0).cast("long")))
+    needed = every.where("word is not null and value <> 0").join(counts.unigrams.withColumnRenamed("n", "c"), "word", "left")
+    needed = needed.select("doc", "n_tokens", (F.col("value") * F.log(F.coalesce("c", F.lit(1)))).alias("value"))
+    summed = every.where("word is null").drop("word").unionByName(needed).groupBy("doc").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("value").alias("log_prob"))
+    return summed.select(F.when(F.col("doc") != int(NO_ID), F.col("doc")).alias("doc_id"), "n_tokens", "log_prob")
 
-def pack(keys: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as five byte planes, and the 16-bit document numbers in their order."""
-    return _planes(keys, 5), docs.astype("<u2").tobytes()
-
-
-def unpack(keys: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return _values(keys, 5), np.frombuffer(docs, dtype="<u2").astype(np.int64)
-
-
-def pack_ids(ids: np.ndarray) -> bytes:
-    """Document ids as the byte planes of their steps, which are small where ids are in order."""
-    return _planes(np.diff(ids, prepend=0), 8)
-
-
-def unpack_ids(ids: bytes) -> np.ndarray:
-    return np.cumsum(_values(ids, 8))
-
-
-def score(docs: DataFrame, size: int = VOCABULARY, min_count: int = 2, backoff: float = 0.4, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """doc_id, n_tokens, log_prob (the sum of log S)."""
-    spark = docs.sparkSession
-    if size >= 1 << 20:
-        raise ValueError("word numbers have 20 bits")
-    unigrams = cut(unigram_counts(docs), "unigrams")
-    words = vocabulary(unigrams, size, min_count)
-    held = spark.sparkContext.broadcast(words)
-    hot = words.hot
-    texts = id_and_text(docs)
-
-    def count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numberer(held.value)
-        for batch in batches:
-            for _, ids in slices(batch, number, slice_words):
-                keys, _ = bigrams(ids)
-                keys, n = np.unique(keys[((keys >> 20) <= hot) & ((keys & ((1 << 20) - 1)) <= hot)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    both = texts.mapInArrow(count_hot, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toPandas()
-    hot_counts = spark.sparkContext.broadcast((both["key"].to_numpy(np.int64), both["n"].to_numpy(np.int64)))
-    buckets = max(32, words.total // PER_BUCKET)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        words, number = held.value, Numberer(held.value)
-        hot_keys, hot_n = hot_counts.value
-        for batch in batches:
-            all_names = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, ids in slices(batch, number, slice_words):
-                names = all_names[first : first + len(ids)]
-                keys, of = bigrams(ids)
-                near = ((keys >> 20) <= hot) & ((keys & ((1 << 20) - 1)) <= hot)
-                sums = np.array([np.log(words.counts[x[0]] / words.total) if len(x) else 0.0 for x in ids])
-                known = log_scores(keys[near], hot_n[np.searchsorted(hot_keys, keys[near])], words, min_count, backoff)
-                sums += np.bincount(of[near], weights=known, minlength=len(ids))
-                keys, of = keys[~near], of[~near]
-                bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-                order = np.lexsort((keys, bucket))
-                keys, of, bucket = keys[order], of[order], bucket[order]
-                new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, dtype=np.int64)
-                rows = {"bucket": [int(names[0]) % buckets], "docs": [names.tobytes()], "keys": [b""], "at": [b""], "base": [np.stack([[float(len(x)) for x in ids], sums], axis=1).tobytes()]}
-                for a, b in zip(new.tolist(), [*new[1:].tolist(), len(keys)][: len(new)], strict=True):
-                    own, at_own = np.unique(of[a:b], return_inverse=True)
-                    for name, x in zip(rows, (int(bucket[a]), pack_ids(names[own]), *pack(keys[a:b], at_own), b""), strict=True):
-                        rows[name].append(x)
-                yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("docs", "keys", "at", "base"))]))
-
-    def join(bucket: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, tokens, sums, base_ids = [], [], [], [], []
-        for docs_, keys_, at, base in zip(bucket["docs"], bucket["keys"], bucket["at"], bucket["base"], strict=True):
-            if base:
-                both = np.frombuffer(base, dtype=np.float64).reshape(-1, 2)
-                base_ids.append(np.frombuffer(docs_, dtype=np.int64))
-                tokens.append(both[:, 0])
-                sums.append(both[:, 1])
-            else:
-                key, at_own = unpack(keys_, at)
-                keys.append(key)
-                ids.append(unpack_ids(docs_)[at_own])
-        out = []
-        if keys:
-            key, of = np.concatenate(keys), np.concatenate(ids)
-            values, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-            each = log_scores(values, counts, held.value, min_count, backoff)[inverse]
-            docs_, at_doc = np.unique(of, return_inverse=True)
-            out.append(pd.DataFrame({"doc_id": docs_, "n_tokens": 0, "log_prob": np.bincount(at_doc, weights=each)}))
-        if base_ids:
-            out.append(pd.DataFrame({"doc_id": np.concatenate(base_ids), "n_tokens": np.concatenate(tokens).astype(np.int64), "log_prob": np.concatenate(sums)}))
-        return pd.concat(out, ignore_index=True)
-
-    exploded = texts.mapInArrow(explode, "bucket long, docs binary, keys binary, at binary, base binary")
-    parts = exploded.groupBy("bucket").applyInPandas(join, "doc_id long, n_tokens long, log_prob double")
-    summed = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
-    return summed.select(F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id")).alias("doc_id"), "n_tokens", "log_prob")

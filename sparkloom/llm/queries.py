@@ -97,13 +97,9 @@ FROM marked GROUP BY doc_id
 WITH words AS (
   SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 tokens AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
-unigrams AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
-levels AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS upto FROM unigrams WHERE n >= 2 GROUP BY n),
-known AS (SELECT word, n FROM unigrams WHERE n >= (SELECT min(n) FROM levels WHERE upto <= 262144)),
-numbered AS (SELECT t.doc_id, t.pos, coalesce(k.word, '') AS word FROM tokens t LEFT JOIN known k ON t.word = k.word),
-counts AS (SELECT word, count(*) AS n FROM numbered GROUP BY word),
+counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
 pairs AS (
-  SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM numbered),
+  SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tokens),
 bigrams AS (SELECT before, word, count(*) AS n FROM pairs WHERE before IS NOT NULL GROUP BY before, word),
 scored AS (
   SELECT p.doc_id,

@@ -97,48 +97,55 @@ def test_cuckoo_filter():
 # 2 -------------------------------------------------------------------------------------------------
 
 
-def test_lm(odd):
-    got = {r["doc_id"]: (r["n_tokens"], r["log_prob"]) for r in lm.score(odd).collect()}
-    texts = defaultdict(list)
-    for r in odd.collect():
-        texts[r["doc_id"]].append(words(r["text"]))
-    every = [w for parts in texts.values() for p in parts for w in p]
-    n = Counter(every)
-    known = {w for w, c in n.items() if c >= 2}
-    name = lambda w: w if w in known else None
-    c1 = Counter(map(name, every))
-    c2 = Counter((name(a), name(b)) for parts in texts.values() for p in parts for a, b in zip(p, p[1:], strict=False))
-    for doc, parts in texts.items():
-        total = 0.0
-        for p in parts:
-            p = list(map(name, p))
-            for i, w in enumerate(p):
-                if i == 0:
-                    total += np.log(c1[w] / len(every))
-                elif c2[p[i - 1], w] >= 2:
-                    total += np.log(c2[p[i - 1], w] / c1[p[i - 1]])
-                else:
-                    total += np.log(0.4 * c1[w] / len(every))
-        assert got[doc][0] == sum(map(len, parts))
-        assert got[doc][1] == pytest.approx(total, rel=1e-9, abs=1e-9)
-
-
-def test_lm_slices_do_not_change_scores(odd, docs):
-    whole = {r["doc_id"]: (r["n_tokens"], round(r["log_prob"], 6)) for d in (odd, docs) for r in lm.score(d).collect()}
-    number = lm.Numberer(lm.vocabulary(lm.unigram_counts(odd)))
+def lm_brute(rows, corpus):
+    """Sums of log S by document, counts from corpus."""
+    c1, c2 = Counter(), Counter()
+    for _, t in corpus:
+        w = words(t)
+        c1.update(w)
+        c2.update(zip(w, w[1:], strict=False))
+    total, out = sum(c1.values()), {}
+    for doc, t in rows:
+        w = words(t)
+        value = 0.0
+        for i, x in enumerate(w):
+            if i and c2[w[i - 1], x] >= 2:
+                value += np.log(c2[w[i - 1], x] / c1[w[i - 1]])
+            else:
+                value += np.log((0.4 if i else 1.0) * max(1, c1[x]) / total)
+        n, before = out.get(doc, (0, 0.0))
+        out[doc] = (n + len(w), before + value)
+    return out
+
+
+def lm_same(got, want):
+    got = {r["doc_id"]: (r["n_tokens"], r["log_prob"]) for r in got.collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert all(got[k][1] == pytest.approx(v, rel=1e-9, abs=1e-6) for k, (_, v) in want.items())
+
+
+@pytest.mark.parametrize("size,hot,slice_words", [((1 << 20) - 1, 1024, 500_000), (60, 8, 40), (0, 0, 1000)])
+def test_lm(odd, docs, size, hot, slice_words):
+    """The lists of frequent words and hot bigrams, and the slices, change no score."""
+    for df in (odd, docs):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        lm_same(lm.score(df, lm.Counts(df, size, hot, slice_words)), lm_brute(rows, rows))
+
+
+def test_lm_of_other_documents(spark, docs):
+    corpus = docs.where("doc_id % 3 <> 0")
+    texts = ["words that nobody wrote", None, "the the the of", "in the"]
+    others = docs.where("doc_id % 3 = 0").select("doc_id", "text").unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    of = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+    for counts in (lm.Counts(corpus), lm.Counts(corpus, 200, 16)):
+        lm_same(lm.score(others, counts), lm_brute(of(others), of(corpus)))
+
+
+def test_lm_slices(odd):
+    number = lm.Numberer(lm.frequent_words(lm.unigram_counts(odd)))
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["a b", None, "", "c " * 50, "d"]})
-    assert [(at, [len(x) for x in ids]) for at, ids in lm.slices(batch, number, 40)] == [(0, [2, 0, 0, 50]), (4, [1])]
-    assert {r["doc_id"]: (r["n_tokens"], round(r["log_prob"], 6)) for d in (odd, docs) for r in lm.score(d, slice_words=40).collect()} == whole
-
-
-def test_lm_vocabulary_and_packing(docs):
-    small = lm.vocabulary(lm.unigram_counts(docs), size=50)
-    assert 0 < len(small.hashes) <= 50 and small.counts.sum() == small.total
-    keys, of = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 5000)), np.arange(5000) % 977
-    ids = np.array([7, -3, 1 << 62, lm.NO_ID, 0, 5], dtype=np.int64)
-    assert lm.unpack_ids(lm.pack_ids(ids)).tolist() == ids.tolist() and len(lm.unpack_ids(lm.pack_ids(ids[:0]))) == 0
-    a, b = lm.unpack(*lm.pack(keys, of))
-    assert (a == keys).all() and (b == of).all()
+    assert [(at.tolist(), [len(x) for x in ids]) for at, ids in lm.slices(batch, number, 40)] == [([1, 2, 3, 4], [2, 0, 0, 50]), ([5], [1])]
+    assert len(lm.frequent_words(lm.unigram_counts(odd), 50).keys) <= 50
 
 
 # 3 -------------------------------------------------------------------------------------------------
