@@ -124,7 +124,7 @@ def lm_same(got, want):
     assert all(got[k][1] == pytest.approx(v, rel=1e-9, abs=1e-6) for k, (_, v) in want.items())
 
 
-@pytest.mark.parametrize("size,hot,slice_words", [((1 << 20) - 1, 1024, 500_000), (60, 8, 40), (0, 0, 1000)])
+@pytest.mark.parametrize("size,hot,slice_words", [(lm.SIZE, 1024, 500_000), (60, 8, 40), (0, 0, 1000)])
 def test_lm(odd, docs, size, hot, slice_words):
     """The lists of frequent words and hot bigrams, and the slices, change no score."""
     for df in (odd, docs):
@@ -148,6 +148,14 @@ def test_lm_slices(odd):
     assert len(lm.frequent_words(lm.unigram_counts(odd), 50).keys) <= 50
 
 
+def test_lm_packing():
+    keys, of = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 5000)), np.arange(5000) % 977
+    ids = np.array([7, -3, 1 << 62, lm.NO_ID, 0, 5], dtype=np.int64)
+    assert lm.unpack_ids(lm.pack_ids(ids)).tolist() == ids.tolist() and len(lm.unpack_ids(lm.pack_ids(ids[:0]))) == 0
+    a, b = lm.unpack(*lm.pack(keys, of))
+    assert (a == keys).all() and (b == of).all()
+
+
 # 3 -------------------------------------------------------------------------------------------------
 
 
