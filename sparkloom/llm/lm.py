@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,25 +132,47 @@ class Numberer:
         return np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def slices(batch: pa.RecordBatch, number: Numberer, slice_words: int = SLICE_WORDS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Document ids and numbered texts of consecutive slices of a batch of (doc_id, text)."""
-    names = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-    start, held, words = 0, [], 0
-    for at, value in enumerate(batch.column(1)):
-        text = value.as_buffer()
-        held.append(number(text.to_pybytes() if text is not None else None))
-        words += len(held[-1])
-        if words >= slice_words or len(held) == SLICE_ROWS:
-            yield names[start : at + 1], held
-            start, held, words = at + 1, [], 0
-    if held:
-        yield names[start:], held
+def numbered(docs: DataFrame, frequent: Broadcast, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """(doc, ids): the words of every row, written once; NO_ID for a null doc_id."""
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Numberer(frequent.value)
 
-def bigrams(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def rows(names: pa.Array, held: list[np.ndarray]) -> pa.RecordBatch:
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held)))
+            return pa.RecordBatch.from_arrays([names, ids], ["doc", "ids"])
+
+        for batch in batches:
+            names = batch.column(0).fill_null(int(NO_ID))
+            start, held, words = 0, [], 0
+            for at, value in enumerate(batch.column(1)):
+                text = value.as_buffer()
+                held.append(of(text.to_pybytes() if text is not None else None))
+                words += len(held[-1])
+                if words >= slice_words:
+                    yield rows(names[start : at + 1], held)
+                    start, held, words = at + 1, [], 0
+            if held:
+                yield rows(names[start:], held)
+
+    return cut(id_and_text(docs).mapInArrow(number, "doc long, ids array<long>"), "numbered")
+
+
+def slices(batches: Iterator[pa.RecordBatch], slice_words: int = SLICE_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document ids, words and sizes of consecutive slices of batches of (doc, ids)."""
+    for batch in batches:
+        names, ids = batch.column(0).to_numpy(), batch.column(1)
+        offsets, flat, start = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(zero_copy_only=False), 0
+        while start < len(names):
+            end = int(np.searchsorted(offsets, offsets[start] + slice_words, "left"))
+            end = min(max(end, start + 1), start + SLICE_ROWS, len(names))
+            yield names[start:end], flat[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1])
+            start = end
+
+
+def bigrams(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words, second words and the numbers of the texts of all bigrams."""
-    flat = np.concatenate(ids)
-    of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    of = np.repeat(np.arange(len(sizes)), sizes)
     same = of[1:] == of[:-1]
     return flat[:-1][same], flat[1:][same], of[1:][same]
 
@@ -200,53 +223,49 @@ COUNTED, SCORED, BOTH = 0, 1, 2
 
 
 class Counts:
-    """What the corpus gives: unigrams (DataFrame), frequent words and hot bigrams (broadcast), and its documents."""
+    """What the corpus gives: unigrams and its numbered words (DataFrames), frequent words and hot bigrams (broadcast)."""
 
     def __init__(self, corpus: DataFrame, size: int = SIZE, hot: int = HOT, slice_words: int = SLICE_WORDS):
-        self.corpus, self.hot, self.slice_words, spark = corpus, hot, slice_words, corpus.sparkSession
+        self.hot, self.slice_words, spark = hot, slice_words, corpus.sparkSession
         self.unigrams = cut(unigram_counts(corpus), "unigrams")
         frequent = frequent_words(self.unigrams, size)
         self.total, self.frequent = frequent.total, spark.sparkContext.broadcast(frequent)
-        held = self.frequent
+        self.words = numbered(corpus, self.frequent, slice_words)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = Numberer(held.value)
-            for batch in batches:
-                for _, ids in slices(batch, number, slice_words):
-                    v, w, _ = bigrams(ids)
-                    near = (np.minimum(v, w) > 0) & (np.maximum(v, w) <= hot)
-                    keys, n = np.unique(v[near] << 20 | w[near], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-        both = id_and_text(corpus).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+            for _, flat, sizes in slices(batches, slice_words):
+                v, w, _ = bigrams(flat, sizes)
+                near = (np.minimum(v, w) > 0) & (np.maximum(v, w) <= hot)
+                keys, n = np.unique(v[near] << 20 | w[near], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+
+        both = self.words.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
         self.hot_bigrams = spark.sparkContext.broadcast((both["key"].to_numpy(np.int64), both["n"].to_numpy(np.int64)))
 
-    def packed(self, docs: DataFrame, side: int) -> DataFrame:
+    def packed(self, words: DataFrame, side: int) -> DataFrame:
         """(bucket, side, docs, keys, at): the bigrams of frequent words that are not hot, packed."""
-        held, hot, slice_words, buckets = self.frequent, self.hot, self.slice_words, max(32, self.total // PER_BUCKET)
+        hot, slice_words, buckets = self.hot, self.slice_words, max(32, self.total // PER_BUCKET)
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = Numberer(held.value)
-            for batch in batches:
-                for names, ids in slices(batch, number, slice_words):
-                    v, w, of = bigrams(ids)
-                    far = (np.minimum(v, w) > 0) & (np.maximum(v, w) > hot)
-                    keys, of = v[far] << 20 | w[far], of[far]
-                    bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-                    order = np.lexsort((keys, bucket))
-                    keys, of, bucket = keys[order], of[order], bucket[order]
-                    ends = np.flatnonzero(np.diff(bucket, append=-1))
-                    rows: list[list] = [[], [], [], []]
-                    for a, b in zip([0, *(ends[:-1] + 1).tolist()], (ends + 1).tolist(), strict=False):
-                        own, at_own = np.unique(of[a:b], return_inverse=True)
-                        for out, x in zip(rows, (int(bucket[a]), pack_ids(names[own]), *pack(keys[a:b], at_own)), strict=True):
-                            out.append(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "docs", "keys", "at"])
-
-        rows = id_and_text(docs).mapInArrow(explode, "bucket long, docs binary, keys binary, at binary")
+            for names, flat, sizes in slices(batches, slice_words):
+                v, w, of = bigrams(flat, sizes)
+                far = (np.minimum(v, w) > 0) & (np.maximum(v, w) > hot)
+                keys, of = v[far] << 20 | w[far], of[far]
+                bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+                order = np.lexsort((keys, bucket))
+                keys, of, bucket = keys[order], of[order], bucket[order]
+                ends = np.flatnonzero(np.diff(bucket, append=-1))
+                rows: list[list] = [[], [], [], []]
+                for a, b in zip([0, *(ends[:-1] + 1).tolist()], (ends + 1).tolist(), strict=False):
+                    own, at_own = np.unique(of[a:b], return_inverse=True)
+                    for out, x in zip(rows, (int(bucket[a]), pack_ids(names[own]), *pack(keys[a:b], at_own)), strict=True):
+                        out.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])], ["bucket", "docs", "keys", "at"])
+
+        rows = words.mapInArrow(explode, "bucket long, docs binary, keys binary, at binary")
         return rows.withColumn("side", F.lit(side))
 
-    def frequent_gains(self, docs: DataFrame, min_count: int, backoff: float) -> DataFrame:
+    def frequent_gains(self, words: DataFrame, min_count: int, backoff: float) -> DataFrame:
         """(doc, value): what the packed bigrams add to the backed-off scores, a row for each bucket and document."""
         held = self.frequent
 
@@ -265,25 +284,23 @@ class Counts:
             docs_, at_doc = np.unique(of[side != COUNTED], return_inverse=True)
             return pd.DataFrame({"doc": docs_, "value": np.bincount(at_doc, weights=each[side != COUNTED], minlength=len(docs_))})
 
-        rows = self.packed(docs, BOTH) if docs is self.corpus else self.packed(docs, SCORED).unionByName(self.packed(self.corpus, COUNTED))
+        rows = self.packed(words, BOTH) if words is self.words else self.packed(words, SCORED).unionByName(self.packed(self.words, COUNTED))
         return rows.groupBy("bucket").applyInPandas(join, "doc long, value double")
 
-    def rare(self, docs: DataFrame) -> DataFrame:
+    def rare(self, words: DataFrame) -> DataFrame:
         """(v, w, doc, n) of every bigram with a word that is not frequent."""
-        held, slice_words = self.frequent, self.slice_words
+        slice_words = self.slice_words
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = Numberer(held.value)
-            for batch in batches:
-                for names, ids in slices(batch, number, slice_words):
-                    v, w, of = bigrams(ids)
-                    far = np.minimum(v, w) < 0
-                    (of, v, w), n = counted(of[far], v[far], w[far])
-                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(names[of]), pa.array(n.astype(np.int32))], ["v", "w", "doc", "n"])
+            for names, flat, sizes in slices(batches, slice_words):
+                v, w, of = bigrams(flat, sizes)
+                far = np.minimum(v, w) < 0
+                (of, v, w), n = counted(of[far], v[far], w[far])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(names[of]), pa.array(n.astype(np.int32))], ["v", "w", "doc", "n"])
 
-        return id_and_text(docs).mapInArrow(explode, "v long, w long, doc long, n int").repartition("v", "w")
+        return words.mapInArrow(explode, "v long, w long, doc long, n int").repartition("v", "w")
 
-    def rare_gains(self, docs: DataFrame, min_count: int, backoff: float) -> DataFrame:
+    def rare_gains(self, words: DataFrame, min_count: int, backoff: float) -> DataFrame:
         """(doc, word, value): what those bigrams add, less the log counts of words that are not frequent: value times each."""
         held = self.frequent
 
@@ -292,8 +309,8 @@ class Counts:
             f = held.value
             return pd.Series(np.log(n.to_numpy()) + np.log(f.total / backoff) - f.logs[np.maximum(v.to_numpy(), 0)] - f.logs[np.maximum(w.to_numpy(), 0)])
 
-        met = self.rare(docs)
-        corpus = met if docs is self.corpus else self.rare(self.corpus)
+        met = self.rare(words)
+        corpus = met if words is self.words else self.rare(self.words)
         counts = corpus.groupBy("v", "w").agg(F.sum("n").alias("c")).where(F.col("c") >= min_count)
         counts = counts.select("v", "w", gain("v", "w", "c").alias("gain"))
         part = lambda word, value: F.struct(word.cast("long").alias("word"), value.cast("double").alias("value"))
@@ -301,49 +318,49 @@ class Counts:
         parts = F.explode(F.array(part(F.lit(None), F.col("n") * F.col("gain")), *off)).alias("p")
         return met.join(counts, ["v", "w"]).select("doc", parts).groupBy("doc", "p.word").agg(F.sum("p.value").alias("value"))
 
-    def known_part(self, docs: DataFrame, min_count: int, backoff: float) -> DataFrame:
+    def known_part(self, words: DataFrame, min_count: int, backoff: float) -> DataFrame:
         """(doc, word, n_tokens, value): of each document (word is null) the backed-off score of all words and the gains of
         hot bigrams, up to the counts of its other words; and how often it needs the log count of each of these."""
         held, hot, hot_bigrams, slice_words = self.frequent, self.hot, self.hot_bigrams, self.slice_words
 
         def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f, number = held.value, Numberer(held.value)
+            f = held.value
             hot_keys, hot_n = hot_bigrams.value
-            for batch in batches:
-                for names, ids in slices(batch, number, slice_words):
-                    sizes = np.array([len(x) for x in ids])
-                    flat, of = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
-                    sums = np.bincount(of, weights=f.logs[np.maximum(flat, 0)], minlength=len(ids)).astype(np.float64)
-                    sums += sizes * np.log(backoff / max(1, f.total)) - np.log(backoff) * (sizes > 0)
-                    v, w, at = bigrams(ids)
-                    near = (np.minimum(v, w) > 0) & (np.maximum(v, w) <= hot)
-                    v, w, at = v[near], w[near], at[near]
-                    if len(hot_keys):
-                        place = np.minimum(np.searchsorted(hot_keys, v << 20 | w), len(hot_keys) - 1)
-                        n = np.where(hot_keys[place] == (v << 20 | w), hot_n[place], 0)
-                        gain = np.where(n >= min_count, np.log(np.maximum(n, 1)) + np.log(f.total / backoff) - f.logs[v] - f.logs[w], 0.0)
-                        sums += np.bincount(at, weights=gain, minlength=len(ids)).astype(np.float64)
-                    (doc, word), n = counted(of[flat < 0], flat[flat < 0])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.r_[names, names[doc]]),
-                            pa.array(np.r_[np.zeros(len(ids), dtype=np.int64), word], mask=np.r_[np.ones(len(ids), dtype=bool), np.zeros(len(word), dtype=bool)]),
-                            pa.array(np.r_[sizes, np.zeros(len(word), dtype=np.int64)].astype(np.int64)),
-                            pa.array(np.r_[sums, n.astype(np.float64)]),
-                        ],
-                        ["doc", "word", "n_tokens", "value"],
-                    )
-
-        return id_and_text(docs).mapInArrow(known, "doc long, word long, n_tokens long, value double")
+            for names, flat, sizes in slices(batches, slice_words):
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                sums = np.bincount(of, weights=f.logs[np.maximum(flat, 0)], minlength=len(sizes)).astype(np.float64)
+                sums += sizes * np.log(backoff / max(1, f.total)) - np.log(backoff) * (sizes > 0)
+                v, w, at = bigrams(flat, sizes)
+                near = (np.minimum(v, w) > 0) & (np.maximum(v, w) <= hot)
+                v, w, at = v[near], w[near], at[near]
+                if len(hot_keys):
+                    place = np.minimum(np.searchsorted(hot_keys, v << 20 | w), len(hot_keys) - 1)
+                    n = np.where(hot_keys[place] == (v << 20 | w), hot_n[place], 0)
+                    gain = np.where(n >= min_count, np.log(np.maximum(n, 1)) + np.log(f.total / backoff) - f.logs[v] - f.logs[w], 0.0)
+                    sums += np.bincount(at, weights=gain, minlength=len(sizes)).astype(np.float64)
+                (doc, word), n = counted(of[flat < 0], flat[flat < 0])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[names, names[doc]]),
+                        pa.array(np.r_[np.zeros(len(sizes), dtype=np.int64), word], mask=np.r_[np.ones(len(sizes), dtype=bool), np.zeros(len(word), dtype=bool)]),
+                        pa.array(np.r_[sizes, np.zeros(len(word), dtype=np.int64)].astype(np.int64)),
+                        pa.array(np.r_[sums, n.astype(np.float64)]),
+                    ],
+                    ["doc", "word", "n_tokens", "value"],
+                )
+
+        return words.mapInArrow(known, "doc long, word long, n_tokens long, value double")
 
 
 def score(docs: DataFrame, counts: Counts | None = None, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_tokens, log_prob (the sum of log S); by the counts of docs themselves, if none are given."""
+    words = numbered(docs, counts.frequent, counts.slice_words) if counts else None
     counts = counts or Counts(docs)
-    known = cut(counts.known_part(docs, min_count, backoff), "known")
-    found = cut(counts.rare_gains(docs, min_count, backoff), "rare-bigrams")
+    words = counts.words if words is None else words
+    known = cut(counts.known_part(words, min_count, backoff), "known")
+    found = cut(counts.rare_gains(words, min_count, backoff), "rare-bigrams")
     every = known.unionByName(found.withColumn("n_tokens", F.lit(0).cast("long")))
-    plain = counts.frequent_gains(docs, min_count, backoff).withColumn("n_tokens", F.lit(0).cast("long"))
+    plain = counts.frequent_gains(words, min_count, backoff).withColumn("n_tokens", F.lit(0).cast("long"))
     needed = every.where("word is not null and value <> 0").join(counts.unigrams.withColumnRenamed("n", "c"), "word", "left")
     needed = needed.select("doc", "n_tokens", (F.col("value") * F.log(F.coalesce("c", F.lit(1)))).alias("value"))
     summed = every.where("word is null").drop("word").unionByName(needed).unionByName(plain).groupBy("doc").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("value").alias("log_prob"))

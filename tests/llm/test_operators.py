@@ -142,10 +142,10 @@ def test_lm_of_other_documents(spark, docs):
 
 
 def test_lm_slices(odd):
-    number = lm.Numberer(lm.frequent_words(lm.unigram_counts(odd)))
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["a b", None, "", "c " * 50, "d"]})
-    assert [(at.tolist(), [len(x) for x in ids]) for at, ids in lm.slices(batch, number, 40)] == [([1, 2, 3, 4], [2, 0, 0, 50]), ([5], [1])]
     assert len(lm.frequent_words(lm.unigram_counts(odd), 50).keys) <= 50
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 2, 3, 4, 5], "ids": [[7, 8], [], [], [9] * 50, [7]]})
+    got = [(a.tolist(), len(b), c.tolist()) for a, b, c in lm.slices(iter([batch, batch.slice(3)]), 40)]
+    assert got == [([1, 2, 3, 4], 52, [2, 0, 0, 50]), ([5], 1, [1]), ([4], 50, [50]), ([5], 1, [1])]
 
 
 def test_lm_packing():
