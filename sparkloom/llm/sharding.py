@@ -5,9 +5,11 @@ remaining room that still holds them, found in a balanced tree of remaining capa
 number of shards the smallest capacity is sought for which the packing needs no more bins; with a
 given capacity the packing minimises the bins.
 
-The packing itself is sequential, so what enters it is bounded: groups above 1/4096 of the capacity
-enter one by one (at most 4096 of them fit a bin), all smaller ones in parcels, by their hash, in a
-fixed number of parcels. Parcel and group sizes are summed in Spark; no list of groups leaves it.
+The packing itself is sequential, so what enters it is bounded: groups of equal size are
+interchangeable, and only (size, number of groups) leaves Spark. There are at most sqrt(2 * bytes)
+different sizes, in practice as many as different lengths of text. Best fit puts equal items into the
+same bin until it is full, so a class enters in runs, one step for each bin it touches. The runs are
+dealt back to the groups by their rank within the class; a large class is ranked in buckets.
 
 Slots within a shard are dealt without sorting a whole shard in one task: rows fall into many
 buckets by hash, each bucket is numbered by itself, and the buckets' counts give the offsets.
@@ -20,14 +22,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
-PARCELS = 8192
-#: A group above this share of a shard is packed by itself.
-FINE = 4096
+#: Rows that are numbered in one group, about; larger sets are numbered in buckets.
+PER_BUCKET = 400_000
 
 
 class Room:
@@ -62,28 +65,54 @@ class Room:
         return None
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each item; items must come in decreasing size and fit the capacity."""
+def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """Runs (class, items, bin) in order; classes are (size, items) by decreasing size and fit the capacity."""
     room, out, bins = Room(), [], 0
-    for size in sizes:
-        found = room.take(size)
-        if found is None:
-            found, bins = (capacity, bins), bins + 1
-        room.add(found[0] - size, found[1])
-        out.append(found[1])
+    for at, (size, left) in enumerate(classes):
+        while left:
+            found = room.take(size)
+            if found is None:
+                found, bins = (capacity, bins), bins + 1
+            # of equal items the next one fits the same bin best until that is full
+            n = min(left, found[0] // size)
+            room.add(found[0] - n * size, found[1])
+            out.append((at, n, found[1]))
+            left -= n
     return out
 
 
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """The packing of least capacity that needs at most ``shards`` bins."""
-    low, high = max([*sizes[:1], -(-sum(sizes) // shards), 1]), max(1, sum(sizes))
-    while low < high:
-        middle = (low + high) // 2
-        if max(best_fit_decreasing(sizes, middle), default=0) < shards:
-            high = middle
+def pack(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """A packing into at most ``shards`` bins: of least capacity, as found by widening steps and halving."""
+    total = sum(size * n for size, n in classes)
+    low = max([*(size for size, _ in classes[:1]), -(-total // shards), 1])
+    fits = lambda runs: max((b for _, _, b in runs), default=0) < shards
+    step, best = 0, best_fit_decreasing(classes, low)
+    if fits(best):
+        return best
+    while not fits(best):
+        step = max(1, 2 * step)
+        best = best_fit_decreasing(classes, low + step)
+    short, high = low + step // 2, low + step
+    while high - short > 1:
+        middle = (short + high) // 2
+        runs = best_fit_decreasing(classes, middle)
+        if fits(runs):
+            high, best = middle, runs
         else:
-            low = middle + 1
-    return best_fit_decreasing(sizes, low)
+            short = middle
+    return best
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, count: Column | int) -> DataFrame:
+    """rows with ``at``: 0, 1, ... within each value of ``by`` (of ``count`` rows), without a task for a whole one."""
+    buckets = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(count) / PER_BUCKET) if isinstance(count, int) else F.ceil(count / PER_BUCKET))
+    rows = cut(rows.withColumn("bucket", F.pmod(F.xxhash64(order), buckets)), "to-number")
+    counts = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = small(cut(counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*by, "bucket", "offset"), "offsets"), 60)
+    own = Window.partitionBy(*by, "bucket").orderBy(order)
+    ranked = rows.withColumn("own", F.row_number().over(own) - 1).join(offsets, [*by, "bucket"])
+    return ranked.withColumn("at", (F.col("offset") + F.col("own")).cast("long")).drop("own", "offset", "bucket")
 
 
 def packed(docs: DataFrame, shards: int | None = 8, capacity: int | None = None) -> DataFrame:
@@ -92,47 +121,37 @@ def packed(docs: DataFrame, shards: int | None = 8, capacity: int | None = None)
     digest = F.unhex(F.sha2(text, 256))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.substring(digest, 1, 16).alias("of"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    room = capacity or max(1, total // (shards or 1))
-    groups = rows.groupBy("of").agg(F.sum("size").alias("size"))
-    item = F.when(F.col("size") > room / FINE, F.hex("of")).otherwise(F.concat(F.lit("p"), F.pmod(F.xxhash64("of"), F.lit(_parcels(total, room)))))
-    groups = cut(groups.select("of", "size", item.alias("item")), "groups")
-    items = sorted(((r["size"], r["item"]) for r in groups.groupBy("item").agg(F.sum("size").alias("size")).toLocalIterator()), key=lambda x: (-x[0], x[1]))
-    sizes = [s for s, _ in items]
+    groups = cut(rows.groupBy("of").agg(F.sum("size").alias("total")), "groups")
+    found = groups.groupBy("total").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("total", ascending=False)
+    classes = list(zip(found["total"].tolist(), found["n"].tolist(), strict=True))
     if capacity is None:
-        bins = pack(sizes, shards)
+        runs = pack(classes, shards)
     else:
-        if sizes and sizes[0] > capacity:
-            raise ValueError(f"a group of {sizes[0]} bytes is larger than a shard")
-        bins = best_fit_decreasing(sizes, capacity)
-    plan = rows.sparkSession.createDataFrame([(name, b) for (_, name), b in zip(items, bins, strict=True)], "item string, shard int")
-    # groups join rows by what few groups are not alone in their parcel's rule: the item is recomputed from the group's size
-    big = small(cut(groups.where(~F.col("item").startswith("p")).select("of", "item"), "large-groups"), 100)
-    parcel = F.concat(F.lit("p"), F.pmod(F.xxhash64("of"), F.lit(_parcels(total, room))))
-    placed = rows.join(big, "of", "left").withColumn("item", F.coalesce("item", parcel)).join(F.broadcast(plan), "item")
-    return with_slots(placed.select("doc_id", "size", "text_crc32", "shard", "row"))
-
-
-def _parcels(total: int, room: int) -> int:
-    """Parcels for each shard stay well below a shard's size."""
-    return PARCELS * max(1, min(64, -(-total // max(1, room)) // 64))
-
-
-def with_slots(placed: DataFrame) -> DataFrame:
-    """Numbers the rows of each shard from 0, without gaps and without a task for a whole shard."""
-    spark = placed.sparkSession
-    placed = cut(placed.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(_buckets(placed)))), "placed")
-    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = small(cut(counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "bucket", "offset"), "offsets"), 60)
-    own = Window.partitionBy("shard", "bucket").orderBy("row")
-    numbered = placed.withColumn("at", F.row_number().over(own) - 1).join(offsets, ["shard", "bucket"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("at")).cast("long").alias("slot"))
-
-
-def _buckets(placed: DataFrame) -> int:
-    """Buckets of a shard: a few times the tasks, and more with the rows."""
-    return max(64, placed.count() // 400_000)
+        if classes and classes[0][0] > capacity:
+            raise ValueError(f"a group of {classes[0][0]} bytes is larger than a shard")
+        runs = best_fit_decreasing(classes, capacity)
+    where = _runs(docs.sparkSession, classes, runs)
+    whole = small(where.where("n = of_class").select("total", "shard"), 32)
+    parts = small(where.where("n < of_class").select("total", "start", "n", "of_class", "shard"), 60)
+    split = groups.join(small(where.where("start = 0 and n < of_class").select("total", "of_class"), 32), "total")
+    split = numbered(split, ["total"], "of", F.col("of_class")).drop("of_class")
+    split = split.join(parts, (split["total"] == parts["total"]) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + F.col("n")))
+    placed = groups.join(whole, "total").select("of", "shard").unionByName(split.select("of", "shard"))
+    placed = rows.join(cut(placed, "placed-groups"), "of").select("doc_id", "size", "text_crc32", "shard", "row")
+    numbers = numbered(placed, ["shard"], "row", max(rows.count(), 64 * PER_BUCKET))
+    return numbers.select("doc_id", "size", "text_crc32", "shard", F.col("at").alias("slot"))
+
+
+def _runs(spark: SparkSession, classes: list[tuple[int, int]], runs: list[tuple[int, int, int]]) -> DataFrame:
+    """(total, start, n, of_class, shard): ranks start to start + n of a class go to the shard."""
+    out, last, start = [], -1, 0
+    for at, n, shard in runs:
+        start = start if at == last else 0
+        out.append((classes[at][0], start, n, classes[at][1], shard))
+        last, start = at, start + n
+    names = ["total", "start", "n", "of_class", "shard"]
+    frame = pd.DataFrame(out, columns=names).astype(np.int64)
+    return cut(spark.createDataFrame(frame, "total long, start long, n long, of_class long, shard long").withColumn("shard", F.col("shard").cast("int")), "runs")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int | None = 8, capacity: int | None = None) -> None:
