@@ -29,39 +29,24 @@ PER_SENDER = 1_000_000
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
-    """Rice parameter and coded gaps of sorted distinct unsigned numbers (the first from zero)."""
+    """Rice parameter and code of sorted distinct unsigned numbers (the first gap from zero): the remainders' bits of
+    all gaps come first, then their quotients in unary, so that both are read without a loop."""
     gaps = np.diff(values, prepend=np.uint64(0))
     mean = int(values[-1]) // max(1, len(values)) if len(values) else 1
     k = max(0, min(57, mean.bit_length() - 1))
-    quotient = (gaps >> np.uint64(k)).astype(np.int64)
-    ends = np.cumsum(quotient + 1 + k)
-    bits = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-    stop = ends - k - 1  # unary: quotient ones, then a zero
-    marks = np.zeros(len(bits) + 1, dtype=np.int8)
-    np.add.at(marks, stop - quotient, 1)
-    np.add.at(marks, stop, -1)
-    bits |= np.cumsum(marks[:-1]).astype(np.uint8)
-    for i in range(k):
-        bits[stop + 1 + i] = (gaps >> np.uint64(k - 1 - i)).astype(np.uint8) & 1
-    return k, np.packbits(bits).tobytes()
+    rest = ((gaps[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    ends = np.cumsum((gaps >> np.uint64(k)).astype(np.int64) + 1)
+    unary = np.ones(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    unary[ends - 1] = 0
+    return k, np.packbits(np.r_[rest.ravel(), unary]).tobytes()
 
 
 def golomb_decode(k: int, n: int, blob: bytes) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(blob, dtype=np.uint8))
-    zeros = np.flatnonzero(bits == 0).tolist()
-    gaps = np.empty(n, dtype=np.uint64)
-    at, z = 0, 0
-    stops = np.empty(n, dtype=np.int64)
-    for i in range(n):  # a zero in the remainder bits is skipped: the next code starts behind them
-        while zeros[z] < at:
-            z += 1
-        stops[i] = zeros[z]
-        gaps[i] = zeros[z] - at
-        at = zeros[z] + 1 + k
-    rest = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        rest = (rest << np.uint64(1)) | bits[stops + 1 + i].astype(np.uint64)
-    return np.cumsum((gaps << np.uint64(k)) | rest, dtype=np.uint64)
+    rest = bits[: n * k].reshape(n, k).astype(np.uint64) << np.arange(k, dtype=np.uint64)
+    stops = np.flatnonzero(bits[n * k :] == 0)[:n]
+    quotient = np.diff(stops, prepend=-1) - 1
+    return np.cumsum((quotient.astype(np.uint64) << np.uint64(k)) + rest.sum(axis=1, dtype=np.uint64), dtype=np.uint64)
 
 
 def _send(owners: int):
@@ -95,18 +80,17 @@ def _own(owner: pd.DataFrame) -> pd.DataFrame:
 
 
 def _suspects(owners: int):
-    """Rows of one sender that a bitmap, or the sender itself, marks."""
+    """Fingerprints of one sender that a bitmap, or the sender itself, marks."""
     width = (1 << 64) // owners
 
     def marked(rows: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
-        h = rows["h"].to_numpy(np.int64).view(np.uint64)
-        values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+        values, counts = np.unique(rows["h"].to_numpy(np.int64).view(np.uint64), return_counts=True)
         of = np.minimum(values // np.uint64(width), np.uint64(owners - 1)).astype(np.int64)
         mark = counts > 1
         for owner, bits in zip(maps["owner"], maps["bits"], strict=True):
             own = np.flatnonzero(of == owner)
             mark[own] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8))[: len(own)].astype(bool)
-        return rows[mark[inverse]][["doc_id", "h", "digest"]]
+        return pd.DataFrame({"h": values[mark].view(np.int64)})
 
     return marked
 
@@ -122,18 +106,17 @@ def equal_texts(docs: DataFrame) -> DataFrame:
     owners = max(8, -(-rows.count() // PER_OWNER))
     sent = rows.select("sender", "h").mapInPandas(_send(owners), "owner long, sender long, k int, n long, blob binary")
     bitmaps = sent.groupBy("owner").applyInPandas(_own, "sender long, owner long, bits binary")
-    suspects = rows.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_suspects(owners), "doc_id long, h long, digest binary")
-    suspects = cut(suspects, "suspects")
+    suspects = rows.select("sender", "h").groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInPandas(_suspects(owners), "h long")
+    wanted = small(cut(suspects.distinct(), "suspects"), 16)
 
-    # equal bytes, not equal hashes: one copy of each text leaves a task
-    wanted = small(cut(suspects.select("h").distinct(), "suspect-hashes"), 16)
+    # equal bytes, not equal hashes: one copy of each suspect text leaves a task
     checked = texts.withColumn("h", F.xxhash64("text")).join(wanted, "h", "left_semi")
     checked = checked.groupBy("h", "text").agg(F.count(F.lit(1)).alias("n"))
     checked = checked.select("h", F.unhex(F.sha2("text", 256)).alias("digest"), "n").groupBy("h", "digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     verified = cut(checked, "verified")
     if verified.where("texts > 1").limit(1).count():
         raise ArithmeticError("different texts share both a 64-bit hash and a SHA-256")
-    groups = rows.groupBy("h", "digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = rows.join(wanted, "h", "left_semi").groupBy("h", "digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     groups = cut(groups.join(verified.where("n > 1").select("h", "digest"), ["h", "digest"], "left_semi"), "copies")
     out = rows.join(small(groups, 80), ["h", "digest"], "left")
     return out.select(
