@@ -12,6 +12,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The ASCII white space of the operators' contracts: \x20 and \x09 to \x0D.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -21,9 +22,11 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. Where the session names none, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-loom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -54,10 +57,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows fit the bound; else Spark shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES // 4 else df
+    """A written table, marked for broadcast if its rows fit the bound; else Spark shuffles. A row counts with
+    ``row_bytes``, and with the measured length of its strings and the items of its arrays."""
+    sizes = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    sizes += [F.greatest(F.size(f.name), F.lit(0)) * 48 for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    each = sum((F.coalesce(x.cast("long"), F.lit(0)) for x in sizes), F.lit(row_bytes).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES // 4 else df

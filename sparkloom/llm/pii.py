@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame operations only.
 
 Seeds are the base patterns' matches: e-mail and IP addresses, card and phone numbers. Every
-identifier-like token (one with a digit or an @) is an instance; the two words before it are its
-lexical pattern. Patterns and instances form a graph, scored in rounds: a pattern's confidence for a
-kind is the mean confidence of the instances it introduces (damped for few of them), an instance's is
-the noisy-or of its patterns'. Patterns that introduce enough seeds with high confidence then discover
-identifiers which no base pattern matches.
+identifier-like token (one with a digit or an @) is an instance; the word before it, and the two words
+before it, are its lexical patterns. A line break counts as a word, as does the start of the text.
+Patterns and instances form a graph, scored in rounds: a pattern's confidence for a kind is the mean
+confidence of the instances it introduces (damped for few of them, more so for one word), an instance's
+is the noisy-or of its patterns'. A pattern acts when it introduces enough seeds, or instances believed
+in the round before; with high confidence it discovers identifiers that no base pattern matches.
 
 Offsets are code points, ends exclusive. The text is scanned once; only identifiers and the two words
 before them are shuffled, counted before they move. Quantifiers are possessive, and starts within a run
@@ -122,50 +123,62 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(has[k], spans(text, k, PATTERNS[k])).otherwise(none) for k in KINDS])
 
 
-INSTANCE = "array<struct<start:bigint,end:bigint,value:string,context:string>>"
+INSTANCE = "array<struct<start:bigint,end:bigint,value:string,contexts:array<string>>>"
+#: The line break as a word, and characters before an instance in which its two words are looked for.
+BREAK, BEFORE = "\u00b6", 256
+#: Damping of patterns of two words and of one.
+DAMP = (0.25, 1.0)
 
 
 def instances(text: Column) -> Column:
-    """Identifier-like tokens with the two words before them: (start, end, value, context)."""
+    """Identifier-like tokens with the two words and the one word before them: (start, end, value, contexts)."""
     none = F.array().cast(INSTANCE)
     pattern = r"(?:(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    words = lambda p: F.lower(F.regexp_extract(F.right(p, F.lit(80)), r"([^\x20\x09-\x0D]+[\x20\x09]+[^\x20\x09-\x0D]+)[\x20\x09]+$", 1))
+    # what stands before the k-th match: the match before it and the piece between them
+    earlier = F.concat(F.array(F.lit("")), matches)
+
+    def contexts(before: Column) -> Column:
+        broken = F.regexp_replace(F.right(before, F.lit(BEFORE)), r"[\x20\x09-\x0D]*[\n\r][\x20\x09-\x0D]*", f" {BREAK} ")
+        padded = F.lower(F.concat(F.lit(f"{BREAK} {BREAK} "), broken))
+        two = F.regexp_extract(padded, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 0)
+        return once(F.regexp_extract_all(two, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.array(F.array_join(w, " "), F.try_element_at(w, F.lit(2))))
+
     value = lambda m: F.regexp_extract(m, r"^[\"'(\[<]*+(.*?)[\"'),.;:!?\]>]*+$", 1)
     lead = lambda m: F.length(F.regexp_extract(m, r"^([\"'(\[<]*+)", 1)).cast("long")
+    before = F.zip_with(earlier, pieces, lambda e, p: F.struct(F.length(p).cast("long").alias("skip"), contexts(F.concat(F.coalesce(F.right(e, F.lit(BEFORE)), F.lit("")), F.right(p, F.lit(BEFORE)))).alias("contexts")))
     both = F.zip_with(
-        pieces,
+        before,
         matches,
-        lambda p, m: F.struct(F.length(p).cast("long").alias("skip"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("take"), lead(m).alias("lead"), value(m).alias("value"), words(p).alias("context")),
+        lambda p, m: F.struct(p["skip"].alias("skip"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("take"), lead(m).alias("lead"), value(m).alias("value"), p["contexts"].alias("contexts")),
     )
 
     def add(at: Column, x: Column) -> Column:
         a = at + x["skip"]
         start = a + x["lead"]
-        found = F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["context"].alias("context"))).cast(INSTANCE)
+        found = F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["contexts"].alias("contexts"))).cast(INSTANCE)
         return F.struct((a + x["take"]).alias("end"), F.when(F.length(x["value"]) > 0, found).otherwise(none).alias("out"))
 
     return F.when(text.rlike("[0-9@]"), running(both, add, INSTANCE)).otherwise(none)
 
 
 def discover(seen: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame:
-    """(context, value, kind) that confident patterns introduce and no base pattern matches.
+    """(context, value, found) that confident patterns introduce and no base pattern matches.
 
-    seen: (context, value, kind or null), one row for each occurrence. The graph's edges are counted
-    first; each round is two grouped aggregations over those edges.
+    seen: (context, value, kind or null), one row for each occurrence and pattern. The graph's edges are
+    counted first; each round is two grouped aggregations over those edges.
     """
-    edges = cut(seen.where("context <> ''").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+    edges = cut(seen.where("context is not null and context <> ''").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     kinds = F.explode(F.array(*map(F.lit, KINDS))).alias("for")
-    graph = cut(edges.select("context", "value", "kind", kinds), "pii-graph")
+    graph = cut(edges.where(F.col("context") != BREAK).select("context", "value", "kind", kinds), "pii-graph")
     score = F.when(F.col("kind").isNull(), F.lit(0.0)).otherwise((F.col("kind") == F.col("for")).cast("double"))
+    damp = F.when(F.col("context").contains(" "), F.lit(DAMP[0])).otherwise(F.lit(DAMP[1]))
     scored = graph.withColumn("score", score)
     patterns = None
     for _ in range(rounds):
-        patterns = scored.groupBy("context", "for").agg(
-            F.sum("score").alias("sum"), F.count(F.lit(1)).alias("of"), F.count_if(F.col("kind") == F.col("for")).alias("seeds")
-        )
-        patterns = patterns.where(F.col("seeds") >= seeds).withColumn("confidence", F.col("sum") / (F.col("of") + 0.25))
+        patterns = scored.groupBy("context", "for").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("of"), F.count_if(F.col("score") >= confident).alias("support"))
+        patterns = patterns.where(F.col("support") >= seeds).withColumn("confidence", F.col("sum") / (F.col("of") + damp))
         patterns = cut(patterns.select("context", "for", "confidence"), "pii-patterns")
         # unseen instances: noisy-or over the patterns that introduce them
         met = graph.where("kind IS NULL").join(small(patterns, 100), ["context", "for"])
@@ -182,13 +195,21 @@ def discover(seen: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT
 def personal_data(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame:
     """doc_id, base (spans of the base patterns) and added (discovered spans); one row for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), instances(text).alias("instances"))
-    rows = cut(rows, "pii-rows")
-    over = lambda i: F.filter(F.col("base"), lambda s: (s["start"] < i["end"]) & (i["start"] < s["end"]))
-    kind_of = lambda i: F.try_element_at(F.transform(over(i), lambda s: s["kind"]), F.lit(1))
-    tagged = F.transform("instances", lambda i: F.struct(i["start"].alias("start"), i["end"].alias("end"), i["value"].alias("value"), i["context"].alias("context"), kind_of(i).alias("kind")))
-    seen = rows.where(F.size("instances") > 0).select("row", F.explode(tagged).alias("i")).select("row", "i.*")
-    # a base span of several tokens is one instance: the one that begins it
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"), base_spans(text).alias("base"), instances(text).alias("instances"))
+    over = lambda i: F.try_element_at(F.filter(F.col("base"), lambda s: (s["start"] < i["end"]) & (i["start"] < s["end"])), F.lit(1))
+
+    def tagged(i: Column) -> Column:
+        def tag(s: Column) -> Column:
+            value = F.when(s.isNull(), i["value"]).otherwise(F.substr("text", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+            begins = s.isNull() | ((i["start"] <= s["start"]) & (s["start"] < i["end"]))
+            return F.struct(i["start"].alias("start"), i["end"].alias("end"), value.alias("value"), i["contexts"].alias("contexts"), s["kind"].alias("kind"), begins.alias("begins"))
+
+        return once(over(i), tag)
+
+    # a base span of several tokens is one instance: where it begins, with all of its text
+    own = F.filter(F.transform("instances", tagged), lambda i: i["begins"])
+    rows = cut(rows.select("doc_id", "row", "base", own.alias("instances")), "pii-rows")
+    seen = rows.where(F.size("instances") > 0).select("row", F.explode("instances").alias("i")).select("row", "i.*").withColumn("context", F.explode("contexts"))
     found = discover(seen.select("context", "value", "kind"), rounds, confident, seeds)
     new = seen.where("kind IS NULL").join(small(found, 100), ["context", "value"])
     added = new.groupBy("row").agg(F.collect_set(F.struct(F.col("found").alias("kind"), "start", "end")).alias("added"))
