@@ -4,8 +4,9 @@ A document is a bag of passages (its lines). Every passage is encoded by what it
 look like, a small network embeds it, gated attention weighs the embeddings, and the weighted sum gives
 the document's score. Attention learns from document labels alone which passages matter.
 
-The network is trained in numpy on a bounded sample of labelled documents (``max_documents``, at most
-``max_passages`` passages of each, evenly spaced); scoring reads every passage of every document.
+The network is trained in numpy on a bounded sample of labelled documents, whole ones: by hash, at most
+``max_documents``, and as many as have at most ``max_passages`` passages together. Scoring reads every
+passage of every document, as training does.
 Labels, language, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts are one empty passage; labels without document, without value or
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, id_and_text
+from .common import byte_values, cut, free_name, id_and_text
 
 MAX_DOCUMENTS = 6000
-MAX_PASSAGES = 48
+MAX_PASSAGES = 300_000
 FOLDS = 5
 THRESHOLD = 0.3
 HIDDEN = 16
@@ -138,11 +139,18 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_passages: int = MAX_PASSAGES) -> Network | None:
-    """Train on labelled documents of the folds 1 to 4, the first ``max_documents`` by hash. None without labels."""
+    """Train on labelled documents of the folds 1 to 4, the first ones by hash that meet both bounds. None without labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
     known = known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents), "label-sample")
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("quality", "text")
+    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id")
+    # the bound on passages: documents by hash until it is reached
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sized = sorted(((r["h"], r["doc_id"], r["n"]) for r in rows.groupBy("doc_id").agg(F.xxhash64("doc_id").alias("h"), F.sum(F.coalesce(breaks, F.lit(1))).alias("n")).collect()))
+    fits = int((np.cumsum([n for _, _, n in sized]) <= max_passages).sum())
+    if fits < len(sized):
+        last = sized[fits][:2]
+        rows = rows.where((F.xxhash64("doc_id") < last[0]) | ((F.xxhash64("doc_id") == last[0]) & (F.col("doc_id") < last[1])))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS,
                 continue
             x, starts = encode(byte_values(batch.column(1)))
             ends = [*starts[1:].tolist(), len(x)]
-            own = [x[a:b] if b - a <= max_passages else x[np.linspace(a, b - 1, max_passages).astype(int)] for a, b in zip(starts.tolist(), ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.ascontiguousarray(o).tobytes() for o in own], pa.binary())], ["quality", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.ascontiguousarray(x[a:b]).tobytes() for a, b in zip(starts.tolist(), ends, strict=True)], pa.binary())], ["quality", "bag"])
 
-    bags = rows.mapInArrow(passages, "quality double, bag binary").orderBy("quality", "bag").collect()
-    if len({r["quality"] >= 0.5 for r in bags}) < 2:
+    bags = sorted((r["quality"], bytes(r["bag"])) for r in rows.select("quality", "text").mapInArrow(passages, "quality double, bag binary").collect())
+    if len({y >= 0.5 for y, _ in bags}) < 2:
         return None
-    parts = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, FEATURES) for r in bags]
-    return train(np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1], np.array([r["quality"] for r in bags]))
+    parts = [np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES) for _, b in bags]
+    return train(np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1], np.array([y for y, _ in bags]))
 
 
 def with_score(docs: DataFrame, network: Network | None, name: str = "score") -> DataFrame:
@@ -186,5 +193,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that the classifier does not reject."""
-    name = "__quality"
-    return with_score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)
+    name = free_name(docs, "__quality")
+    return with_score(docs, fit(docs, labels), name).where(F.col(f"`{name}`") >= threshold).drop(name)
