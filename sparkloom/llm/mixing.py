@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, free_name, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,9 +72,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     sized = docs.select("source", words_of(F.col("text")).alias("size"))
     of = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    of = small(of.select(F.col("source").alias("__source"), rate.alias("__rate")), 100)
-    joined = docs.join(of, F.col("source").eqNullSafe(F.col("__source")), "left")
-    extra = draw(F.col("doc_id"), words_of(F.col("text")), seed) < F.col("__rate") - F.floor("__rate")
-    n = (F.floor("__rate") + extra.cast("long")).cast("int")
-    taken = joined.where(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), n)))
+    own, per, copy = (free_name(docs, x) for x in ("__source", "__rate", "__copy"))
+    of = small(of.select(F.col("source").alias(own), rate.alias(per)), 100)
+    joined = docs.join(of, F.col("source").eqNullSafe(F.col(own)), "left")
+    extra = draw(F.col("doc_id"), words_of(F.col("text")), seed) < F.col(per) - F.floor(per)
+    n = (F.floor(per) + extra.cast("long")).cast("int")
+    taken = joined.where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n)))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, id_and_text, small
+from .common import byte_values, cut, free_name, id_and_text, small
 from .components import components
 
 #: Fingerprints of a posting list that meet in one group; longer lists are dealt out in blocks.
@@ -391,5 +391,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 4, max_bi
     A doc_id names one document: its rows stay or go together. Rows without doc_id stay.
     """
     found = near_duplicates(docs, words, lanes, max_bits, min_bytes, sure_bits=sure_bits, similarity=similarity)
-    gone = cut(found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(small(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = cut(found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(small(gone, 16), F.col("doc_id") == F.col(name), "left_anti")
