@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, free_name, id_and_text, small
+from .common import cut, each_bytes, free_name, id_and_text, small
 from .components import components
 
 #: Fingerprints of a posting list that meet in one group; longer lists are dealt out in blocks.
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words_, kept = [], []
-            for text in byte_values(batch.column(1)):
+            for text in each_bytes(batch.column(1)):
                 found = shingles(text, words)
                 h = gram_hashes(list(set(found)) if distinct else found)
                 words_.append(simhash(h, lanes))
@@ -240,7 +240,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
-            for text in byte_values(batch.column(1)):
+            for text in each_bytes(batch.column(1)):
                 h = np.unique(gram_hashes(shingles(text, words)))
                 np.add.at(n, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
         if n.any():
@@ -272,7 +272,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, lanes: int, simila
         n = held.value
         for batch in batches:
             rows, ids, kept = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), strict=True):
+            for i, text in zip(batch.column(0).to_pylist(), each_bytes(batch.column(1)), strict=True):
                 h = np.unique(gram_hashes(list(set(shingles(text, words)))))
                 if not len(h):
                     continue
@@ -354,8 +354,10 @@ def near_duplicates(
 
     With one lane and up to 5 bits no link is lost. With more bits than bytes (as for texts that
     share 0.8 of their shingles) ``min_bytes`` is set by hand, and the index finds most such links.
-    With ``sure_bits`` shingles are distinct, links of more bits are verified on the texts' shingles, and
-    so is every other pair that may share ``similarity`` of them: none is lost between texts with doc_id.
+    With ``sure_bits`` shingles are distinct and all links are verified on the texts' shingles (in the
+    index's forests those of up to so many bits come first); then every other pair between the components
+    so far that may share ``similarity`` of them: none is lost or added. Rows without doc_id have no links
+    then, other than to equal fingerprints.
     """
     least = 8 - max_bits if min_bytes is None else min_bytes
     if least < 3:
@@ -365,8 +367,7 @@ def near_duplicates(
     nodes = cut(of.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     edges = links(nodes, lanes, max_bits, least, block, wide_from, sure_bits)
     if sure_bits is not None:
-        edges = cut(edges, "edges")
-        edges = edges.where("sure").select("a", "b").unionByName(similar(edges.where("NOT sure").select("a", "b"), nodes, docs, words, lanes, similarity))
+        edges = similar(cut(edges, "edges").select("a", "b"), nodes, docs, words, lanes, similarity)
     parts = components(edges.select("a", "b"))
     if sure_bits is not None:
         # what the index or its forests passed over: all pairs between the components so far, by their shingles
@@ -384,11 +385,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 4, max_bi
     """The rows of docs, all columns, without those near a row of smaller doc_id; one row of each group stays.
 
     Four 64-bit lanes of distinct five-word shingles. Texts that share 0.8 of them differ in 39 of the 256
-    bits, plus or minus 6; unrelated ones in 128, plus or minus 8. Up to 28 bits links hold as they are,
-    up to 56 they are verified on the texts. The index finds 84 % of links of exactly 0.8 (some byte triple
-    of a lane must agree), 95 % at 0.85, 99 % at 0.9; a second index over the texts' least common shingles
-    finds all that are left, verified likewise. Rows without doc_id link by up to 28 bits only.
-    A doc_id names one document: its rows stay or go together. Rows without doc_id stay.
+    bits, plus or minus 6; unrelated ones in 128, plus or minus 8. Links of up to 56 bits are verified on
+    the texts. The index finds 84 % of links of exactly 0.8 (some byte triple of a lane must agree), 95 % at
+    0.85, 99 % at 0.9; a second index over the texts' least common shingles finds all that are left,
+    verified likewise. A doc_id names one document: its rows stay or go together. Rows without doc_id stay.
     """
     found = near_duplicates(docs, words, lanes, max_bits, min_bytes, sure_bits=sure_bits, similarity=similarity)
     name = free_name(docs, "__gone")
