@@ -233,6 +233,15 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, lan
     return both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """(a, b): of the edges, sure and other ones, each node's to its first and its last neighbour. Every posting list has
+    a forest of its own, so a large group of copies has many times more edges than nodes; what this leaves
+    apart the index of least common shingles joins."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sure"))
+    ends = both.groupBy("a", "sure").agg(F.array(F.min("b"), F.max("b")).alias("ends")).select("a", F.explode("ends").alias("b"))
+    return cut(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "thinned")
+
+
 def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How often shingles fall on each counter, about (a partition counts up to 65535)."""
     width = COUNTERS // COUNTER_ROWS
@@ -367,15 +376,20 @@ def near_duplicates(
     nodes = cut(of.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     edges = links(nodes, lanes, max_bits, least, block, wide_from, sure_bits)
     if sure_bits is not None:
-        edges = similar(cut(edges, "edges").select("a", "b"), nodes, docs, words, lanes, similarity)
+        edges = similar(_thinned(cut(edges, "edges")), nodes, docs, words, lanes, similarity)
     parts = components(edges.select("a", "b"))
     if sure_bits is not None:
         # what the index or its forests passed over: all pairs between the components so far, by their shingles
-        edges, parts = cut(edges, "sure-edges"), cut(parts, "parts")
-        more = cut(apart(nodes, parts, docs, words, lanes, similarity, block), "apart")
-        edges = edges.unionByName(similar(more, nodes, docs, words, lanes, similarity))
-        parts = components(edges)
+        parts = cut(parts, "parts")
+        more = similar(cut(apart(nodes, parts, docs, words, lanes, similarity, block), "apart"), nodes, docs, words, lanes, similarity)
+        # components that these links join are few: the graph is that of components from here on
+        of_end = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        across = more.join(of_end("a"), "a", "left").join(of_end("b"), "b", "left")
+        over = components(across.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct())
+        over = cut(over.select(F.col("node").alias("component"), F.col("component").alias("over")), "over")
     joined = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if sure_bits is not None:
+        joined = joined.join(over, "component", "left").withColumn("component", F.coalesce("over", "component")).drop("over")
     ids = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = cut(joined.join(ids, "component").select(*names, "component_id"), "classes")
     return of.join(classes, names).select("doc_id", *names, "component_id")
