@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from ..functions.values import NUMBER, as_date, as_number, is_number, numeric_columns, text_columns
 from .assoc import correlation_ratios, cramers_v
 from .outliers import fences
-from .profile import stacked
+from ..store import written
+from .profile import quantiles, stacked
 
 ROW_ID = "__row_id"
 
@@ -181,8 +182,8 @@ def fit_medians(df: DataFrame) -> dict[str, float]:
     columns = [c for c in numeric_columns(df) if c != ROW_ID]
     if not columns:
         return {}
-    rows = stacked(df, columns, {"nulls": lambda c: F.count_if(c.isNull()), "median": lambda c: F.percentile(c, F.lit(0.5))}).where("nulls > 0").collect()
-    return {r["column"]: 0.0 if r["median"] is None else float(r["median"]) for r in rows}
+    gaps = [c for c, n in values(df, columns, lambda c: F.count_if(c.isNull())).items() if n]
+    return {c: 0.0 if m is None else float(m) for c, (m,) in quantiles(df, gaps, (0.5,)).items()}
 
 
 def transform_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -253,8 +254,8 @@ def fit_weak_categories(df: DataFrame, columns: list[str], settings: Settings =
 
 
 def clean(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, Report]:
-    """The cleaned table and its report. The table is persisted before the passes that follow the one shuffle
-    (duplicates); the caller may unpersist it."""
+    """The cleaned table and its report. What follows the one shuffle (duplicates) reads a table in the shared folder,
+    which the result reads too."""
     report = Report(rows_start=df.count(), columns_start=len(data_columns(df)), null_threshold_percent=int(settings.null_threshold * 100), iqr_multiplier=settings.iqr_multiplier, sign_anomaly_threshold=settings.sign_share, outlier_row_removal_enabled=settings.remove_outliers, drop_remaining_null_rows_enabled=settings.drop_remaining_nulls)
     report.columns_dropped_high_null = fit_high_null(df, settings.null_threshold)
     df = df.drop(*report.columns_dropped_high_null)
@@ -268,7 +269,8 @@ def clean(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, Re
         df = transform_signs(df, fit_signs(df, settings.sign_share))
         report.sign_anomaly_rows_removed = rows - (rows := df.count())
     df = transform_dates(df, fit_dates(df, categories, settings.date_numeric_share, settings.date_share))
-    df = drop_duplicates(df).persist()
+    df = drop_duplicates(df)
+    df = written(df, "deduplicated") if df.columns else df
     report.duplicate_rows_removed = rows - (rows := df.count())
     medians, modes = fit_medians(df), fit_modes(df)
     report.numeric_columns_filled, report.categorical_columns_filled = sorted(medians), sorted(modes)

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import numeric_columns
-from .profile import stacked
+from .profile import quantiles, stacked
 
 FENCE = 1.5
 
 
 def fences(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n, q1, q3) of every column, from one scan."""
-    return stacked(df, columns, {"n": lambda c: F.count(c), "q1": lambda c: F.percentile(c, F.lit(0.25)), "q3": lambda c: F.percentile(c, F.lit(0.75))})
+    """(column, n, q1, q3) of every column."""
+    found = quantiles(df, columns, (0.25, 0.75))
+    ranks = df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], "column string, q1 double, q3 double")
+    return stacked(df, columns, {"n": lambda c: F.count(c)}).join(F.broadcast(ranks), "column")
 
 
 def iqr_report(df: DataFrame, columns: list[str] | None = None, k: float = FENCE) -> DataFrame:

@@ -24,21 +24,79 @@ def stacked(df: DataFrame, columns: list[str], measures: dict[str, callable]) ->
     return out
 
 
-def quantile(c: Column, q: float) -> Column:
-    return F.percentile(c, F.lit(q))
+#: Rank error of a sketch, the margin taken on either side of a rank, and values that decide a rank on the driver.
+ACCURACY, MARGIN, FEW = 10_000, 0.0005, 20_000
+
+
+def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...]) -> dict[str, list[float | None]]:
+    """Exact quantiles (interpolated between neighbours) of numeric columns, whatever their number of values.
+
+    A sketch brackets each rank, a scan counts the values below the bracket, and brackets narrow until few values
+    are left in them: no task or buffer ever holds all the values of a column.
+    """
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    if not columns:
+        return {}
+    first = df.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).alias(f"c{i}") for i, v in enumerate(x.values())]).first()
+    size = {c: first[i]["n"] for i, c in enumerate(columns)}
+    open_ = {(c, q): (first[i]["low"], first[i]["high"], 0, size[c]) for i, c in enumerate(columns) for q in at if size[c]}
+    done: dict[tuple[str, float], float] = {}
+    rank = lambda c, q: q * (size[c] - 1)
+    while open_:
+        # narrow every bracket that still holds many values
+        wide = [k for k, (low, high, _, n) in open_.items() if n > FEW and low < high]
+        cells = []
+        for i, (c, q) in enumerate(wide):
+            low, high, below, n = open_[c, q]
+            share = (rank(c, q) - below) / max(1, n - 1)
+            inside = F.when((x[c] >= low) & (x[c] <= high), x[c])
+            cells.append(F.percentile_approx(inside, [max(0.0, share - MARGIN), min(1.0, share + MARGIN)], ACCURACY).alias(f"b{i}"))
+        found = df.agg(*cells).first() if cells else []
+        tried = {k: tuple(found[i]) for i, k in enumerate(wide)}
+        counts = df.agg(*[F.struct(F.count_if(x[c] < low).alias("below"), F.count_if((x[c] >= low) & (x[c] <= high)).alias("n")).alias(f"n{i}") for i, ((c, _), (low, high)) in enumerate(tried.items())]).first() if tried else []
+        stuck = set()
+        for i, ((c, q), (low, high)) in enumerate(tried.items()):
+            below, n = counts[i]["below"], counts[i]["n"]
+            k = int(rank(c, q))
+            holds = below <= k and min(k + 1, size[c] - 1) < below + n
+            if holds and n < open_[c, q][3]:
+                open_[c, q] = (low, high, below, n)
+            else:
+                stuck.add((c, q))  # many equal values: what is left has few different ones
+        ready = {k: v for k, v in open_.items() if v[3] <= FEW or v[0] == v[1] or k in stuck}
+        cells = F.array(*[F.when((x[c] >= low) & (x[c] <= high), F.struct(F.lit(i).alias("i"), x[c].alias("x"))) for i, ((c, _), (low, high, _, _)) in enumerate(ready.items())])
+        if ready:
+            rows = df.select(F.explode(F.filter(cells, lambda s: s.isNotNull())).alias("v")).groupBy("v.i", "v.x").agg(F.count(F.lit(1)).alias("n")).orderBy("i", "x").collect()
+            for i, (c, q) in enumerate(ready):
+                r, upto, ends = rank(c, q), ready[c, q][2], []
+                for k in (int(r), min(int(r) + 1, size[c] - 1)):
+                    seen = upto
+                    for row in (row for row in rows if row["i"] == i):
+                        seen += row["n"]
+                        if seen > k:
+                            ends.append(row["x"])
+                            break
+                done[c, q] = ends[0] + (r - int(r)) * (ends[1] - ends[0]) if r > int(r) else ends[0]
+                del open_[c, q]
+    return {c: [done.get((c, q)) for q in at] for c in columns}
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Exact numbers of distinct values: one grouping for each column, its rows combined before they move."""
+    one = [df.select(F.col(f"`{c}`").alias("x")).where("x is not null").groupBy("x").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, c in enumerate(columns)]
+    out = one[0]
+    for part in one[1:]:
+        out = out.unionByName(part)
+    return {columns[r["i"]]: r["n"] for r in out.collect()}
 
 
 NUMERIC = {
     "count": lambda c: F.count(c),
     "null_count": lambda c: F.count_if(c.isNull()),
-    "unique_count": lambda c: F.count_distinct(c),
     "mean": lambda c: F.avg(c.cast("double")),
-    "median": lambda c: quantile(c, 0.5),
     "std": lambda c: F.stddev_samp(c.cast("double")),
     "min": lambda c: F.min(c).cast("double"),
     "max": lambda c: F.max(c).cast("double"),
-    "q1": lambda c: quantile(c, 0.25),
-    "q3": lambda c: quantile(c, 0.75),
 }
 
 CATEGORICAL = {
@@ -58,7 +116,11 @@ DATES = {
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return stacked(df, columns or numeric_columns(df), NUMERIC)
+    columns = columns or numeric_columns(df)
+    found, distinct = quantiles(df, columns, (0.25, 0.5, 0.75)), distinct_counts(df, columns)
+    rows = [(c, distinct[c], *found[c]) for c in columns]
+    ranks = df.sparkSession.createDataFrame(rows, "column string, unique_count long, q1 double, median double, q3 double")
+    return stacked(df, columns, NUMERIC).join(F.broadcast(ranks), "column")
 
 
 def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

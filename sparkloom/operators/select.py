@@ -7,10 +7,10 @@ from collections.abc import Callable, Sequence
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import numeric_columns
+from ..functions.values import numeric_columns, text_columns
 from .assoc import correlation_pairs, pearson
 from .gram import Grams
 from .profile import stacked
@@ -25,8 +25,8 @@ Score = Callable[[list[str]], float | None]
 
 
 def is_coordinate(name: str) -> bool:
-    n = name.lower()
-    return n in COORDINATES or "latitude" in n or "longitude" in n
+    """A short coordinate name as a whole, a long one as a part of the name."""
+    return any(w == name.lower() or (len(w) > 3 and w in name.lower()) for w in COORDINATES)
 
 
 def target_prior(name: str) -> float:
@@ -54,9 +54,18 @@ def id_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return rows.withColumn("is_id", F.col("unique_ratio").isNotNull() & (named | (F.col("unique_ratio") > 0.95)))
 
 
+def label_codes(df: DataFrame, target: str) -> DataFrame:
+    """df with each label of a text target replaced by its place in the order of labels."""
+    y = F.col(f"`{target}`")
+    ranks = df.select(y.alias("__label")).distinct().withColumn("__code", F.dense_rank().over(Window.orderBy("__label")) - 1)
+    return df.join(ranks, y == F.col("__label")).withColumn(target, F.col("__code").cast("double")).drop("__label", "__code")
+
+
 def relevance(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """(column, relevance): absolute correlation with the target over rows where nothing is missing."""
     whole = df.select(*[F.col(f"`{c}`") for c in [*features, target]]).dropna()
+    if target in text_columns(df):  # labels count by their order
+        whole = label_codes(whole, target)
     return stacked(whole, list(features), {"relevance": lambda c: F.coalesce(F.abs(pearson(c, F.col(f"`{target}`"))), F.lit(0.0))})
 
 
@@ -71,6 +80,8 @@ def ranked(df: DataFrame, target: str, features: Sequence[str]) -> list[str]:
 
 def pool_summary(df: DataFrame, target: str, pool: Sequence[str]) -> DataFrame:
     """(column, missing, std, abs_corr) of candidate features."""
+    if target in text_columns(df):
+        df = label_codes(df, target)
     return stacked(df, list(pool), {"missing": lambda c: F.avg(c.isNull().cast("double")), "std": lambda c: F.stddev_pop(c.cast("double")), "abs_corr": lambda c: F.abs(pearson(c, F.col(f"`{target}`")))})
 
 

@@ -39,7 +39,7 @@ class Analyst:
         raw = self._read(path)
         cleaned, report = clean(raw, self.settings)
         df = self.catalog.save_table(file_id, cleaned)
-        cleaned.unpersist()
+
         payload = self._profile(df) | {"cleaning_report": report.as_dict(), "rows_raw": report.rows_start}
         payload |= self._insights(payload)
         self.catalog.store(file_id, filename or path.rsplit("/", 1)[-1], payload)

@@ -211,9 +211,8 @@ def _(spark, d):
 
 @query("clean_pipeline")
 def _(spark, d):
-    cleaned, report = clean.clean(table(spark, d, "dirty_lineitem"))
+    _, report = clean.clean(table(spark, d, "dirty_lineitem"))
     found = report.as_dict()
-    cleaned.unpersist()
     return spark.createDataFrame([(k, str(x)) for k, x in found.items()], "item string, value string")
 
 
@@ -239,7 +238,12 @@ def _(spark, d):
     return rounded(assoc.cramers_v(table(spark, d, "planted_assoc"), "band", "band2"), "v")
 
 
-@query("weak_categoricals", """SELECT 'c_mktsegment' AS "column" FROM region WHERE r_regionkey = 0""")
+CATEGORIES = ("c_mktsegment", "band", "band2")
+#: Each categorical column against four numbers and two other categorical ones: weak if under 65% of these reach 0.3.
+MEASURES = union([f"SELECT '{k}' AS c, eta AS m FROM ({ETA.format(c=x, k=k)}) AS e_{k}_{x}" for k in CATEGORIES for x in ("a1", "a2", "a3", "a4")] + [f"SELECT '{a}' AS c, v AS m FROM ({CRAMER.format(a=a, b=b)}) AS v_{a}_{b}" for a in CATEGORIES for b in CATEGORIES if a != b])
+
+
+@query("weak_categoricals", f"""SELECT c AS "column" FROM ({MEASURES}) AS m GROUP BY c HAVING count(*) FILTER (m >= 0.3) / 6.0 < 0.65""")
 def _(spark, d):
     found = clean.fit_weak_categories(table(spark, d, "planted_assoc").drop("c_custkey"), ["c_mktsegment", "band", "band2"])
     return spark.createDataFrame([(c,) for c in found], "column string")

@@ -25,12 +25,14 @@ def with_row_id(df: DataFrame) -> DataFrame:
     tagged = df.withColumn("__m", F.monotonically_increasing_id())
     at = F.shiftright("__m", 33)
     counts = tagged.groupBy(at.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    before, n = [], 0
+    starts, n = [], 0
     for r in counts:
-        before += [F.lit(r["p"]), F.lit(n)]
+        starts.append((r["p"], n))
         n += r["n"]
-    offset = F.create_map(*before)[at] if before else F.lit(0)
-    return tagged.select((offset + F.col("__m").bitwiseAND((1 << 33) - 1)).cast("long").alias(ROW_ID), *[F.col(f"`{c}`") for c in df.columns])
+    # one row for each partition of the file: a table to join, not a plan that grows with them
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__p long, __offset long"))
+    joined = tagged.join(offsets, at == F.col("__p"))
+    return joined.select((F.col("__offset") + F.col("__m").bitwiseAND((1 << 33) - 1)).cast("long").alias(ROW_ID), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def file_type(head: bytes) -> str:
@@ -126,8 +128,14 @@ def dialect(head: bytes) -> Dialect:
     return Dialect(best, 1 if best != r"\s+" and dimension_row(text, best) else 0)
 
 
+def broken_cells(sample: bytes) -> bool:
+    """Whether a quoted cell goes on in the next line: some line of the sample holds an odd number of quotes."""
+    return any(line.count(b'"') % 2 for line in sample.splitlines())
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A table of inferred types with __row_id; malformed lines are kept as far as they parse."""
+    """A table of inferred types with __row_id; malformed lines are kept as far as they parse. Where the sample has line
+    breaks within quotes, a file is read as a whole by one task (Spark cannot split it); else in parallel."""
     # Spark opens the path, wherever it is; only the head's lines come to the driver
     head = "\n".join(r["value"] for r in spark.read.text(path).limit(2000).collect()).encode()
     first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("c")).first()
@@ -140,7 +148,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
         names = [c.lstrip("﻿") for c in cells.first()["c"]]
         df = with_row_id(cells).where(f"{ROW_ID} > 0").select((F.col(ROW_ID) - 1).alias(ROW_ID), *[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
     else:
-        reader = spark.read.option("sep", how.sep).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", "true")
+        reader = spark.read.option("sep", how.sep).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", "true").option("multiLine", str(broken_cells(head)).lower())
         if how.skip:
             plain = reader.csv(path)
             rows = with_row_id(plain)

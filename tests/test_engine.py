@@ -53,8 +53,8 @@ def test_other_dialects(spark, tmp_path):
     mark = ingest.read_delimited(spark, write(tmp_path, b"\xef\xbb\xbfa,b\n1,2\n", "b.csv"))
     assert mark.columns[1:] == ["a", "b"]
     rows = "\n".join(f"{i},{i * 2},{i % 3},1" for i in range(12))
-    sized = ingest.read_delimited(spark, write(tmp_path, f"768,4,,\nPregnancies,Glucose,Pressure,Outcome\n{rows}\n", "d.csv"))
-    assert sized.columns[1:] == ["Pregnancies", "Glucose", "Pressure", "Outcome"] and sized.count() == 12
+    sized = ingest.read_delimited(spark, write(tmp_path, f"812,4,,\nRainfall,Windspeed,Humidity,Harvest\n{rows}\n", "d.csv"))
+    assert sized.columns[1:] == ["Rainfall", "Windspeed", "Humidity", "Harvest"] and sized.count() == 12
     plain = ingest.read_delimited(spark, write(tmp_path, f"6,148,72,35\n{rows}\n", "p.csv"))
     assert plain.count() == 12
 
@@ -289,3 +289,35 @@ def test_analyst(spark, tmp_path):
         Catalog(spark, str(tmp_path)).load_table("../x")
     with pytest.raises(KeyError):
         a.get_analysis(key)
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    df = ingest.read_delimited(spark, write(tmp_path, 'a,b\n"x\ny",1\n"he said ""no""",2\n'))
+    assert [tuple(r) for r in df.orderBy("__row_id").collect()] == [(0, "x\ny", 1), (1, 'he said "no"', 2)]
+
+
+def test_text_targets_rank_by_label_codes(spark):
+    rows = [("abc"[i % 3], float(i % 3), float(i * 7 % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "y string, near double, far double")
+    assert select.ranked(df, "y", ["far", "near"]) == ["near", "far"]
+    assert {r["column"]: round(r["relevance"], 6) for r in select.relevance(df, "y", ["near"]).collect()} == {"near": 1.0}
+
+
+def test_quantiles_narrow_to_the_exact_rank(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(profile, "FEW", 50)
+    rng = np.random.default_rng(6)
+    spread, tied = rng.normal(size=20_000), rng.integers(0, 4, 20_000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), None, 7) for a, b in zip(spread, tied, strict=True)], "a double, b double, c double, d int").repartition(4)
+    at = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = profile.quantiles(df, ["a", "b", "c", "d"], at)
+    assert got["a"] == pytest.approx(np.quantile(spread, at).tolist()) and got["b"] == pytest.approx(np.quantile(tied, at).tolist())
+    assert got["c"] == [None] * 6 and got["d"] == [7.0] * 6
+
+
+def test_cleaning_leaves_nothing_cached(spark):
+    df = spark.createDataFrame([(i, float(i % 9), "ab"[i % 2]) for i in range(40)], "__row_id long, x double, t string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out, _ = clean.clean(df)
+    assert out.count() > 0 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
