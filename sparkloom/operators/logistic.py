@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import finite, sigmoid
 from .gram import REPEATS, TRAIN, VALIDATE, fold_bucket
+from .metrics import best_threshold, classification_scores
 
 STEPS, RATE, L2 = 900, 0.05, 1e-4
 
@@ -85,12 +86,12 @@ def candidate_scores(df: DataFrame, subsets: Sequence[Sequence[str]], target: st
     """(candidate, f1_macro, accuracy): mean over holdout repeats of each feature subset.
 
     Each (candidate, repeat) is one group of at most ``row_limit`` rows, so the rows are met as often as there
-    are candidates; beyond that size score with ``fit_distributed``.
+    are candidates. A larger table is scored with the same fits and folds by ``fit_distributed``, on all its rows.
     """
     names = sorted({f for s in subsets for f in s})
     work = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in names], F.col(f"`{target}`").cast("string").alias("__y")).dropna()
     if work.count() > row_limit:
-        raise ValueError(f"more than {row_limit} rows: use fit_distributed")
+        return _scores_of_large(work, subsets, repeats, steps)
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(r).alias("repeat"), F.when(fold_bucket(r, *names, "__y") < TRAIN, "train").when(fold_bucket(r, *names, "__y") < VALIDATE, "validate").alias("role")) for i in range(len(subsets)) for r in range(repeats)])).alias("g")
     tagged = work.select(*names, "__y", grid).select(*names, "__y", "g.*").where("role is not null")
     of = [list(s) for s in subsets]
@@ -108,6 +109,33 @@ def candidate_scores(df: DataFrame, subsets: Sequence[Sequence[str]], target: st
     return scored.groupBy("candidate").agg(F.avg("f1").alias("f1_macro"), F.avg("acc").alias("accuracy"))
 
 
+def predicted(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, steps: int = STEPS) -> tuple[DataFrame, list[str]]:
+    """rows with y_true, y_pred and y_prob by models fitted on all rows of train; and the labels, which are those of train."""
+    labels = sorted(r[0] for r in train.select(f"`{target}`").distinct().collect())
+    one = lambda k: fit_distributed(train.withColumn("__is", (F.col(f"`{target}`") == k).cast("double")), features, "__is", steps)
+    y = F.col(f"`{target}`").alias("y_true")
+    if len(labels) > 2:
+        return rows.select("*", y, one_vs_rest({k: one(k) for k in labels}, features).alias("y_pred"), F.lit(None).cast("double").alias("y_prob")), labels
+    p = probability(one(labels[-1]), features)
+    t = best_threshold(train.select((F.col(f"`{target}`") == labels[-1]).cast("int").alias("y"), p.alias("p")), "y", "p")
+    return rows.select("*", y, F.when(p >= t, labels[-1]).otherwise(labels[0]).alias("y_pred"), p.alias("y_prob")), labels
+
+
+def _scores_of_large(work: DataFrame, subsets: Sequence[Sequence[str]], repeats: int, steps: int) -> DataFrame:
+    names = [c for c in work.columns if c != "__y"]
+    out = []
+    for i, subset in enumerate(subsets):
+        found = []
+        for r in range(repeats):
+            bucket = fold_bucket(r, *names, "__y")
+            train, held = work.where(bucket < TRAIN), work.where((bucket >= TRAIN) & (bucket < VALIDATE))
+            if train.select("__y").distinct().limit(2).count() == 2 and held.limit(5).count() == 5:
+                found.append(classification_scores(predicted(train, held, list(subset), "__y", steps)[0], "y_true", "y_pred").first())
+        if found:
+            out.append((i, *(float(np.mean([x[k] for x in found])) for k in ("f1_macro", "accuracy"))))
+    return work.sparkSession.createDataFrame(out, "candidate int, f1_macro double, accuracy double")
+
+
 def fit_distributed(df: DataFrame, features: Sequence[str], label: str, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> np.ndarray:
     """The same descent with each step's gradient summed over the table (persisted, as every step reads it)."""
     work = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for i, c in enumerate(features)], F.col(f"`{label}`").cast("double").alias("y")).dropna().persist()

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from ..functions.values import finite, numeric_columns
 from . import select as sel
 from .gram import Grams, grams
-from .logistic import candidate_scores, fit_binary, one_vs_rest, probability
+from .logistic import candidate_scores, fit_binary, one_vs_rest, predicted, probability
 from .metrics import best_threshold, classification_scores, problem_type, regression_scores
 
-#: Rows that the driver takes for a logistic fit (whole classes, by hash); larger tables fit on these.
+#: Rows that the driver takes for a logistic fit; larger tables are fitted where they are, on all rows.
 FIT_ROWS = 200_000
 ITERATIONS = 5
 
@@ -49,27 +49,35 @@ def train_linear(df: DataFrame, target: str, features: Sequence[str]) -> dict:
     }
 
 
-def train_logistic(df: DataFrame, target: str, features: Sequence[str]) -> dict:
+def _fitted_here(work: DataFrame, train: DataFrame, labels: list[str], features: Sequence[str]) -> DataFrame:
+    """Predictions by models fitted on the driver."""
+    pdf = train.toPandas()
+    x = pdf[list(features)].to_numpy(float)
+    if len(labels) == 2:
+        w = fit_binary(x, (pdf["y_true"] == labels[1]).to_numpy(float))
+        p = probability(w, features)
+        t = best_threshold(train.select((F.col("y_true") == labels[1]).cast("int").alias("y"), p.alias("p")), "y", "p")
+        return work.select("y_true", F.when(p >= t, labels[1]).otherwise(labels[0]).alias("y_pred"), p.alias("y_prob"), "split")
+    models = {k: fit_binary(x, (pdf["y_true"] == k).to_numpy(float)) for k in labels}
+    return work.select("y_true", one_vs_rest(models, features).alias("y_pred"), F.lit(None).cast("double").alias("y_prob"), "split")
+
+
+def train_logistic(df: DataFrame, target: str, features: Sequence[str], fit_rows: int = FIT_ROWS) -> dict:
     """One model for two labels (the larger is positive, the threshold swept on the training rows), else one for each."""
     work = with_split(usable(df, target, features, numeric_target=False), features)
     n = {r["split"]: r["count"] for r in work.groupBy("split").count().collect()}
     if sum(n.values()) < 30:
         raise ValueError("a logistic model needs 30 rows without missing values")
     train = work.where("split = 'train'")
-    fit = train.orderBy(F.xxhash64(*[f"`{f}`" for f in features], "y_true")).limit(FIT_ROWS) if n.get("train", 0) > FIT_ROWS else train
-    pdf = fit.toPandas()
-    labels = sorted(pdf["y_true"].unique())
+    labels = sorted(r[0] for r in train.select("y_true").distinct().collect())
     if len(labels) < 2:
         raise ValueError("the training rows hold one class only")
-    x = pdf[list(features)].to_numpy(float)
-    if len(labels) == 2:
-        w = fit_binary(x, (pdf["y_true"] == labels[1]).to_numpy(float))
-        p = probability(w, features)
-        t = best_threshold(train.select((F.col("y_true") == labels[1]).cast("int").alias("y"), p.alias("p")), "y", "p")
-        predictions = work.select("y_true", F.when(p >= t, labels[1]).otherwise(labels[0]).alias("y_pred"), p.alias("y_prob"), "split")
+    if n.get("train", 0) > fit_rows:
+        coded = work.withColumnRenamed("y_true", "__label")
+        said, _ = predicted(coded.where("split = 'train'"), coded, features, "__label")
+        predictions = said.select("y_true", "y_pred", "y_prob", "split")
     else:
-        models = {k: fit_binary(x, (pdf["y_true"] == k).to_numpy(float)) for k in labels}
-        predictions = work.select("y_true", one_vs_rest(models, features).alias("y_pred"), F.lit(None).cast("double").alias("y_prob"), "split")
+        predictions = _fitted_here(work, train, labels, features)
     scores = classification_scores(predictions.where("split = 'test'"), "y_true", "y_pred").first()
     return {
         "model_type": "logistic_regression", "problem_type": "classification", "target_column": target, "feature_columns": list(features), "classes": labels,

@@ -321,3 +321,20 @@ def test_cleaning_leaves_nothing_cached(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     out, _ = clean.clean(df)
     assert out.count() > 0 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("labels", ["ab", "abc"])
+def test_large_tables_are_scored_and_fitted_alike(spark, labels, monkeypatch):
+    """Beyond the row limits the same folds are fitted on all rows where they are; the result is that of a small table."""
+    monkeypatch.setattr(logistic.fit_distributed, "__defaults__", (12, *logistic.fit_distributed.__defaults__[1:]))
+    monkeypatch.setattr(logistic.fit_binary, "__defaults__", (12, *logistic.fit_binary.__defaults__[1:]))
+    k = len(labels)
+    rows = [(labels[i % k], float(i % k) + (i * 37 % 100) / 90, float(i * 13 % 17)) for i in range(240)]
+    df = spark.createDataFrame(rows, "y string, x1 double, x2 double").repartition(2).cache()
+    one, two = (logistic.candidate_scores(df, [["x1"]], "y", repeats=1, steps=12, row_limit=n).first() for n in (1000, 10))
+    assert (one["candidate"], one["f1_macro"], one["accuracy"]) == pytest.approx((two["candidate"], two["f1_macro"], two["accuracy"]))
+    if k == 2:
+        monkeypatch.setattr(logistic.predicted, "__defaults__", (12,))
+        here, there = (train.train_logistic(df, "y", ["x1", "x2"], fit_rows=n)["metrics"] for n in (1000, 10))
+        assert here == pytest.approx(there)
+    df.unpersist()
