@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,7 @@ def stacked(df: DataFrame, columns: list[str], measures: dict[str, callable]) ->
 
 
 #: Rank error of a sketch, the margin taken on either side of a rank, and values that decide a rank on the driver.
-ACCURACY, MARGIN, FEW = 10_000, 0.0005, 20_000
+ACCURACY, MARGIN, FEW = 10_000, 0.0005, 2_000
 
 
 def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...]) -> dict[str, list[float | None]]:
@@ -66,16 +67,14 @@ def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...]) -> dict[
         ready = {k: v for k, v in open_.items() if v[3] <= FEW or v[0] == v[1] or k in stuck}
         cells = F.array(*[F.when((x[c] >= low) & (x[c] <= high), F.struct(F.lit(i).alias("i"), x[c].alias("x"))) for i, ((c, _), (low, high, _, _)) in enumerate(ready.items())])
         if ready:
-            rows = df.select(F.explode(F.filter(cells, lambda s: s.isNotNull())).alias("v")).groupBy("v.i", "v.x").agg(F.count(F.lit(1)).alias("n")).orderBy("i", "x").collect()
+            rows = df.select(F.explode(F.filter(cells, lambda s: s.isNotNull())).alias("v")).groupBy("v.i", "v.x").agg(F.count(F.lit(1)).alias("n")).collect()
+            of = np.array([tuple(r) for r in rows]).reshape(-1, 3)
+            of = of[np.lexsort((of[:, 1], of[:, 0]))]
             for i, (c, q) in enumerate(ready):
-                r, upto, ends = rank(c, q), ready[c, q][2], []
-                for k in (int(r), min(int(r) + 1, size[c] - 1)):
-                    seen = upto
-                    for row in (row for row in rows if row["i"] == i):
-                        seen += row["n"]
-                        if seen > k:
-                            ends.append(row["x"])
-                            break
+                own = of[of[:, 0] == i]
+                upto = ready[c, q][2] + np.cumsum(own[:, 2])
+                r = rank(c, q)
+                ends = [float(own[np.searchsorted(upto, k, "right"), 1]) for k in (int(r), min(int(r) + 1, size[c] - 1))]
                 done[c, q] = ends[0] + (r - int(r)) * (ends[1] - ends[0]) if r > int(r) else ends[0]
                 del open_[c, q]
     return {c: [done.get((c, q)) for q in at] for c in columns}
