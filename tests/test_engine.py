@@ -303,19 +303,6 @@ def test_text_targets_rank_by_label_codes(spark):
     assert {r["column"]: round(r["relevance"], 6) for r in select.relevance(df, "y", ["near"]).collect()} == {"near": 1.0}
 
 
-def test_quantiles_narrow_to_the_exact_rank(spark, monkeypatch):
-    import numpy as np
-
-    monkeypatch.setattr(profile, "FEW", 50)
-    rng = np.random.default_rng(6)
-    spread, tied = rng.normal(size=20_000), rng.integers(0, 4, 20_000).astype(float)
-    df = spark.createDataFrame([(float(a), float(b), None, 7) for a, b in zip(spread, tied, strict=True)], "a double, b double, c double, d int").repartition(4)
-    at = (0.0, 0.25, 0.5, 0.75, 0.999, 1.0)
-    got = profile.quantiles(df, ["a", "b", "c", "d"], at)
-    assert got["a"] == pytest.approx(np.quantile(spread, at).tolist()) and got["b"] == pytest.approx(np.quantile(tied, at).tolist())
-    assert got["c"] == [None] * 6 and got["d"] == [7.0] * 6
-
-
 def test_cleaning_leaves_nothing_cached(spark):
     df = spark.createDataFrame([(i, float(i % 9), "ab"[i % 2]) for i in range(40)], "__row_id long, x double, t string")
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
