@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import as_number, numeric_columns
+from .ranks import quantiles
 
 
 def bin_count(n: int, most: int = 30) -> int:
@@ -29,7 +30,7 @@ def histogram(df: DataFrame, column: str, most: int = 30) -> DataFrame:
 def box_plot(df: DataFrame, column: str) -> DataFrame:
     """One row: quartiles, whiskers (the outermost values within the fences) and the number of points beyond."""
     x = F.col(f"`{column}`").cast("double")
-    quartiles = df.agg(F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.75)).alias("q3"))
+    quartiles = quantiles(df.select(x.alias("x")), ["x"], {"q1": 0.25, "median": 0.5, "q3": 0.75}).select("q1", "median", "q3")
     fenced = df.where(x.isNotNull()).select(x.alias("x")).join(F.broadcast(quartiles))
     inside = F.col("x").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return fenced.groupBy("q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("lower_whisker"), F.max(F.when(inside, F.col("x"))).alias("upper_whisker"), F.count_if(~inside).alias("outliers"))

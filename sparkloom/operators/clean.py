@@ -19,6 +19,7 @@ from .assoc import correlation_ratios, cramers_v
 from .outliers import fences
 from ..store import written
 from .profile import stacked
+from .ranks import quantiles, top_values
 
 ROW_ID = "__row_id"
 
@@ -182,8 +183,12 @@ def fit_medians(df: DataFrame) -> dict[str, float]:
     columns = [c for c in numeric_columns(df) if c != ROW_ID]
     if not columns:
         return {}
-    rows = stacked(df, columns, {"nulls": lambda c: F.count_if(c.isNull()), "median": lambda c: F.percentile(c, F.lit(0.5))}).where("nulls > 0").collect()
-    return {r["column"]: 0.0 if r["median"] is None else float(r["median"]) for r in rows}
+    nulls = values(df, columns, lambda c: F.count_if(c.isNull()))
+    columns = [c for c in columns if nulls[c]]
+    if not columns:
+        return {}
+    found = {r["column"]: r["median"] for r in quantiles(df, columns, {"median": 0.5}).collect()}
+    return {c: float(found.get(c, 0.0)) for c in columns}
 
 
 def transform_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -195,8 +200,12 @@ def fit_modes(df: DataFrame) -> dict[str, str]:
     columns = text_columns(df)
     if not columns:
         return {}
-    rows = stacked(df, columns, {"nulls": lambda c: F.count_if(c.isNull()), "mode": lambda c: F.mode(c, True)}).where("nulls > 0").collect()
-    return {r["column"]: "Unknown" if r["mode"] is None else r["mode"] for r in rows}
+    nulls = values(df, columns, lambda c: F.count_if(c.isNull()))
+    columns = [c for c in columns if nulls[c]]
+    if not columns:
+        return {}
+    found = {r["column"]: r["top_value"] for r in top_values(df, columns).collect()}
+    return {c: found.get(c, "Unknown") for c in columns}
 
 
 def transform_modes(df: DataFrame, modes: dict[str, str]) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import numeric_columns
-from .profile import stacked
+from .ranks import quantiles
 
 FENCE = 1.5
 
 
 def fences(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n, q1, q3) of every column, from one scan."""
-    return stacked(df, columns, {"n": lambda c: F.count(c), "q1": lambda c: F.percentile(c, F.lit(0.25)), "q3": lambda c: F.percentile(c, F.lit(0.75))})
+    """(column, n, q1, q3) of every column that has numbers, from one scan."""
+    return quantiles(df, columns, {"q1": 0.25, "q3": 0.75}).drop("unique_count")
 
 
 def iqr_report(df: DataFrame, columns: list[str] | None = None, k: float = FENCE) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import is_number, numeric_columns, text_columns
+from .ranks import quantiles, top_values
 
 #: Aggregates of one pass; wider ones fall out of code generation.
 WIDE = 90
@@ -24,28 +25,18 @@ def stacked(df: DataFrame, columns: list[str], measures: dict[str, callable]) ->
     return out
 
 
-def quantile(c: Column, q: float) -> Column:
-    return F.percentile(c, F.lit(q))
-
-
 NUMERIC = {
     "count": lambda c: F.count(c),
     "null_count": lambda c: F.count_if(c.isNull()),
-    "unique_count": lambda c: F.count_distinct(c),
     "mean": lambda c: F.avg(c.cast("double")),
-    "median": lambda c: quantile(c, 0.5),
     "std": lambda c: F.stddev_samp(c.cast("double")),
     "min": lambda c: F.min(c).cast("double"),
     "max": lambda c: F.max(c).cast("double"),
-    "q1": lambda c: quantile(c, 0.25),
-    "q3": lambda c: quantile(c, 0.75),
 }
 
 CATEGORICAL = {
     "count": lambda c: F.count(F.lit(1)),
     "null_count": lambda c: F.count_if(c.isNull()),
-    "unique_count": lambda c: F.count_distinct(c),
-    "top_value": lambda c: F.mode(c, True),
 }
 
 DATES = {
@@ -58,12 +49,19 @@ DATES = {
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return stacked(df, columns or numeric_columns(df), NUMERIC)
+    """Quartiles and distinct counts come from counted values (see ranks), all else from one scan."""
+    columns = columns or numeric_columns(df)
+    ranked = quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
+    rows = stacked(df, columns, NUMERIC).join(F.broadcast(ranked), "column", "left")
+    rows = rows.withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long")))
+    return rows.select("column", "count", "null_count", "unique_count", "mean", "median", "std", "min", "max", "q1", "q3")
 
 
 def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The count includes nulls; the top value is the smallest of the most frequent ones."""
-    return stacked(df, columns or text_columns(df), CATEGORICAL)
+    columns = columns or text_columns(df)
+    rows = stacked(df, columns, CATEGORICAL).join(F.broadcast(top_values(df, columns)), "column", "left")
+    return rows.withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long")))
 
 
 def datetime_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
