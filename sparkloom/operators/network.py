@@ -60,6 +60,14 @@ def centrality(pairs: DataFrame) -> DataFrame:
     return both.groupBy("column").agg(F.sum(F.abs("r")).alias("centrality"))
 
 
+def main_centrality(pairs: DataFrame, names: Sequence[str], threshold: float = EDGE) -> DataFrame:
+    """(column, centrality) of the first largest network: summed strength of each column's correlations within it."""
+    found = component_table(pairs, names, threshold).where("is_largest")
+    main = found.join(F.broadcast(found.agg(F.min("component").alias("component"))), "component").select("column")
+    inside = pairs.join(F.broadcast(main.withColumnRenamed("column", "col_a")), "col_a").join(F.broadcast(main.withColumnRenamed("column", "col_b")), "col_b")
+    return main.join(centrality(inside), "column", "left").select("column", F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
+
+
 def most_important(pairs: Sequence[Pair], names: Sequence[str], threshold: float = EDGE) -> str | None:
     """The most central column of the first largest component; the first of equals."""
     if not names:

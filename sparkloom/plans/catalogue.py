@@ -315,6 +315,28 @@ def _(spark, d):
     return rounded(network.centrality(table(spark, d, "planted_edges")), "centrality")
 
 
+MAIN_NETWORK = """WITH RECURSIVE names AS (SELECT col_a AS c FROM planted_edges UNION SELECT col_b FROM planted_edges),
+links AS (SELECT col_a AS a, col_b AS b FROM planted_edges WHERE abs(r) >= 0.35 UNION ALL SELECT col_b, col_a FROM planted_edges WHERE abs(r) >= 0.35),
+reach AS (SELECT c, c AS z FROM names UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.z),
+of AS (SELECT c, min(z) AS component, count(*) AS size FROM reach GROUP BY c),
+main AS (SELECT c FROM of WHERE component = (SELECT component FROM of ORDER BY size DESC, component LIMIT 1)),
+inside AS (SELECT * FROM planted_edges WHERE col_a IN (SELECT c FROM main) AND col_b IN (SELECT c FROM main)),
+ends AS (SELECT col_a AS c, r FROM inside UNION ALL SELECT col_b, r FROM inside),
+central AS (SELECT main.c AS "column", coalesce(sum(abs(r)), 0) AS centrality FROM main LEFT JOIN ends ON ends.c = main.c GROUP BY main.c)
+"""
+
+
+@query("main_network_centrality", MAIN_NETWORK + 'SELECT "column", round(centrality, 6) AS centrality FROM central')
+def _(spark, d):
+    return rounded(network.main_centrality(table(spark, d, "planted_edges"), list("abcdef")), "centrality")
+
+
+@query("most_important_column", MAIN_NETWORK + 'SELECT "column" FROM central ORDER BY centrality DESC, "column" LIMIT 1')
+def _(spark, d):
+    pairs = [(r["col_a"], r["col_b"], r["r"]) for r in table(spark, d, "planted_edges").collect()]
+    return spark.createDataFrame([(network.most_important(pairs, list("abcdef")),)], "column string")
+
+
 NAMES = ("the", "de", "und", "qty_1", "a")
 
 
@@ -535,3 +557,9 @@ def _(spark, d):
     whole = F.bool_and(c == F.floor(c))
     few = (F.count_distinct(c) <= 10) & (F.count_distinct(c) <= F.greatest(F.lit(2.0), 0.02 * F.count(c)))
     return table(spark, d, "lineitem").agg((whole & few).alias("is_classification"))
+
+
+@query("locale_number", "SELECT o_orderkey, CAST(replace(format('{:,.2f}', o_totalprice), ',', '') AS DOUBLE) AS number FROM orders")
+def _(spark, d):
+    shown = table(spark, d, "orders").select("o_orderkey", F.format_number("o_totalprice", 2).alias("text"))
+    return shown.select("o_orderkey", v.locale_number(F.col("text")).alias("number"))

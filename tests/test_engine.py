@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import values as v
-from sparkloom.operators import assoc, charts, clean, gram, insights, logistic, metrics, network, outliers, profile, select, train
+from sparkloom.operators import assoc, charts, clean, gram, insights, logistic, metrics, network, outliers, profile, ranks, select, train
 from sparkloom.plans import views
 from sparkloom.plans.analyst import Analyst
 from sparkloom.sources import ingest
@@ -325,3 +325,25 @@ def test_large_tables_are_scored_and_fitted_alike(spark, labels, monkeypatch):
         here, there = (train.train_logistic(df, "y", ["x1", "x2"], fit_rows=n)["metrics"] for n in (1000, 10))
         assert here == pytest.approx(there)
     df.unpersist()
+
+
+def test_quantiles_by_rank(spark):
+    rng = np.random.default_rng(5)
+    whole = {"a": rng.integers(-20, 20, 501), "b": np.round(rng.normal(size=501), 3), "c": np.full(501, 7.0)}
+    rows = [(int(a), float(b) if i % 7 else None, float(c), None) for i, (a, b, c) in enumerate(zip(*whole.values(), strict=True))]
+    df = spark.createDataFrame(rows, "a long, b double, c double, nothing double").repartition(6)
+    found = {r["column"]: r for r in ranks.quantiles(df, df.columns, {"low": 0.0, "q": 0.137, "mid": 0.5, "high": 1.0}).collect()}
+    assert set(found) == {"a", "b", "c"}
+    for i, name in enumerate(("a", "b", "c")):
+        held = np.array([r[i] for r in rows if r[i] is not None], dtype=float)
+        assert found[name]["n"] == len(held) and found[name]["unique_count"] == len(set(held))
+        assert np.allclose([found[name][k] for k in ("low", "q", "mid", "high")], np.quantile(held, [0, 0.137, 0.5, 1]))
+    assert ranks.quantiles(df.limit(0), ["a"], {"mid": 0.5}).count() == 0
+    big = spark.createDataFrame([(2**60,), (2**60 + 1,), (2**60 + 1,)], "a long")
+    assert ranks.quantiles(big, ["a"], {"mid": 0.5}).first()["unique_count"] == 2
+
+
+def test_top_values(spark):
+    df = spark.createDataFrame([("x", "b"), ("x", "a"), ("y", "a"), (None, "b")], "p string, q string")
+    found = {r["column"]: (r["unique_count"], r["top_value"]) for r in ranks.top_values(df, ["p", "q"]).collect()}
+    assert found == {"p": (2, "x"), "q": (2, "a")}
