@@ -14,15 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import NUMBER, as_date, as_number, is_number, numeric_columns, text_columns
+from ..functions.values import NUMBER, ROW_ID, as_date, as_number, is_number, numeric_columns, text_columns
 from .assoc import correlation_ratios, cramers_v
 from .outliers import fences
 from ..store import written
 from .profile import stacked
 from .ranks import quantiles, top_values
 
-ROW_ID = "__row_id"
-
 
 @dataclass(frozen=True)
 class Settings:

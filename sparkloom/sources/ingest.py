@@ -5,6 +5,7 @@ Spark reads the file.
 from __future__ import annotations
 
 import csv
+from collections import Counter
 from dataclasses import dataclass
 from io import StringIO
 
@@ -12,27 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import NULL_TOKENS, as_number, nan_to_null
+from ..functions.values import NULL_TOKENS, ROW_ID, as_number, nan_to_null
+from .records import records, with_row_id
 
 DELIMITERS = (",", "\t", ";", "|")
-ROW_ID = "__row_id"
-#: Bytes of a file's head that decide its dialect.
-SAMPLE_BYTES = 1 << 20
-
-
-def with_row_id(df: DataFrame) -> DataFrame:
-    """__row_id 0..n-1 in the file's order: partitions are counted, and each continues where the others end."""
-    tagged = df.withColumn("__m", F.monotonically_increasing_id())
-    at = F.shiftright("__m", 33)
-    counts = tagged.groupBy(at.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    starts, n = [], 0
-    for r in counts:
-        starts.append((r["p"], n))
-        n += r["n"]
-    # one row for each partition of the file: a table to join, not a plan that grows with them
-    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "__p long, __offset long"))
-    joined = tagged.join(offsets, at == F.col("__p"))
-    return joined.select((F.col("__offset") + F.col("__m").bitwiseAND((1 << 33) - 1)).cast("long").alias(ROW_ID), *[F.col(f"`{c}`") for c in df.columns])
+#: Of a file's head, the bytes and lines that decide its dialect.
+SAMPLE_BYTES, SAMPLE_LINES = 1 << 20, 2000
 
 
 def file_type(head: bytes) -> str:
@@ -60,10 +46,12 @@ def sniffed(sample: str) -> str | None:
 
 
 def parsed(sample: str, sep: str, skip: int = 0) -> pd.DataFrame | None:
-    try:
-        return pd.read_csv(StringIO(sample), sep=sep, skiprows=skip, engine="python")
-    except (ValueError, csv.Error):
-        return None
+    for end in ("", '"'):  # the sample may end within quotes
+        try:
+            return pd.read_csv(StringIO(sample + end), sep=sep, skiprows=skip, engine="python")
+        except (ValueError, csv.Error):
+            continue
+    return None
 
 
 def parse_score(df: pd.DataFrame | None) -> float:
@@ -113,8 +101,6 @@ def dialect(head: bytes) -> Dialect:
     text = head.decode("utf-8-sig", errors="ignore")
     if not text.strip():
         raise ValueError("the file is empty")
-    if len(head) >= SAMPLE_BYTES:
-        text = text[: text.rfind("\n") + 1] or text
     guess = sniffed(text)
     order = [guess, *[d for d in DELIMITERS if d != guess]] if guess in DELIMITERS else list(DELIMITERS)
     best, score = None, -1.0
@@ -128,34 +114,60 @@ def dialect(head: bytes) -> Dialect:
     return Dialect(best, 1 if best != r"\s+" and dimension_row(text, best) else 0)
 
 
-def broken_cells(sample: bytes) -> bool:
-    """Whether a quoted cell goes on in the next line: some line of the sample holds an odd number of quotes."""
-    return any(line.count(b'"') % 2 for line in sample.splitlines())
+def head_of(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, wherever Spark can open it."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getFileStatus(where).isDirectory():
+        names = sorted(f.getPath().toString() for f in system.listStatus(where) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        if not names:
+            return b""
+        where = jvm.org.apache.hadoop.fs.Path(names[0])
+    stream = system.open(where)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
+
+
+def column_names(header: str, sep: str) -> list[str]:
+    """Names of the first record's cells: blank ones by place, repeated ones (whatever their case) numbered."""
+    seen: Counter[str] = Counter()
+    names = []
+    for i, cell in enumerate(next(csv.reader(StringIO(header, newline=""), delimiter=sep, skipinitialspace=True))):
+        name = cell or f"Unnamed: {i}"
+        while seen[name.lower()]:
+            seen[name.lower()] += 1
+            name = f"{name}.{seen[name.lower()] - 1}"
+        seen[name.lower()] += 1
+        names.append(name)
+    return names
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A table of inferred types with __row_id; malformed lines are kept as far as they parse. Where the sample has line
-    breaks within quotes, a file is read as a whole by one task (Spark cannot split it); else in parallel."""
-    # Spark opens the path, wherever it is; only the head's lines come to the driver
-    head = "\n".join(r["value"] for r in spark.read.text(path).limit(2000).collect()).encode()
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("c")).first()
-    raw = bytes(first["c"]) if first else b""  # an empty file has no row
-    if file_type(raw) != "csv":
-        raise ValueError(f"not a delimited text file ({file_type(raw)})")
-    how = dialect(head[:SAMPLE_BYTES])
+    """A table of inferred types with __row_id; malformed records are kept as far as they parse. Line ends within quotes are
+    part of a cell wherever they stand (see records), and every file is read by as many tasks as it has splits."""
+    head = head_of(spark, path)
+    if file_type(head) != "csv":
+        raise ValueError(f"not a delimited text file ({file_type(head)})")
+    end = "\r" if b"\r" in head and b"\n" not in head else "\n"
+    if len(head) == SAMPLE_BYTES:  # whole lines, where there are any
+        head = head[: head.rfind(b"\n") + 1] or head
+    sample = b"\n".join(head.replace(b"\r\n", b"\n").replace(b"\r", b"\n").split(b"\n")[:SAMPLE_LINES])
+    how = dialect(sample)
     if how.sep == r"\s+":
-        cells = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.split(F.trim("value"), r"\s+").alias("c"))
-        names = [c.lstrip("﻿") for c in cells.first()["c"]]
+        cells = spark.read.option("lineSep", end).text(path).where(F.length(F.trim("value")) > 0).select(F.split(F.trim(F.rtrim("value", F.lit("\r"))), r"\s+").alias("c"))
+        names = [c.lstrip("\ufeff") for c in cells.first()["c"]]
         df = with_row_id(cells).where(f"{ROW_ID} > 0").select((F.col(ROW_ID) - 1).alias(ROW_ID), *[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
     else:
-        reader = spark.read.option("sep", how.sep).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", "true").option("multiLine", str(broken_cells(head)).lower())
-        if how.skip:
-            plain = reader.csv(path)
-            rows = with_row_id(plain)
-            names = [x if x else f"Unnamed: {i}" for i, x in enumerate(rows.where(f"{ROW_ID} = 1").drop(ROW_ID).first())]
-            df = rows.where(f"{ROW_ID} > 1").select((F.col(ROW_ID) - 2).alias(ROW_ID), *[F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
-        else:
-            df = with_row_id(reader.option("header", "true").csv(path))
+        rows = records(spark, path, how.sep, end)
+        first = rows.where(f"{ROW_ID} = {how.skip}").first()
+        names = column_names(first["value"].lstrip("\ufeff").rstrip("\r"), how.sep)
+        options = {"sep": how.sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true"}
+        cells = F.from_csv(F.rtrim("value", F.lit("\r")), ", ".join(f"c{i} string" for i in range(len(names))), options)
+        parsed_ = rows.where(f"{ROW_ID} > {how.skip}").select((F.col(ROW_ID) - (how.skip + 1)).alias(ROW_ID), cells.alias("c"))
+        df = parsed_.select(ROW_ID, *[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)])
     if not df.limit(1).count():
         raise ValueError("the file has no data rows")
     return typed(df)
@@ -174,9 +186,9 @@ def typed(df: DataFrame) -> DataFrame:
     for i, c in enumerate(columns):
         x, n = F.col(f"`{c}`"), facts[f"n{i}"]
         if n and facts[f"b{i}"] == n:
-            x = x.cast("boolean")
+            x = x.try_cast("boolean")
         elif n and facts[f"i{i}"] == n:
-            x = F.trim(x).cast("long")
+            x = F.trim(x).try_cast("long")
         elif facts[f"m{i}"] == n:
             x = as_number(x)
         out.append(x.alias(c))

@@ -11,7 +11,7 @@ from sparkloom.functions import values as v
 from sparkloom.operators import assoc, charts, clean, gram, insights, logistic, metrics, network, outliers, profile, ranks, select, train
 from sparkloom.plans import views
 from sparkloom.plans.analyst import Analyst
-from sparkloom.sources import ingest
+from sparkloom.sources import ingest, records
 from sparkloom.sources.catalog import Catalog, for_json
 from sparkloom.streaming import cleaned as streamed
 
@@ -347,3 +347,64 @@ def test_top_values(spark):
     df = spark.createDataFrame([("x", "b"), ("x", "a"), ("y", "a"), (None, "b")], "p string, q string")
     found = {r["column"]: (r["unique_count"], r["top_value"]) for r in ranks.top_values(df, ["p", "q"]).collect()}
     assert found == {"p": (2, "x"), "q": (2, "a")}
+
+
+def line_by_line(text, sep=","):
+    import csv
+    import io
+
+    return [tuple(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if r]
+
+
+def test_line_break_after_thousands_of_plain_rows(spark, tmp_path):
+    path = write(tmp_path, "a,b\n" + "".join(f"x{i},{i}\n" for i in range(2500)) + '"p\nq",9999\n')
+    df = ingest.read_delimited(spark, path)
+    assert df.count() == 2501 and df.where("b = 9999").first()["a"] == "p\nq"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_across_many_splits(spark, tmp_path, seed):
+    """Splits of a few hundred bytes, cells longer than several splits, quotes that open nothing."""
+    import random
+
+    rng = random.Random(seed)
+    cells = ['plain', '5" pipe', '"q,u"', '"a ""b"" c"', '"two\nlines"', '"\n\n"', '""', "", '"' + "long\n" * 300 + '"', '"x\n""y""\n,z"', "é漢"]
+    rows = [[str(i), *rng.choices(cells, [9, 2, 3, 2, 2, 1, 1, 1, 0.3, 1, 2], k=2)] for i in range(400)]
+    text = "id,a,b\n" + "".join(",".join(r) + rng.choice(["\n", "\n", "\n\n"]) for r in rows)
+    path = write(tmp_path, text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        found = records.records(spark, path, ",")
+        assert found.rdd.getNumPartitions() > 5 or found.select(F.spark_partition_id()).distinct().count() > 1
+        got = sorted((r["__row_id"], r["value"]) for r in found.collect())
+        assert [i for i, _ in got] == list(range(len(got)))
+        assert [line_by_line(v)[0] for _, v in got] == line_by_line(text)
+        df = ingest.read_delimited(spark, path)
+        assert [r["id"] for r in df.orderBy("__row_id").collect()] == list(range(400))
+        expected = {int(r[0]): tuple(x or None for x in r[1:]) for r in line_by_line(text)[1:]}
+        assert {r["id"]: (r["a"], r["b"]) for r in df.collect()} == {k: tuple(None if x is None or not x.strip(" ") else x for x in v) for k, v in expected.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_states_of_lines_against_the_csv_module():
+    import csv
+    import random
+
+    rng, quoting = random.Random(7), records.Quoting.by(",")
+    for _ in range(3000):
+        line = "".join(rng.choices(['"', ",", "a", " "], [3, 2, 3, 0], k=rng.randint(0, 9)))
+        rows = list(csv.reader([line + "\n", "end\n"]))
+        assert (quoting.after(line, records.START) == records.QUOTED) == (len(rows) == 1), line
+        rows = list(csv.reader(['"open\n', line + "\n", "end\n"]))
+        assert (quoting.after(line, records.QUOTED) == records.QUOTED) == (len(rows) == 1), line
+
+
+def test_other_line_ends_and_headers(spark, tmp_path):
+    df = ingest.read_delimited(spark, write(tmp_path, b'\xef\xbb\xbf"a",a,,A\r\n"x\r\ny",1,2,3\r\n\r\nz,4,5,6\r\n', "crlf.csv"))
+    assert df.columns == ["__row_id", "a", "a.1", "Unnamed: 2", "A.2"]
+    assert [tuple(r) for r in df.orderBy("__row_id").collect()] == [(0, "x\r\ny", 1, 2, 3), (1, "z", 4, 5, 6)]
+    mac = ingest.read_delimited(spark, write(tmp_path, b'a,b\r"x\ry",1\rz,2\r', "mac.csv"))
+    assert [tuple(r) for r in mac.orderBy("__row_id").collect()] == [(0, "x\ry", 1), (1, "z", 2)]
+    open_ = ingest.read_delimited(spark, write(tmp_path, 'a,b\n1,2\n3,"never closed\n4,5\n', "open.csv"))
+    assert open_.count() == 2
