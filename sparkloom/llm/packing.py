@@ -46,9 +46,11 @@ SEGMENT, OUT_BYTES = 1 << 20, 8 << 20
 #: Where no token of a byte-level vocabulary crosses: before a single blank or line end between printable characters.
 _BREAK = re.compile(r"(?<=[!-~])(?=[ \n][!-~])")
 
-# Texts that both libraries split into the same words: characters whose class no Unicode version changed, no special
-# token, no run that is long enough to strain a regular expression.
-_PLAIN, _SPECIAL, _RUN = re.compile("[\t\n\r -~\xa1-\u024f]*"), "<|", re.compile(r"\S{500}|\s{100}")
+# Texts that both libraries split into the same words: characters whose class no Unicode version changed, and no special token.
+_PLAIN, _SPECIAL = re.compile("[\t\n\r -~\xa1-\u024f]*"), "<|"
+# Runs of characters, and of white space, that would strain a regular expression.
+LONG_WORD, LONG_BLANK = 500, 100
+_BLANKS = re.compile(rf"\s{{{LONG_BLANK}}}")
 
 PIECES = "doc_id long, doc_tokens long, start long, length long, ids binary, part int, at long"
 
@@ -81,13 +83,19 @@ class Encoder:
         return b"".join(self._segment(s) for s in segments(text))
 
     def _segment(self, text: str) -> bytes:
-        if self.fast is not None and _PLAIN.fullmatch(text) and _SPECIAL not in text and not _RUN.search(text):
+        if self.fast is not None and _PLAIN.fullmatch(text) and _SPECIAL not in text and not long_runs(text):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
 
+def long_runs(text: str) -> bool:
+    words = list(map(len, text.split()))
+    spare = len(text) - sum(words) - len(words)  # blanks beyond one between words: a long blank needs as many
+    return max(words, default=0) >= LONG_WORD or (spare >= LONG_BLANK - 2 and _BLANKS.search(text) is not None)
+
+
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
     start = 0
     while len(text) - start > size:
