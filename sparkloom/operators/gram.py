@@ -18,6 +18,8 @@ from ..functions.values import finite
 
 REPEATS = 4
 TRAIN, VALIDATE = 70, 85
+#: Rows from which subsets are scored.
+LEAST_ROWS = 40
 
 
 def fold_bucket(repeat: int, *keys: str) -> Column:
@@ -33,6 +35,7 @@ class Grams:
     mean: np.ndarray
     scale: np.ndarray
     sums: dict[tuple[int, str], np.ndarray]
+    rows: int | None = None
 
     def r2(self, features: list[str], repeat: int) -> float | None:
         """Validation R² of least squares on the features; None without validation rows."""
@@ -49,7 +52,9 @@ class Grams:
         return float(1 - error / total)
 
     def score(self, features: list[str]) -> float | None:
-        """Mean R² of the repeats."""
+        """Mean R² of the repeats; None for too few rows."""
+        if self.rows is not None and self.rows < LEAST_ROWS:
+            return None
         found = [x for r in range(REPEATS) if (x := self.r2(features, r)) is not None]
         return float(np.mean(found)) if found and features else None
 
@@ -64,11 +69,6 @@ class Grams:
         return float(intercept), slopes
 
 
-def usable(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns as finite doubles, rows with a missing one left out."""
-    return df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).dropna()
-
-
 def grams(df: DataFrame, features: list[str], target: str, repeats: int = REPEATS, roles: Column | None = None) -> Grams:
     """One scan for means and spreads, one for all sums. ``roles`` may give each row's array of roles by repeat."""
     names = [*features, target]
@@ -77,7 +77,7 @@ def grams(df: DataFrame, features: list[str], target: str, repeats: int = REPEAT
         cells = [f"c{i}" for i in range(len(names))]
         of = [F.when(fold_bucket(r, *cells) < TRAIN, "train").when(fold_bucket(r, *cells) < VALIDATE, "validate").otherwise("") for r in range(repeats)]
         work = work.withColumn("roles", F.array(*of))
-    first = work.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(names))], *[F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(len(names))]).first()
+    first = work.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(names))], *[F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(len(names))], F.count(F.lit(1)).alias("n")).first()
     k = len(names)
     mean = np.array([first[i] or 0.0 for i in range(k)])
     scale = np.array([first[k + i] or 1.0 for i in range(k)])
@@ -99,7 +99,7 @@ def grams(df: DataFrame, features: list[str], target: str, repeats: int = REPEAT
     out: dict[tuple[int, str], np.ndarray] = {}
     for r in parts:
         out.setdefault((r["repeat"], r["role"]), np.zeros((k + 1, k + 1)))[r["i"], r["j"]] = r["v"]
-    return Grams(features, mean, scale, out)
+    return Grams(features, mean, scale, out, first["n"])
 
 
 def simple_ols(df: DataFrame, x: str, y: str) -> DataFrame:

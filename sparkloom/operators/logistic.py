@@ -1,40 +1,20 @@
-"""Logistic regression by full-batch gradient descent, without scaling and without a convergence test.
-
-Two ways: ``fit_binary`` works on one matrix in memory and is used inside grouped maps, where every
-(candidate, fold) is a group of its own; ``fit_distributed`` sums each step's gradient over the table's
-partitions, for data beyond one task.
-"""
+"""Logistic regression by full-batch gradient descent, without scaling and without a convergence test: models as
+expressions, fits and scores of feature subsets (see descent, where all of them advance together)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import finite, sigmoid
-from .gram import REPEATS, TRAIN, VALIDATE, fold_bucket
-from .metrics import best_threshold, classification_scores
-
-STEPS, RATE, L2 = 900, 0.05, 1e-4
-
-
-def squash(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
-
-
-def fit_binary(x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> np.ndarray:
-    """Weights [intercept, *features]; both classes weigh the same, the intercept is not shrunk."""
-    x = np.column_stack([np.ones(len(x)), x])
-    pos, neg = float(y.sum()), float(len(y) - y.sum())
-    weight = np.where(y == 1, len(y) / (2 * max(pos, 1.0)), len(y) / (2 * max(neg, 1.0)))
-    shrink = np.r_[0.0, np.full(x.shape[1] - 1, l2)]
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        w -= rate * (x.T @ (weight * (squash(x @ w) - y)) / weight.sum() + shrink * w)
-    return w
+from ..functions.values import sigmoid
+from .descent import HERE_CELLS, STEPS, TRAIN, UNUSED, VALIDATE, Rows, fitted
+from .descent import candidate_scores as scored
+from .gram import REPEATS, fold_bucket
+from .gram import TRAIN as TRAIN_SHARE
+from .gram import VALIDATE as VALIDATE_SHARE
 
 
 def probability(weights: Sequence[float], features: Sequence[str]) -> Column:
@@ -46,108 +26,42 @@ def probability(weights: Sequence[float], features: Sequence[str]) -> Column:
 
 def one_vs_rest(models: dict[str, Sequence[float]], features: Sequence[str]) -> Column:
     """The label of the highest share, by one model for each label; the first of equals."""
-    labels = sorted(models)
+    labels = list(models)
     cells = F.array(*[probability(models[k], features) for k in labels])
     return F.element_at(F.array(*map(F.lit, labels)), F.array_position(cells, F.array_max(cells)).cast("int"))
 
 
-def macro_f1(true: np.ndarray, said: np.ndarray) -> float:
-    found = []
-    for label in np.union1d(true, said):
-        hit = float(((true == label) & (said == label)).sum())
-        all_ = float((true == label).sum() + (said == label).sum())
-        found.append(2 * hit / all_ if all_ else 0.0)
-    return float(np.mean(found)) if found else 0.0
+def fold_roles(repeats: int = REPEATS):
+    """Each row's role in each holdout repeat, by hash of its values."""
+
+    def of(names: list[str]) -> list[Column]:
+        bucket = [fold_bucket(r, *names) for r in range(repeats)]
+        return [F.when(b < TRAIN_SHARE, TRAIN).when(b < VALIDATE_SHARE, VALIDATE).otherwise(UNUSED) for b in bucket]
 
+    return of
 
-def sweep(true: np.ndarray, p: np.ndarray) -> float:
-    """The threshold of best macro-F1, then accuracy; the lowest of equals."""
-    best, at = (-1.0, -1.0), 0.5
-    for t in np.linspace(0.05, 0.95, 37):
-        said = (p >= t).astype(int)
-        now = (macro_f1(true, said), float((true == said).mean()))
-        if now[0] > best[0] + 1e-6 or (abs(now[0] - best[0]) <= 1e-6 and now[1] > best[1] + 1e-6):
-            best, at = now, float(t)
-    return at
 
+def candidate_scores(df: DataFrame, subsets: Sequence[Sequence[str]], target: str, repeats: int = REPEATS, steps: int = STEPS, here_cells: int = HERE_CELLS) -> DataFrame:
+    """(candidate, f1_macro, accuracy): mean over holdout repeats of each feature subset that can be scored. Rows with a
+    missing value in any of the features are left out of all."""
+    names = sorted({f for s in subsets for f in s})
+    masks = np.array([[1.0] * len(subsets), *[[float(f in s) for s in map(set, subsets)] for f in names]])
+    found = scored(Rows(df, names, target, fold_roles(repeats)), masks, steps, here_cells)
+    rows = [(i, float(f1), float(accuracy)) for i, (f1, accuracy) in enumerate(found) if not np.isnan(f1)]
+    return df.sparkSession.createDataFrame(rows, "candidate int, f1_macro double, accuracy double")
 
-def fit_predict(x: np.ndarray, y: np.ndarray, x_eval: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Codes for x_eval by models of (x, y); two codes share a swept threshold, more go one against the rest."""
-    codes = np.unique(y)
-    if len(codes) == 2:
-        w = fit_binary(x, (y == codes[1]).astype(float), steps)
-        t = sweep((y == codes[1]).astype(int), squash(np.column_stack([np.ones(len(x)), x]) @ w))
-        return np.where(squash(np.column_stack([np.ones(len(x_eval)), x_eval]) @ w) >= t, codes[1], codes[0])
-    p = np.stack([squash(np.column_stack([np.ones(len(x_eval)), x_eval]) @ fit_binary(x, (y == k).astype(float), steps)) for k in codes], axis=1)
-    return codes[p.argmax(axis=1)]
 
+def fit(train: DataFrame, features: Sequence[str], target: str, steps: int = STEPS, here_cells: int = HERE_CELLS) -> tuple[dict[str, np.ndarray], list[str], float]:
+    """Models of all rows of train: weights by label (of two labels the larger one's only), the labels in order, the threshold."""
+    rows = Rows(train, features, target, [F.lit(TRAIN)])
+    models, threshold = fitted(rows, steps, here_cells)
+    return models, rows.labels, threshold
 
-def candidate_scores(df: DataFrame, subsets: Sequence[Sequence[str]], target: str, repeats: int = REPEATS, steps: int = STEPS, row_limit: int = 200_000) -> DataFrame:
-    """(candidate, f1_macro, accuracy): mean over holdout repeats of each feature subset.
 
-    Each (candidate, repeat) is one group of at most ``row_limit`` rows, so the rows are met as often as there
-    are candidates. A larger table is scored with the same fits and folds by ``fit_distributed``, on all its rows.
-    """
-    names = sorted({f for s in subsets for f in s})
-    work = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in names], F.col(f"`{target}`").cast("string").alias("__y")).dropna()
-    if work.count() > row_limit:
-        return _scores_of_large(work, subsets, repeats, steps)
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(r).alias("repeat"), F.when(fold_bucket(r, *names, "__y") < TRAIN, "train").when(fold_bucket(r, *names, "__y") < VALIDATE, "validate").alias("role")) for i in range(len(subsets)) for r in range(repeats)])).alias("g")
-    tagged = work.select(*names, "__y", grid).select(*names, "__y", "g.*").where("role is not null")
-    of = [list(s) for s in subsets]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf["candidate"].iloc[0])
-        codes = pd.Categorical(pdf["__y"]).codes
-        x, train = pdf[of[i]].to_numpy(float), (pdf["role"] == "train").to_numpy()
-        if len(np.unique(codes[train])) < 2 or (~train).sum() < 5:
-            return pd.DataFrame({"candidate": [], "f1": [], "acc": []})
-        said = fit_predict(x[train], codes[train], x[~train], steps)
-        return pd.DataFrame({"candidate": [i], "f1": [macro_f1(codes[~train], said)], "acc": [float((codes[~train] == said).mean())]})
-
-    scored = tagged.groupBy("candidate", "repeat").applyInPandas(one, "candidate int, f1 double, acc double")
-    return scored.groupBy("candidate").agg(F.avg("f1").alias("f1_macro"), F.avg("acc").alias("accuracy"))
-
-
-def predicted(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, steps: int = STEPS) -> tuple[DataFrame, list[str]]:
-    """rows with y_true, y_pred and y_prob by models fitted on all rows of train; and the labels, which are those of train."""
-    labels = sorted(r[0] for r in train.select(f"`{target}`").distinct().collect())
-    one = lambda k: fit_distributed(train.withColumn("__is", (F.col(f"`{target}`") == k).cast("double")), features, "__is", steps)
-    y = F.col(f"`{target}`").alias("y_true")
+def predicted(rows: DataFrame, features: Sequence[str], target: str, models: dict[str, np.ndarray], labels: Sequence[str], threshold: float) -> DataFrame:
+    """rows with y_true, y_pred and y_prob."""
+    y = F.col(f"`{target}`").cast("string").alias("y_true")
     if len(labels) > 2:
-        return rows.select("*", y, one_vs_rest({k: one(k) for k in labels}, features).alias("y_pred"), F.lit(None).cast("double").alias("y_prob")), labels
-    p = probability(one(labels[-1]), features)
-    t = best_threshold(train.select((F.col(f"`{target}`") == labels[-1]).cast("int").alias("y"), p.alias("p")), "y", "p")
-    return rows.select("*", y, F.when(p >= t, labels[-1]).otherwise(labels[0]).alias("y_pred"), p.alias("y_prob")), labels
-
-
-def _scores_of_large(work: DataFrame, subsets: Sequence[Sequence[str]], repeats: int, steps: int) -> DataFrame:
-    names = [c for c in work.columns if c != "__y"]
-    out = []
-    for i, subset in enumerate(subsets):
-        found = []
-        for r in range(repeats):
-            bucket = fold_bucket(r, *names, "__y")
-            train, held = work.where(bucket < TRAIN), work.where((bucket >= TRAIN) & (bucket < VALIDATE))
-            if train.select("__y").distinct().limit(2).count() == 2 and held.limit(5).count() == 5:
-                found.append(classification_scores(predicted(train, held, list(subset), "__y", steps)[0], "y_true", "y_pred").first())
-        if found:
-            out.append((i, *(float(np.mean([x[k] for x in found])) for k in ("f1_macro", "accuracy"))))
-    return work.sparkSession.createDataFrame(out, "candidate int, f1_macro double, accuracy double")
-
-
-def fit_distributed(df: DataFrame, features: Sequence[str], label: str, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> np.ndarray:
-    """The same descent with each step's gradient summed over the table (persisted, as every step reads it)."""
-    work = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(f"x{i}") for i, c in enumerate(features)], F.col(f"`{label}`").cast("double").alias("y")).dropna().persist()
-    n, pos = work.agg(F.count(F.lit(1)), F.sum("y")).first()
-    weight = F.when(F.col("y") == 1, n / (2 * max(pos or 0.0, 1.0))).otherwise(n / (2 * max(n - (pos or 0.0), 1.0)))
-    cells = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(features))]]
-    shrink = np.r_[0.0, np.full(len(features), l2)]
-    w = np.zeros(len(cells))
-    for _ in range(steps):
-        z = sum((F.lit(float(b)) * c for b, c in zip(w, cells, strict=True)), F.lit(0.0))
-        miss = weight * (sigmoid(z) - F.col("y"))
-        row = work.agg(F.sum(weight).alias("all"), *[F.sum(miss * c).alias(f"g{i}") for i, c in enumerate(cells)]).first()
-        w = w - rate * (np.array([row[f"g{i}"] for i in range(len(cells))]) / row["all"] + shrink * w)
-    work.unpersist()
-    return w
+        return rows.select("*", y, one_vs_rest(models, features).alias("y_pred"), F.lit(None).cast("double").alias("y_prob"))
+    p = probability(models[labels[1]], features)
+    return rows.select("*", y, F.when(p >= threshold, labels[1]).otherwise(labels[0]).alias("y_pred"), p.alias("y_prob"))

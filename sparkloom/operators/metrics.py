@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 THRESHOLDS = tuple(round(0.05 + 0.025 * i, 3) for i in range(37))
 
 
+#: A score, or scores of which later ones break ties.
+Score = float | tuple[float, ...]
+
+
+def first_of(score: Score) -> float:
+    return score[0] if isinstance(score, tuple) else score
+
+
+def beats(new: Score, old: Score | None, tol: float) -> bool:
+    """Whether a score is more than ``tol`` above another; within it the next one decides."""
+    if old is None:
+        return True
+    for a, b in zip(new if isinstance(new, tuple) else (new,), old if isinstance(old, tuple) else (old,), strict=True):
+        if abs(a - b) > tol:
+            return a > b
+    return False
+
+
 def regression_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: r2 (0 where the target does not vary), mae, rmse."""
     y, e = F.col(actual).cast("double"), (F.col(actual) - F.col(predicted)).cast("double")

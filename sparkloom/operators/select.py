@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.values import numeric_columns, text_columns
 from .assoc import correlation_pairs, pearson
 from .gram import Grams
+from .metrics import Score as Value
+from .metrics import beats, first_of
 from .profile import stacked
 
 # Words in names, and what they add to a target's prior.
@@ -21,7 +23,20 @@ PENALTIES = ("index", "rank", "code", "zip", "latitude", "longitude", "lat", "lo
 LEAKS = ("target", "label", "prediction", "predicted", "outcome", "response")
 COORDINATES = ("lat", "latitude", "lon", "lng", "longitude")
 
-Score = Callable[[list[str]], float | None]
+Score = Callable[[list[str]], Value | None]
+
+
+def ahead(score: Score, subsets: Sequence[Sequence[str]]) -> None:
+    """Lets a score that can work out many subsets together do so."""
+    many = getattr(score, "many", None)
+    if many is not None:
+        many(subsets)
+
+
+def entry(features: Sequence[str], value: Value) -> dict:
+    """A line of a search's history."""
+    found = {"k": len(features), "features": list(features), "score": first_of(value)}
+    return found | {"accuracy": value[1]} if isinstance(value, tuple) and len(value) > 1 else found
 
 
 def is_coordinate(name: str) -> bool:
@@ -114,11 +129,12 @@ def grow(features: Sequence[str], score: Score, rows: int, gain: float = 0.005,
     """The first k features, for the k from 3 on that scores best; stops where more no longer help."""
     if rows < 40 or len(features) <= 3:
         return list(features), []
-    best, best_k, history = -1.0, 3, []
+    ahead(score, [features[:k] for k in range(3, len(features) + 1)])
+    best, best_k, history = None, 3, []
     for k in range(3, len(features) + 1):
         s = score(list(features[:k]))
-        history.append({"k": k, "score": s})
-        if s is not None and s > best + gain:
+        history.append({"k": k, "score": None if s is None else first_of(s)})
+        if s is not None and (first_of(s) > -1.0 + gain if best is None else beats(s, best, gain)):
             best, best_k = s, k
         elif stop_early:
             break
@@ -129,50 +145,55 @@ def subsets(pool: int, most: int) -> int:
     return sum(comb(pool, k) for k in range(2, min(pool, most) + 1))
 
 
-def exhaustive(pool: Sequence[str], score: Score, most: int, tol: float) -> tuple[list[str], float | None, list[dict]]:
-    best, best_score, history = [], None, []
-    for k in range(2, min(len(pool), most) + 1):
-        for some in combinations(pool, k):
-            s = score(list(some))
-            if s is None:
-                continue
-            history.append({"k": k, "features": list(some), "score": s})
-            if best_score is None or s > best_score + tol:
-                best, best_score = list(some), s
-    return best, best_score, sorted(history, key=lambda h: -h["score"])[:12]
-
-
-def greedy(pool: Sequence[str], score: Score, most: int, tol: float, prefix: int = 18) -> tuple[list[str], float | None, list[dict]]:
-    """The best pair of the first ``prefix`` features, then additions, then removals, while they help."""
-    history: list[dict] = []
+def best_entries(history: list[dict], most: int = 12) -> list[dict]:
+    return sorted(history, key=lambda h: (h["score"], h.get("accuracy", 0.0)), reverse=True)[:most]
+
 
-    def tried(names: set[str]) -> tuple[list[str], float]:
-        some = [f for f in pool if f in names]
+def exhaustive(pool: Sequence[str], score: Score, most: int, tol: float) -> tuple[list[str], Value | None, list[dict]]:
+    every = [list(some) for k in range(2, min(len(pool), most) + 1) for some in combinations(pool, k)]
+    ahead(score, every)
+    best, best_score, history = [], None, []
+    for some in every:
         s = score(some)
         if s is not None:
-            history.append({"k": len(some), "features": some, "score": s})
-        return some, float("-inf") if s is None else s
-
-    best, best_score = [], float("-inf")
-    for pair in combinations(pool[:prefix], 2):
-        some, s = tried(set(pair))
-        if s > best_score + tol or not best:
-            best, best_score = some, s
-    while len(best) < most:
-        found = [tried({*best, f}) for f in pool if f not in best]
-        some, s = max(found, key=lambda x: x[1], default=(best, float("-inf")))
-        if s <= best_score + tol:
+            history.append(entry(some, s))
+            if beats(s, best_score, tol):
+                best, best_score = some, s
+    return best, best_score, best_entries(history)
+
+
+def greedy(pool: Sequence[str], score: Score, most: int, tol: float, prefix: int = 18) -> tuple[list[str], Value | None, list[dict]]:
+    """The best pair of the first ``prefix`` features, then additions, then removals, while they help. What one round
+    compares is scored together."""
+    history: list[dict] = []
+
+    def first_best(rounds: list[set[str]]) -> tuple[list[str], Value | None]:
+        options = [[f for f in pool if f in names] for names in rounds]
+        ahead(score, options)
+        found, found_score = [], None
+        for some in options:
+            s = score(some)
+            if s is not None:
+                history.append(entry(some, s))
+                if beats(s, found_score, 0.0):
+                    found, found_score = some, s
+        return found, found_score
+
+    best, best_score = first_best([set(pair) for pair in combinations(pool[:prefix], 2)])
+    while best_score is not None and len(best) < most:
+        some, s = first_best([{*best, f} for f in pool if f not in best])
+        if s is None or not beats(s, best_score, tol):
             break
         best, best_score = some, s
     while len(best) > 2:
-        some, s = max((tried(set(best) - {f}) for f in best), key=lambda x: x[1])
-        if s <= best_score + tol:
+        some, s = first_best([set(best) - {f} for f in best])
+        if s is None or not beats(s, best_score, tol):
             break
         best, best_score = some, s
-    return best, None if best_score == float("-inf") else best_score, sorted(history, key=lambda h: -h["score"])[:12]
+    return best, best_score, best_entries(history)
 
 
-def best_subset(features: Sequence[str], score: Score, pool: int = 12, most: int = 8, evaluations: int = 5500, tol: float = 0.001) -> tuple[list[str], float | None, list[dict], str]:
+def best_subset(features: Sequence[str], score: Score, pool: int = 12, most: int = 8, evaluations: int = 5500, tol: float = 0.001) -> tuple[list[str], Value | None, list[dict], str]:
     """Every subset where there are few enough, else greedy search."""
     pool_ = list(features[:pool])
     if len(pool_) < 2:
@@ -187,24 +208,29 @@ def ablation(features: Sequence[str], score: Score) -> list[dict]:
     base = score(list(features))
     if base is None or len(features) < 2:
         return []
-    drops = [{"feature": f, "drop": base - s} for f in features if (s := score([x for x in features if x != f])) is not None]
+    ahead(score, [[x for x in features if x != f] for f in features])
+    drops = [{"feature": f, "drop": first_of(base) - first_of(s)} for f in features if (s := score([x for x in features if x != f])) is not None]
     return sorted(drops, key=lambda d: -d["drop"])
 
 
-def pair_champion(pool: Sequence[str], score: Score, incumbent: Sequence[str], most: int = 22, tol: float = 1e-6) -> tuple[list[str], float | None]:
-    """The incumbent, or a pair of the pool's first columns that beats it."""
+def pair_champion(pool: Sequence[str], score: Score, incumbent: Sequence[str], most: int = 22, tol: float = 1e-6) -> tuple[list[str], Value | None]:
+    """The incumbent, or a pair of the pool's first columns that beats it. An incumbent without a score stays."""
     best, best_score = list(incumbent), score(list(incumbent)) if incumbent else None
-    for pair in combinations(pool[:most], 2):
-        s = score(list(pair))
-        if s is not None and (best_score is None or s > best_score + tol):
-            best, best_score = list(pair), s
+    if incumbent and best_score is None:
+        return best, None
+    pairs = [list(pair) for pair in combinations(pool[:most], 2)]
+    ahead(score, pairs)
+    for pair in pairs:
+        s = score(pair)
+        if s is not None and beats(s, best_score, tol):
+            best, best_score = pair, s
     return best, best_score
 
 
-def champion_or_subset(pool: Sequence[str], score: Score, champion: Sequence[str]) -> tuple[list[str], float | None, str]:
+def champion_or_subset(pool: Sequence[str], score: Score, champion: Sequence[str]) -> tuple[list[str], Value | None, str]:
     found, s, _, _ = best_subset(pool, score, pool=22, most=14, evaluations=7000, tol=1e-6)
     base = score(list(champion)) if champion else None
-    if s is not None and (base is None or s > base + 1e-6):
+    if s is not None and beats(s, base, 1e-6):
         return found, s, "subset"
     return list(champion), base, "champion"
 
@@ -298,13 +324,16 @@ def accept_engineered(names: Sequence[str], features: Sequence[str], score: Scor
     chosen, best = list(features), score(list(features))
     added: list[str] = []
     while len(added) < most:
-        found = [(s, n) for n in names if n not in chosen and (s := score([*chosen, n])) is not None]
-        if not found:
-            break
-        s, n = max(found, key=lambda x: x[0])
-        if best is not None and s <= best + tol:
+        options = [n for n in names if n not in chosen]
+        ahead(score, [[*chosen, n] for n in options])
+        top, top_score = None, None
+        for n in options:
+            s = score([*chosen, n])
+            if s is not None and beats(s, top_score, 0.0):
+                top, top_score = n, s
+        if top is None or not beats(top_score, best, tol):
             break
-        chosen, best, added = [*chosen, n], s, [*added, n]
+        chosen, best, added = [*chosen, top], top_score, [*added, top]
     return chosen, added
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 from ..functions.values import finite, numeric_columns
 from . import select as sel
 from .gram import Grams, grams
-from .logistic import candidate_scores, fit_binary, one_vs_rest, predicted, probability
-from .metrics import best_threshold, classification_scores, problem_type, regression_scores
+from .descent import HERE_CELLS
+from .logistic import candidate_scores, fit, predicted
+from .metrics import Score, beats, classification_scores, first_of, problem_type, regression_scores
 
-#: Rows that the driver takes for a logistic fit; larger tables are fitted where they are, on all rows.
-FIT_ROWS = 200_000
+#: Rows that a model needs, and test rows that it is judged on at least.
+LEAST_ROWS, LEAST_TEST = 30, 10
 ITERATIONS = 5
 
 
@@ -24,16 +25,21 @@ def usable(df: DataFrame, target: str, features: Sequence[str], numeric_target:
     return df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in features], (finite(y.cast("double")) if numeric_target else y.cast("string")).alias("y_true")).dropna()
 
 
-def with_split(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Four fifths train, the rest test, by hash of the row's values."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(*[f"`{f}`" for f in features], "y_true", F.lit(42)), F.lit(5)) < 4, "train").otherwise("test"))
+def with_split(df: DataFrame, features: Sequence[str], least: int = LEAST_TEST) -> DataFrame:
+    """Four fifths train, the rest test, by hash of the row's values; of a small table at least ``least`` rows test."""
+    draw = F.xxhash64(*[f"`{f}`" for f in features], "y_true", F.lit(42))
+    test = F.pmod(draw, F.lit(5)) == 4
+    if df.where(test).limit(least).count() < least:
+        last = df.select(draw.alias("draw")).orderBy(F.desc("draw")).limit(least).agg(F.min("draw")).first()[0]
+        test = draw >= F.lit(last)
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
 def train_linear(df: DataFrame, target: str, features: Sequence[str]) -> dict:
     """Scores on the test rows, coefficients by size, and a DataFrame of predictions for all rows."""
     work = with_split(usable(df, target, features), features)
     n = {r["split"]: r["count"] for r in work.groupBy("split").count().collect()}
-    if sum(n.values()) < 30:
+    if sum(n.values()) < LEAST_ROWS:
         raise ValueError("a linear model needs 30 rows without missing values")
     roles = F.array(F.when(F.col("split") == "train", "train").otherwise("validate"))
     g = grams(work.select(*[f"`{f}`" for f in features], F.col("y_true"), "split"), list(features), "y_true", roles=roles)
@@ -49,35 +55,18 @@ def train_linear(df: DataFrame, target: str, features: Sequence[str]) -> dict:
     }
 
 
-def _fitted_here(work: DataFrame, train: DataFrame, labels: list[str], features: Sequence[str]) -> DataFrame:
-    """Predictions by models fitted on the driver."""
-    pdf = train.toPandas()
-    x = pdf[list(features)].to_numpy(float)
-    if len(labels) == 2:
-        w = fit_binary(x, (pdf["y_true"] == labels[1]).to_numpy(float))
-        p = probability(w, features)
-        t = best_threshold(train.select((F.col("y_true") == labels[1]).cast("int").alias("y"), p.alias("p")), "y", "p")
-        return work.select("y_true", F.when(p >= t, labels[1]).otherwise(labels[0]).alias("y_pred"), p.alias("y_prob"), "split")
-    models = {k: fit_binary(x, (pdf["y_true"] == k).to_numpy(float)) for k in labels}
-    return work.select("y_true", one_vs_rest(models, features).alias("y_pred"), F.lit(None).cast("double").alias("y_prob"), "split")
-
-
-def train_logistic(df: DataFrame, target: str, features: Sequence[str], fit_rows: int = FIT_ROWS) -> dict:
+def train_logistic(df: DataFrame, target: str, features: Sequence[str], here_cells: int = HERE_CELLS) -> dict:
     """One model for two labels (the larger is positive, the threshold swept on the training rows), else one for each."""
     work = with_split(usable(df, target, features, numeric_target=False), features)
     n = {r["split"]: r["count"] for r in work.groupBy("split").count().collect()}
-    if sum(n.values()) < 30:
+    if sum(n.values()) < LEAST_ROWS:
         raise ValueError("a logistic model needs 30 rows without missing values")
-    train = work.where("split = 'train'")
-    labels = sorted(r[0] for r in train.select("y_true").distinct().collect())
-    if len(labels) < 2:
+    coded = work.select(*[f"`{f}`" for f in features], F.col("y_true").cast(df.schema[target].dataType).alias("__label"), "split")
+    train_rows = coded.where("split = 'train'")
+    if train_rows.select("__label").distinct().limit(2).count() < 2:
         raise ValueError("the training rows hold one class only")
-    if n.get("train", 0) > fit_rows:
-        coded = work.withColumnRenamed("y_true", "__label")
-        said, _ = predicted(coded.where("split = 'train'"), coded, features, "__label")
-        predictions = said.select("y_true", "y_pred", "y_prob", "split")
-    else:
-        predictions = _fitted_here(work, train, labels, features)
+    models, labels, threshold = fit(train_rows, features, "__label", here_cells=here_cells)
+    predictions = predicted(coded, features, "__label", models, labels, threshold).select("y_true", "y_pred", "y_prob", "split")
     scores = classification_scores(predictions.where("split = 'test'"), "y_true", "y_pred").first()
     return {
         "model_type": "logistic_regression", "problem_type": "classification", "target_column": target, "feature_columns": list(features), "classes": labels,
@@ -87,21 +76,22 @@ def train_logistic(df: DataFrame, target: str, features: Sequence[str], fit_rows
 
 
 class Scorer:
-    """Mean holdout score of feature subsets: from one Gram scan for regression, from grouped fits for classes."""
+    """Mean holdout score of feature subsets: R² from one Gram scan for regression, macro-F1 with accuracy for classes,
+    where subsets that are asked for together are fitted in one descent."""
 
     def __init__(self, df: DataFrame, target: str, features: Sequence[str], kind: str):
         self.kind, self.df, self.target = kind, df, target
         self.grams: Grams | None = grams(df, list(features), target) if kind == "regression" else None
-        self.seen: dict[tuple[str, ...], float | None] = {}
+        self.seen: dict[tuple[str, ...], Score | None] = {}
 
     def many(self, subsets: Sequence[Sequence[str]]) -> None:
-        """Score subsets together, where that saves jobs."""
-        new = [tuple(s) for s in subsets if tuple(s) not in self.seen and s]
+        """Score subsets together."""
+        new = [s for s in dict.fromkeys(map(tuple, subsets)) if s and s not in self.seen]
         if self.kind == "classification" and new:
-            found = {r["candidate"]: r["f1_macro"] for r in candidate_scores(self.df, new, self.target).collect()}
+            found = {r["candidate"]: (r["f1_macro"], r["accuracy"]) for r in candidate_scores(self.df, new, self.target).collect()}
             self.seen |= {s: found.get(i) for i, s in enumerate(new)}
 
-    def __call__(self, features: list[str]) -> float | None:
+    def __call__(self, features: list[str]) -> Score | None:
         key = tuple(features)
         if key not in self.seen:
             if self.grams is not None:
@@ -142,8 +132,15 @@ def agent_loop(df: DataFrame, target: str, pool: Sequence[str], kind: str, ask:
         prompt = f"Round {i} of {iterations}. Target {target} ({kind}). Pool: {', '.join(pool)}. Before: {[(x['features'], x['score']) for x in log]}"
         features, reason = sel.parse_selection(ask(prompt), pool)
         score.many([features, *[[f for f in features if f != x] for x in features]])
-        log.append({"iteration": i, "features": features, "score": score(features), "reasoning": reason, "feature_ablation": sel.ablation(features, score)})
-    best = max(range(len(log)), key=lambda k: (log[k]["score"] is not None, log[k]["score"] or 0.0, -k))
+        found = score(features)
+        log.append({"iteration": i, "features": features, "score": None if found is None else first_of(found), "reasoning": reason, "feature_ablation": sel.ablation(features, score)})
+        if isinstance(found, tuple):
+            log[-1]["validation_accuracy"] = found[1]
+    best, best_score = 0, score(log[0]["features"])
+    for k, line in enumerate(log):
+        found = score(line["features"])
+        if found is not None and beats(found, best_score, 0.0):
+            best, best_score = k, found
     return log, best
 
 
@@ -166,28 +163,18 @@ def train(df: DataFrame, ask: Ask | None = None, target: str | None = None, agen
         pool = list(dict.fromkeys([*features, *sel.agent_pool(df, target)]))[:28]
         log, best = agent_loop(df, target, pool, kind, ask)
         score = Scorer(df, target, pool, kind)
-        score.many([list(p) for p in zip(pool, pool[1:], strict=False)])
-        chosen, _ = sel.pair_champion(pool, score, log[best]["features"]) if kind == "regression" else (log[best]["features"], None)
-        if kind == "regression":
-            chosen, _, facts["winner"] = sel.champion_or_subset(pool, score, chosen)
+        chosen, _ = sel.pair_champion(pool, score, log[best]["features"])
+        chosen, _, facts["winner"] = sel.champion_or_subset(pool, score, chosen)
         facts |= {"iterations": log, "best_iteration": best}
     else:
-        score = Scorer(df, target, features, kind)
-        rows = df.count()
-        if kind == "classification":
-            score.many([features[:k] for k in range(3, len(features) + 1)])
-        grown, facts["growth"] = sel.grow(features, score, rows, 0.005 if kind == "regression" else 1e-6, stop_early=kind == "regression")
-        pool = grown[:12] if kind == "regression" else grown[:5]
-        if kind == "classification":
-            from itertools import combinations
-
-            score.many([list(s) for k in range(2, len(pool) + 1) for s in combinations(pool, k)])
-        chosen, facts["subset_score"], facts["history"], facts["search"] = sel.best_subset(pool, score)
+        score, regression = Scorer(df, target, features, kind), kind == "regression"
+        grown, facts["growth"] = sel.grow(features, score, df.count(), 0.005 if regression else 1e-6, stop_early=regression)
+        chosen, facts["subset_score"], facts["history"], facts["search"] = sel.best_subset(grown, score, tol=0.001 if regression else 1e-6)
         chosen = chosen or features
     result = (train_linear if kind == "regression" else train_logistic)(df, target, chosen)
     held_out = Scorer(df, target, chosen, kind)(list(chosen))
     if held_out is not None:
-        result["metrics"]["r2" if kind == "regression" else "f1"] = held_out
+        result["metrics"]["r2" if kind == "regression" else "f1"] = first_of(held_out)
     return result | {"selection": facts}
 
 

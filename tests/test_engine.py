@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import values as v
-from sparkloom.operators import assoc, charts, clean, gram, insights, logistic, metrics, network, outliers, profile, ranks, select, train
+from sparkloom.operators import assoc, charts, clean, descent, gram, insights, logistic, metrics, network, outliers, profile, ranks, select, train
 from sparkloom.plans import views
 from sparkloom.plans.analyst import Analyst
 from sparkloom.sources import ingest, records
@@ -205,25 +205,124 @@ def test_gram_equals_least_squares(spark):
         assert [intercept, *slopes.values()] == pytest.approx(list(beta), rel=1e-6)
 
 
+def plain_fit(x, y, steps):
+    """One model of full-batch descent, step by step."""
+    x = np.column_stack([np.ones(len(x)), x])
+    pos, neg = y.sum(), len(y) - y.sum()
+    weight = np.where(y == 1, len(y) / (2 * max(pos, 1)), len(y) / (2 * max(neg, 1)))
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= 0.05 * (x.T @ (weight * (p - y)) / weight.sum() + np.r_[0.0, 1e-4 * w[1:]])
+    return w
+
+
+def plain_f1(true, said):
+    found = []
+    for label in sorted(set(true) | set(said)):
+        hit = ((true == label) & (said == label)).sum()
+        found.append(2 * hit / ((true == label).sum() + (said == label).sum()))
+    return float(np.mean(found))
+
+
+def plain_scores(x, y, x_held, y_held, steps):
+    """(macro-F1, accuracy) on held-out rows of models of the training rows."""
+    p_of = lambda x, w: 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ w, -30, 30)))
+    labels = sorted(set(y))
+    if len(labels) == 2:
+        w = plain_fit(x, (y == labels[1]).astype(float), steps)
+        best, at = (-1.0, -1.0), 0.5
+        for t in metrics.THRESHOLDS:
+            said = np.where(p_of(x, w) >= t, labels[1], labels[0])
+            now = (plain_f1(y, said), float((y == said).mean()))
+            if now[0] > best[0] + 1e-6 or (abs(now[0] - best[0]) <= 1e-6 and now[1] > best[1] + 1e-6):
+                best, at = now, t
+        said = np.where(p_of(x_held, w) >= at, labels[1], labels[0])
+    else:
+        p = np.stack([p_of(x_held, plain_fit(x, (y == k).astype(float), steps)) for k in labels], axis=1)
+        said = np.array(labels)[p.argmax(axis=1)]
+    return plain_f1(y_held, said), float((y_held == said).mean())
+
+
 def test_logistic(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 2))
     y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
-    w = logistic.fit_binary(x, y)
-    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
-    assert logistic.fit_distributed(df, ["a", "b"], "y", steps=5) == pytest.approx(logistic.fit_binary(x, y, steps=5), abs=1e-9)
-    assert ((logistic.squash(np.column_stack([np.ones(300), x]) @ w) > 0.5) == y).mean() > 0.9
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double").repartition(3)
+    for cells in (0, descent.HERE_CELLS):
+        models, labels, _ = logistic.fit(df, ["a", "b"], "y", steps=7, here_cells=cells)
+        assert labels == ["0.0", "1.0"] and models["1.0"] == pytest.approx(plain_fit(x, y, 7), abs=1e-9)
     found = {r["candidate"]: r for r in logistic.candidate_scores(df, [["a"], ["b"]], "y").collect()}
     assert found[0]["f1_macro"] > 0.85 > found[1]["f1_macro"]
     result = train.train_logistic(df, "y", ["a", "b"])
     assert result["metrics"]["f1"] > 0.85 and result["predictions"].count() == 300
 
 
+@pytest.mark.parametrize("cells", [0, descent.HERE_CELLS])
+@pytest.mark.parametrize("labels", [2, 3])
+def test_all_candidates_in_one_descent(spark, labels, cells):
+    """Every subset and repeat equals models fitted one by one on the same rows; jobs don't grow with candidates."""
+    rng = np.random.default_rng(labels)
+    rows = [(*map(float, rng.normal(size=3)), int(rng.integers(labels)) * 5) for _ in range(150)]
+    rows = [(a + y / 5, b, c - y / 9, y) for a, b, c, y in rows]
+    df = spark.createDataFrame(rows, "x double, u double, z double, y int").repartition(3).cache()
+    subsets = [["x"], ["u"], ["x", "u"], ["z", "x"], ["x", "u", "z"]]
+    found = {r["candidate"]: (r["f1_macro"], r["accuracy"]) for r in logistic.candidate_scores(df, subsets, "y", repeats=3, steps=12, here_cells=cells).collect()}
+    names = ["u", "x", "z"]
+    bucket = [gram.fold_bucket(r, *names, F.col("y").cast("string")).alias(f"r{r}") for r in range(3)]
+    pdf = df.select("*", *bucket).toPandas()
+    for i, s in enumerate(subsets):
+        each = []
+        for r in range(3):
+            tr, va = pdf[f"r{r}"] < 70, pdf[f"r{r}"].between(70, 84)
+            each.append(plain_scores(pdf.loc[tr, s].to_numpy(), pdf.loc[tr, "y"].to_numpy(), pdf.loc[va, s].to_numpy(), pdf.loc[va, "y"].to_numpy(), 12))
+        assert found[i] == pytest.approx(tuple(np.mean(each, axis=0)))
+    if not cells:
+        def jobs(subsets):
+            spark.sparkContext.setJobGroup(f"descent{len(subsets)}", "")
+            logistic.candidate_scores(df, subsets, "y", repeats=3, steps=12, here_cells=0).collect()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"descent{len(subsets)}"))
+
+        assert jobs(subsets) == jobs(subsets[:1])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    df.unpersist()
+
+
+def test_small_tables_and_ties(spark):
+    few = spark.createDataFrame([(float(i), float(i % 2)) for i in range(39)], "a double, y double")
+    assert logistic.candidate_scores(few, [["a"]], "y").count() == 0
+    assert gram.grams(few, ["a"], "y").score(["a"]) is None
+    value = {"a": (0.5, 0.1), "b": (0.5, 0.3), "c": (0.4, 0.9)}
+    score = lambda s: max(value[f] for f in s)
+    assert metrics.beats((0.5, 0.3), (0.5, 0.1), 1e-6) and not metrics.beats((0.5, 0.1), (0.5 + 1e-9, 0.1), 1e-6) and metrics.beats((0.6, 0.0), (0.5, 1.0), 1e-6)
+    assert select.pair_champion(["a", "b", "c"], score, ["a"])[0] == ["a", "b"]
+    assert select.exhaustive(["c", "a", "b"], score, 2, 1e-6)[1] == (0.5, 0.3)
+    assert select.greedy(["c", "a", "b"], score, 2, 1e-6)[1] == (0.5, 0.3)
+    tiny = train.with_split(spark.createDataFrame([(float(i), float(i)) for i in range(31)], "a double, y_true double"), ["a"])
+    counts = {r["split"]: r["count"] for r in tiny.groupBy("split").count().collect()}
+    assert counts["test"] >= 10 and counts["train"] + counts["test"] == 31
+
+
+def test_classification_search_end_to_end(spark):
+    """Pool beyond five columns, pair champion and subset search for classes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 7)).round(1)  # few enough distinct values to be no ids
+    y = (x[:, 5] + x[:, 6] + 0.5 * rng.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y, strict=True)], ", ".join(f"x{i} double" for i in range(7)) + ", y int").cache()
+    result = train.train(df, target="y")
+    assert {"x5", "x6"} <= set(result["feature_columns"]) and result["selection"]["search"] == "exhaustive" and result["metrics"]["f1"] > 0.8
+    assert all("accuracy" in h for h in result["selection"]["history"])
+    model = Canned('{"candidates": []}', '{"features": ["x0", "x1"], "reasoning": "guess"}')
+    result = train.train(df, lambda p: insights.ask_json(model, p), target="y", agent=True)
+    assert {"x5", "x6"} <= set(result["feature_columns"]) and "winner" in result["selection"]
+    df.unpersist()
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "y string, p string")
     r = metrics.classification_scores(df, "y", "p").first()
     true, said = np.array(list("aabc")), np.array(list("abba"))
-    assert r["accuracy"] == 0.5 and r["f1_macro"] == pytest.approx(logistic.macro_f1(true, said))
+    assert r["accuracy"] == 0.5 and r["f1_macro"] == pytest.approx(plain_f1(true, said))
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "y double, p double")
     assert metrics.regression_scores(flat, "y", "p").first()["r2"] == 0.0
     assert charts.bin_count(10) == 10 and charts.bin_count(10_000) == 30
@@ -310,23 +409,6 @@ def test_cleaning_leaves_nothing_cached(spark):
     assert out.count() > 0 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
-@pytest.mark.parametrize("labels", ["ab", "abc"])
-def test_large_tables_are_scored_and_fitted_alike(spark, labels, monkeypatch):
-    """Beyond the row limits the same folds are fitted on all rows where they are; the result is that of a small table."""
-    monkeypatch.setattr(logistic.fit_distributed, "__defaults__", (12, *logistic.fit_distributed.__defaults__[1:]))
-    monkeypatch.setattr(logistic.fit_binary, "__defaults__", (12, *logistic.fit_binary.__defaults__[1:]))
-    k = len(labels)
-    rows = [(labels[i % k], float(i % k) + (i * 37 % 100) / 90, float(i * 13 % 17)) for i in range(240)]
-    df = spark.createDataFrame(rows, "y string, x1 double, x2 double").repartition(2).cache()
-    one, two = (logistic.candidate_scores(df, [["x1"]], "y", repeats=1, steps=12, row_limit=n).first() for n in (1000, 10))
-    assert (one["candidate"], one["f1_macro"], one["accuracy"]) == pytest.approx((two["candidate"], two["f1_macro"], two["accuracy"]))
-    if k == 2:
-        monkeypatch.setattr(logistic.predicted, "__defaults__", (12,))
-        here, there = (train.train_logistic(df, "y", ["x1", "x2"], fit_rows=n)["metrics"] for n in (1000, 10))
-        assert here == pytest.approx(there)
-    df.unpersist()
-
-
 def test_quantiles_by_rank(spark):
     rng = np.random.default_rng(5)
     whole = {"a": rng.integers(-20, 20, 501), "b": np.round(rng.normal(size=501), 3), "c": np.full(501, 7.0)}
