@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import numeric_columns
-from .profile import stacked
+from .masked import column_facts, correlations
 
 STRONG = 0.7
 MODERATE = 0.3
 MOST_NULLS = 0.3
-#: Pairs of one aggregation.
-PAIRS = 60
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -27,24 +23,15 @@ def pearson(x: Column, y: Column) -> Column:
 def usable_columns(df: DataFrame, most_nulls: float = MOST_NULLS) -> list[str]:
     """Numeric columns with at most this share of nulls, in the table's order."""
     numbers = numeric_columns(df)
-    if not numbers:
-        return []
-    shares = df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(f"c{i}") for i, c in enumerate(numbers)]).first()
-    return [c for i, c in enumerate(numbers) if shares[i] is not None and shares[i] <= most_nulls]
+    facts = column_facts(df, numbers) if numbers else []
+    return [c for c, f in zip(numbers, facts, strict=True) if f["rows"] and 1 - f["n"] / f["rows"] <= most_nulls]
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, col_a, col_b, r) for each pair in the order of columns; the table is scanned once per 60 pairs."""
-    pairs = list(combinations(range(len(columns)), 2))
-    out = None
-    for at in range(0, len(pairs), PAIRS):
-        part = pairs[at : at + PAIRS]
-        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"), pearson(F.col(f"`{columns[i]}`"), F.col(f"`{columns[j]}`")).alias("r")) for i, j in part]
-        rows = df.agg(*[c.alias(f"p{k}") for k, c in enumerate(cells)]).select(F.explode(F.array(*[f"p{k}" for k in range(len(part))])).alias("p")).select("p.*")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    """(i, j, col_a, col_b, r) for each pair in the order of columns, from two scans of the table."""
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, col_a string, col_b string, r double")
-    return out
+    return correlations(df, columns).where("i < j").select("i", "j", "col_a", "col_b", "r")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -52,11 +39,9 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     columns = usable_columns(df) if columns is None else columns
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    half = correlation_pairs(df, columns).select("col_a", "col_b", "r")
-    varies = stacked(df, columns, {"v": lambda c: F.var_pop(c.cast("double"))})
-    diagonal = varies.select(F.col("column").alias("col_a"), F.col("column").alias("col_b"), F.when(F.col("v") > 0, 1.0).alias("r"))
-    whole = half.unionByName(half.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")).unionByName(diagonal)
-    return whole.select("col_a", "col_b", (F.round("r", 3) + 0.0).alias("r"))
+    half = correlations(df, columns)
+    mirrored = F.when(F.col("i") == F.col("j"), F.array(F.struct("col_a", "col_b"))).otherwise(F.array(F.struct("col_a", "col_b"), F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"))))
+    return half.select(F.explode(mirrored).alias("p"), "r").select("p.*", (F.round("r", 3) + 0.0).alias("r"))
 
 
 def pair_list(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -78,7 +63,7 @@ def target_relationships(df: DataFrame, target: str, k: int = 10) -> DataFrame:
     others = [c for c in numeric_columns(df) if c != target]
     if target not in numeric_columns(df) or not others:
         return df.sparkSession.createDataFrame([], "column string, r double, strength string, direction string")
-    rows = stacked(df, others, {"r": lambda c: pearson(c, F.col(f"`{target}`"))}).where(F.abs("r") > MODERATE)
+    rows = correlations(df, [*others, target], target=True).where(f"i < {len(others)}").select(F.col("col_a").alias("column"), "r").where(F.abs("r") > MODERATE)
     rows = rows.withColumn("strength", F.when(F.abs("r") >= STRONG, "strong").otherwise("moderate")).withColumn("direction", F.when(F.col("r") > 0, "positive").otherwise("negative"))
     return rows.orderBy(F.desc(F.abs("r")), "column").limit(k).withColumn("r", F.round("r", 3) + 0.0)
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import numeric_columns, text_columns
-from .assoc import correlation_pairs, pearson
+from .assoc import correlation_pairs
 from .gram import Grams
+from .masked import correlations as correlations_with
 from .metrics import Score as Value
 from .metrics import beats, first_of
 from .profile import stacked
@@ -81,7 +82,8 @@ def relevance(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     whole = df.select(*[F.col(f"`{c}`") for c in [*features, target]]).dropna()
     if target in text_columns(df):  # labels count by their order
         whole = label_codes(whole, target)
-    return stacked(whole, list(features), {"relevance": lambda c: F.coalesce(F.abs(pearson(c, F.col(f"`{target}`"))), F.lit(0.0))})
+    found = correlations_with(whole, [*features, target], target=True).where(f"i < {len(features)}")
+    return found.select(F.col("col_a").alias("column"), F.coalesce(F.abs("r"), F.lit(0.0)).alias("relevance"))
 
 
 def ranked(df: DataFrame, target: str, features: Sequence[str]) -> list[str]:
@@ -97,7 +99,8 @@ def pool_summary(df: DataFrame, target: str, pool: Sequence[str]) -> DataFrame:
     """(column, missing, std, abs_corr) of candidate features."""
     if target in text_columns(df):
         df = label_codes(df, target)
-    return stacked(df, list(pool), {"missing": lambda c: F.avg(c.isNull().cast("double")), "std": lambda c: F.stddev_pop(c.cast("double")), "abs_corr": lambda c: F.abs(pearson(c, F.col(f"`{target}`")))})
+    found = correlations_with(df, [*pool, target], target=True).where(f"i < {len(pool)}").select(F.col("col_a").alias("column"), F.abs("r").alias("abs_corr"))
+    return stacked(df, list(pool), {"missing": lambda c: F.avg(c.isNull().cast("double")), "std": lambda c: F.stddev_pop(c.cast("double"))}).join(F.broadcast(found), "column")
 
 
 def prune_redundant(ranked_: Sequence[str], relevance_: dict[str, float], corr: dict[frozenset, float], limit: float = 0.95) -> list[str]:

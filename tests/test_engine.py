@@ -490,3 +490,45 @@ def test_other_line_ends_and_headers(spark, tmp_path):
     assert [tuple(r) for r in mac.orderBy("__row_id").collect()] == [(0, "x\ry", 1), (1, "z", 2)]
     open_ = ingest.read_delimited(spark, write(tmp_path, 'a,b\n1,2\n3,"never closed\n4,5\n', "open.csv"))
     assert open_.count() == 2
+
+
+# correlation ---------------------------------------------------------------------------------------
+
+
+def test_masked_correlations_against_pandas(spark):
+    """Missing values, constants, pairs that share no row or a constant stretch, infinities, repeated columns' names apart."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.normal(size=(200, 6)) * [1, 1e-3, 1e6, 1, 1, 1] + [0, 5, 1e9, 0, 0, 0], columns=list("abcdef"))
+    pdf["b"] += pdf["a"] * 1e-3
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.2)
+    pdf["flat"], pdf["none"], pdf["third"] = 0.1, np.nan, 1 / 3
+    pdf.loc[100:, "d"], pdf.loc[:99, "e"] = np.nan, np.nan
+    pdf.loc[:, "step"] = np.where(pdf.index < 100, 7.1, pdf.index)  # constant where d is there
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.itertuples(index=False)], ", ".join(f"{c} double" for c in pdf)).repartition(4)
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in assoc.correlation_pairs(df, list(pdf)).collect()}
+    expected = pdf.corr()
+    assert len(found) == 45
+    for (a, b), r in found.items():
+        common = pdf[[a, b]].dropna()
+        if len(common) < 1 or common[a].nunique() < 2 or common[b].nunique() < 2:
+            assert r is None, (a, b, r)
+        else:
+            assert r == pytest.approx(expected.loc[a, b], abs=1e-9), (a, b)
+    matrix = assoc.correlation_matrix(df, ["a", "flat", "b"]).collect()
+    assert len(matrix) == 9 and {(r["col_a"], r["col_b"]): r["r"] for r in matrix}[("a", "a")] == 1.0
+    infinite = spark.createDataFrame([(1.0, 2.0, 1.0), (float("inf"), 3.0, 4.0), (2.0, 5.0, 3.0)], "a double, b double, c double")
+    r = {(r["col_a"], r["col_b"]): r["r"] for r in assoc.correlation_pairs(infinite, ["a", "b", "c"]).collect()}
+    assert math.isnan(r["a", "b"]) and r["b", "c"] == pytest.approx(np.corrcoef([2, 3, 5], [1, 4, 3])[0, 1])
+    assert assoc.correlation_pairs(infinite.limit(0), ["a", "b"]).where("r is not null").count() == 0
+
+
+def test_five_hundred_columns_in_one_scan(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 500))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").select(*[F.col("v")[i].alias(f"c{i}") for i in range(500)])
+    pairs = assoc.correlation_pairs(df, df.columns)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = np.eye(500)
+    for r in pairs.collect():
+        found[r["i"], r["j"]] = found[r["j"], r["i"]] = r["r"]
+    assert np.allclose(found, np.corrcoef(x.T))
