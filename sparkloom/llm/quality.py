@@ -5,8 +5,8 @@ look like, a small network embeds it, gated attention weighs the embeddings, and
 the document's score. Attention learns from document labels alone which passages matter.
 
 The network is trained in numpy on a bounded sample of labelled documents, whole ones: by hash, at most
-``max_documents``, and as many as have at most ``max_passages`` passages together. Scoring reads every
-passage of every document, as training does.
+``max_documents``, and of these each that still fits ``max_passages`` passages together; one that doesn't
+is passed over. Scoring reads every passage of every document, as training does.
 Labels, language, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts are one empty passage; labels without document, without value or
@@ -31,6 +31,8 @@ MAX_PASSAGES = 300_000
 FOLDS = 5
 THRESHOLD = 0.3
 HIDDEN = 16
+#: Texts that are scored at once, and their bytes unless one alone has more.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 
 #: Classes of bytes: upper, lower, digit, space, sentence marks, quotes and brackets, other symbols, non-ASCII, control.
 CLASSES = 9
@@ -139,18 +141,21 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_passages: int = MAX_PASSAGES) -> Network | None:
-    """Train on labelled documents of the folds 1 to 4, the first ones by hash that meet both bounds. None without labels."""
+    """Train on labelled documents of the folds 1 to 4, the first ones by hash that meet both bounds. None without labels
+    of both kinds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna()
     known = known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents), "label-sample")
     rows = id_and_text(docs).join(F.broadcast(sample), "doc_id")
-    # the bound on passages: documents by hash until it is reached
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    sized = sorted(((r["h"], r["doc_id"], r["n"]) for r in rows.groupBy("doc_id").agg(F.xxhash64("doc_id").alias("h"), F.sum(F.coalesce(breaks, F.lit(1))).alias("n")).collect()))
-    fits = int((np.cumsum([n for _, _, n in sized]) <= max_passages).sum())
-    if fits < len(sized):
-        last = sized[fits][:2]
-        rows = rows.where((F.xxhash64("doc_id") < last[0]) | ((F.xxhash64("doc_id") == last[0]) & (F.col("doc_id") < last[1])))
+    sized = rows.groupBy("doc_id").agg(F.xxhash64("doc_id").alias("h"), F.sum(F.coalesce(breaks, F.lit(1))).alias("n")).collect()  # bounded by the sample
+    left, taken = max_passages, []
+    for r in sorted(sized, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left:  # one that is too long is passed over, and ends nothing
+            left -= r["n"]
+            taken.append((r["doc_id"],))
+    if len(taken) < len(sized):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id", "left_semi")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,6 +172,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS,
     return train(np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1], np.array([y for y, _ in bags]))
 
 
+def slices(texts: list[bytes | None], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[list[bytes | None]]:
+    """Texts in order, a bounded number and size of them at a time."""
+    own, held = [], 0
+    for text in texts:
+        if own and (len(own) >= rows or held + len(text or b"") > size):
+            yield own
+            own, held = [], 0
+        own.append(text)
+        held += len(text or b"")
+    if own:
+        yield own
+
+
 def with_score(docs: DataFrame, network: Network | None, name: str = "score") -> DataFrame:
     """docs, all columns, and the score of the whole text."""
     held = docs.sparkSession.sparkContext.broadcast(network)
@@ -179,7 +197,7 @@ def with_score(docs: DataFrame, network: Network | None, name: str = "score") ->
                 y = np.full(batch.num_rows, 0.5)
             else:
                 texts = byte_values(batch.column(at))
-                y = np.concatenate([held.value.score(*encode(texts[i : i + 1000])) for i in range(0, len(texts), 1000)])
+                y = np.concatenate([held.value.score(*encode(part)) for part in slices(texts)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(scored, schema)

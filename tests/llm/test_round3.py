@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkloom.llm import infill, packing, queries, whitening
+from sparkloom.llm import infill, packing, quality, queries, simhash, whitening
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -244,3 +244,84 @@ def test_whitening_without_variance_and_beyond_a_long(spark):
     large = whitening.component_rows(spark.createDataFrame([(1, [1e14]), (2, [-1e14])], "vec_id long, embedding array<double>")).collect()
     assert {int(r["deviation"]) for r in large} == {(2 * 1024 * 10**14) ** 2}
     assert sorted(round(r["whitened"], 9) for r in large) == [-1.0, 1.0]
+
+
+# near-dedup's second index, and the classifier's sample ----------------------------------------------
+
+
+def shared_components(docs, words, similarity):
+    """Smallest doc_id that links of ``similarity`` reach, by comparing all texts."""
+    sets = {d: set(simhash.shingles((t or "").encode(), words)) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2):
+        both = len(x & y)
+        if (not x and not y) or (x and y and both >= similarity * (len(x) + len(y) - both)):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("block", [2, 5, 2048])
+def test_long_posting_lists_lose_no_link(spark, block):
+    """A passage in most texts, near copies of one text, and pairs about the limit; lists longer than a block."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage, base = [word() for _ in range(40)], [word() for _ in range(120)]
+    docs = []
+    for _ in range(25):
+        docs.append([*passage, *[word() for _ in range(rng.randint(0, 14))]])
+    for _ in range(25):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = word()
+        docs.append(copy)
+    docs += [[*base[:60], *[word() for _ in range(60)]] for _ in range(5)]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(90, None), (91, ""), (92, "one")]
+    found = simhash.near_duplicates(texts_of(spark, docs), 5, 4, 56, 3, block=block, sure_bits=28, similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == shared_components(docs, 5, 0.8)
+    everything = np.zeros(simhash.COUNTERS, bool)
+    everything[::2] = True  # any order of shingles gives the same links
+    kept = simhash.common_shingles
+    try:
+        simhash.common_shingles = lambda *_: everything
+        found = simhash.near_duplicates(texts_of(spark, docs), 5, 4, 56, 3, block=block, sure_bits=28, similarity=0.8)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == shared_components(docs, 5, 0.8)
+    finally:
+        simhash.common_shingles = kept
+
+
+@pytest.mark.parametrize("where", [0, 1, 2])
+def test_a_huge_labelled_text_is_passed_over(spark, where):
+    """Whichever place by hash the text has that alone passes the bound, the others train."""
+    docs = [(i, ("Plain sentence number %d reads well.\n" % i if i % 2 else "zz zz zz zz 11 ## zz zz zz zz zz\n") * 3) for i in range(1, 60)]
+    ids = spark.createDataFrame([(i,) for i, _ in docs], "doc_id long")
+    order = [r["doc_id"] for r in ids.where(quality.fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id")).collect()]
+    huge = order[[0, len(order) // 2, -1][where]]
+    docs = [(i, "line\n" * 400 if i == huge else t) for i, t in docs]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in docs], "doc_id long, quality int, toxic int")
+    network = quality.fit(texts_of(spark, docs), labels, max_passages=300)
+    assert network is not None
+    scores = {r["doc_id"]: r["score"] for r in quality.with_score(texts_of(spark, docs), network).collect()}
+    assert all((scores[i] >= 0.5) == bool(i % 2) for i, _ in docs if i != huge)
+    assert quality.fit(texts_of(spark, docs), labels, max_passages=1) is None
+
+
+def test_forward_pass_one_document_at_a_time():
+    rng = np.random.default_rng(2)
+    k, d = quality.HIDDEN, quality.FEATURES
+    shapes = {"we": (d, k), "be": k, "wv": (k, k), "wu": (k, k), "wa": k, "wo": k, "bo": 1}
+    p = {n: rng.normal(size=shape) for n, shape in shapes.items()}
+    bags = [rng.normal(size=(n, d)) for n in (1, 4, 2)]
+    found = quality.forward(p, np.concatenate(bags), np.array([0, 1, 5]))[0]
+    for y, x in zip(found, bags, strict=True):
+        h = [np.tanh(v @ p["we"] + p["be"]) for v in x]
+        e = [float((np.tanh(v @ p["wv"]) / (1 + np.exp(-(v @ p["wu"])))) @ p["wa"]) for v in h]
+        a = [np.exp(v) / sum(np.exp(e)) for v in e]
+        z = sum(w * v for w, v in zip(a, h, strict=True))
+        assert y == pytest.approx(1 / (1 + np.exp(-(z @ p["wo"] + p["bo"][0]))))
