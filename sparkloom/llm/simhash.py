@@ -35,8 +35,9 @@ from .components import components
 BLOCK = 2048
 #: From so many distinct fingerprints on, keys take one more byte, so that chance meetings stay rare.
 WIDE_FROM = 1 << 26
-#: Counters that order shingles by how common they are, and the rows they travel in. Any order gives the same links.
-COUNTERS = 1 << 21
+#: Counters that tell very common shingles, which come last in every text's order, and the rows they travel in. Any order
+#: gives the same links.
+COUNTERS = 1 << 20
 COUNTER_ROWS = 64
 #: 64-bit words of a shingle set's parity bitmap.
 PARITY = 8
@@ -236,14 +237,14 @@ def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, lan
 def _thinned(edges: DataFrame) -> DataFrame:
     """(a, b): of the edges, sure and other ones, each node's to its first and its last neighbour. Every posting list has
     a forest of its own, so a large group of copies has many times more edges than nodes; what this leaves
-    apart the index of least common shingles joins."""
+    apart the index of shingles joins."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sure"))
     ends = both.groupBy("a", "sure").agg(F.array(F.min("b"), F.max("b")).alias("ends")).select("a", F.explode("ends").alias("b"))
     return cut(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "thinned")
 
 
-def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How often shingles fall on each counter, about (a partition counts up to 65535)."""
+def common_shingles(docs: DataFrame, words: int, least: int = BLOCK) -> np.ndarray:
+    """For each counter whether more than ``least`` texts' shingles fall on it, beyond what chance accounts for."""
     width = COUNTERS // COUNTER_ROWS
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,26 +267,27 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     out = np.zeros((COUNTER_ROWS, width), dtype=np.uint32)
     for r in id_and_text(docs).mapInArrow(of, "at int, n binary").repartition("at").mapInArrow(add, "at int, n binary").collect():
         out[r["at"]] = np.frombuffer(r["n"], dtype="<u4")
-    return out.ravel()
+    return out.ravel() > least + 4 * out.mean()
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, words: int, lanes: int, similarity: float) -> DataFrame:
+def prefixes(docs: DataFrame, common: np.ndarray, words: int, lanes: int, similarity: float) -> DataFrame:
     """doc_id, fp0 (fp1, ...), size, p0 ... (parity of the shingles in each bit) and prefix of every row with words.
 
-    prefix holds the least common shingles, so many that two sets sharing ``similarity`` have one in common.
+    prefix holds the first shingles in one order of all: by hash, the very common ones last; so many that two sets
+    sharing ``similarity`` have one in common.
     """
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    held = docs.sparkSession.sparkContext.broadcast(common)
     names = [*(f"fp{k}" for k in range(lanes)), "size", *(f"p{k}" for k in range(PARITY))]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = held.value
+        last = held.value
         for batch in batches:
             rows, ids, kept = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), each_bytes(batch.column(1)), strict=True):
                 h = np.unique(gram_hashes(list(set(shingles(text, words)))))
                 if not len(h):
                     continue
-                order = np.lexsort((h, n[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+                order = np.argsort(last[(h % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")  # h is sorted
                 parity = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
                 rows.append(np.r_[simhash(h, lanes), np.uint64(len(h)), np.packbits(parity.astype(bool), bitorder="little").view("<u8")])
                 ids.append(i)
@@ -310,6 +312,24 @@ def _across(group: np.ndarray, component: np.ndarray, size: np.ndarray, parity:
     return out
 
 
+def _dealt_long(met: DataFrame, block: int) -> DataFrame:
+    """(key, part, node) of long posting lists, so that any two nodes of different components meet in some part.
+
+    Most lists are long because of one component, whose nodes need not meet each other: they are dealt to blocks, and
+    the others, while they fit a block, go to each of these. Else every pair of blocks is a part.
+    """
+    sizes = met.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("own", "component")).alias("main"), F.max("own").alias("held"))
+    rows = met.join(main, "key")
+    few = F.col("n") - F.col("held") <= block
+    blocks = F.ceil(F.when(few, F.col("held")).otherwise(F.col("n")) / block).cast("long")
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    pairs = F.transform(every, lambda other: F.least(mine, other) * blocks + F.greatest(mine, other))
+    parts = F.when(few & (F.col("component") == F.col("main")), F.array(mine)).when(few, every).otherwise(pairs)
+    return rows.select("key", F.explode(parts).alias("part"), "node")
+
+
 def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """(a, b): every pair of nodes of different components (parts) that may share ``similarity`` of its shingles.
 
@@ -318,14 +338,13 @@ def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes
     names = [f"fp{k}" for k in range(lanes)]
     carried = ["size", *(f"p{k}" for k in range(PARITY)), "component"]
     owned = nodes.where("first IS NOT NULL").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = prefixes(docs, shingle_counts(docs, words), words, lanes, similarity).withColumnRenamed("doc_id", "first")
+    of = prefixes(docs, common_shingles(docs, words, block), words, lanes, similarity).withColumnRenamed("doc_id", "first")
     of = cut(of.join(owned, [*names, "first"]).select("node", *carried, "prefix").dropDuplicates(["node"]), "prefixes")
-    posted = of.select("node", "component", F.explode("prefix").alias("key"))
+    posted = of.select("node", "component", F.explode("prefix").alias("key")).repartition("key")  # one exchange for both uses
     held = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
-    met = posted.join(held, "key").withColumn("blocks", F.ceil(F.col("n") / block))
-    met = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.withColumn("part", F.least("mine", "with") * F.col("blocks") + F.greatest("mine", "with")).select("key", "part", "node")
+    met = cut(posted.join(held, "key"), "met")
+    short = met.where(F.col("n") <= block).select("key", F.lit(0).cast("long").alias("part"), "node")
+    met = short.unionByName(_dealt_long(met.where(F.col("n") > block), block))
     dealt = met.join(of.select("node", *carried), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -401,7 +420,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 4, max_bi
     Four 64-bit lanes of distinct five-word shingles. Texts that share 0.8 of them differ in 39 of the 256
     bits, plus or minus 6; unrelated ones in 128, plus or minus 8. Links of up to 56 bits are verified on
     the texts. The index finds 84 % of links of exactly 0.8 (some byte triple of a lane must agree), 95 % at
-    0.85, 99 % at 0.9; a second index over the texts' least common shingles finds all that are left,
+    0.85, 99 % at 0.9; a second index over a share of each text's shingles finds all that are left,
     verified likewise. A doc_id names one document: its rows stay or go together. Rows without doc_id stay.
     """
     found = near_duplicates(docs, words, lanes, max_bits, min_bytes, sure_bits=sure_bits, similarity=similarity)
