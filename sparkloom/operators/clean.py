@@ -169,6 +169,12 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.groupBy(*map(q, columns)).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID, *map(q, columns))
 
 
+def copies(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """(order, copies): the first of each set of rows with equal values, and how many there are. Long values meet by digest."""
+    keys = [F.sha2(q(c).cast("string"), 256).alias(f"k{i}") for i, c in enumerate(columns)]
+    return df.select(q(order), *keys).groupBy(*[f"k{i}" for i in range(len(columns))]).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies")).select(order, "copies")
+
+
 def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("any", subset=data_columns(df))
 

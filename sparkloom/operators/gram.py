@@ -27,6 +27,11 @@ def fold_bucket(repeat: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(repeat)), F.lit(100))
 
 
+def role(bucket: Column) -> Column:
+    """What a row with this number does in a repeat."""
+    return F.when(bucket < TRAIN, "train").when(bucket < VALIDATE, "validate").otherwise("unused")
+
+
 @dataclass
 class Grams:
     """Sums of products per (repeat, role), over columns [1, *features, target], of standardised values."""
@@ -75,7 +80,7 @@ def grams(df: DataFrame, features: list[str], target: str, repeats: int = REPEAT
     work = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(names)], *([roles.alias("roles")] if roles is not None else [])).dropna()
     if roles is None:
         cells = [f"c{i}" for i in range(len(names))]
-        of = [F.when(fold_bucket(r, *cells) < TRAIN, "train").when(fold_bucket(r, *cells) < VALIDATE, "validate").otherwise("") for r in range(repeats)]
+        of = [role(fold_bucket(r, *cells)) for r in range(repeats)]
         work = work.withColumn("roles", F.array(*of))
     first = work.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(names))], *[F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(len(names))], F.count(F.lit(1)).alias("n")).first()
     k = len(names)
@@ -89,10 +94,10 @@ def grams(df: DataFrame, features: list[str], target: str, repeats: int = REPEAT
             x = np.column_stack([np.ones(len(pdf)), (pdf[[f"c{i}" for i in range(k)]].to_numpy(float) - mean) / scale])
             given = np.array(pdf["roles"].tolist()).reshape(len(pdf), -1)
             for r in range(given.shape[1]):
-                for role in roles_of:
-                    own = x[given[:, r] == role]
-                    total[r, role] = total.get((r, role), 0.0) + own.T @ own
-        rows = [(r, role, i, j, g[i, j]) for (r, role), g in total.items() for i in range(k + 1) for j in range(k + 1)]
+                for own_role in roles_of:
+                    own = x[given[:, r] == own_role]
+                    total[r, own_role] = total.get((r, own_role), 0.0) + own.T @ own
+        rows = [(r, own_role, i, j, g[i, j]) for (r, own_role), g in total.items() for i in range(k + 1) for j in range(k + 1)]
         yield pd.DataFrame(rows, columns=["repeat", "role", "i", "j", "v"])
 
     parts = work.mapInPandas(sums, "repeat int, role string, i int, j int, v double").groupBy("repeat", "role", "i", "j").agg(F.sum("v").alias("v")).collect()

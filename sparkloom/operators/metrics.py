@@ -83,3 +83,11 @@ def problem_type(df: DataFrame, column: str, numeric: bool) -> Column | DataFram
     counted = df.agg(F.count(c).alias("n"), F.count_distinct(c).alias("distinct"), F.coalesce(whole, F.lit(False)).alias("whole"))
     most = F.least(F.lit(30), F.greatest(F.lit(4), F.floor(F.col("n") * 0.2)))
     return counted.select("n", "distinct", ((F.col("n") >= 20) & (F.col("distinct") >= 2) & (F.col("distinct") <= most) & F.col("whole")).alias("is_classification"))
+
+
+def few_whole_numbers(df: DataFrame, column: str, most: int = 10, share: float = 0.02) -> DataFrame:
+    """One row: whether a chart takes the column's numbers for classes: whole ones, few in number and among the rows."""
+    c = F.col(f"`{column}`")
+    counted = df.groupBy(c.alias("value")).agg(F.count(c).alias("n")).where("value is not null")
+    few = F.count(F.lit(1)) <= F.least(F.lit(float(most)), F.greatest(F.lit(2.0), share * F.sum("n")))
+    return counted.agg(F.coalesce(F.bool_and(F.col("value") == F.floor("value")) & few, F.lit(False)).alias("is_classification"))

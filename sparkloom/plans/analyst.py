@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +35,24 @@ class Analyst:
         return {"rows_count": raw.count(), "columns": self._metadata(raw.drop(ROW_ID)), "preview_data": self._rows(preview(raw, 20))}
 
     def analyze(self, path: str, filename: str | None = None) -> dict:
-        """Read, clean, profile, relate and describe a table, and store all of it."""
-        file_id = uuid.uuid4().hex[:8]
-        raw = self._read(path)
-        cleaned, report = clean(raw, self.settings)
-        df = self.catalog.save_table(file_id, cleaned)
+        """Read, clean, profile, relate and describe a table, and store all of it, the raw rows too."""
+        file_id, version = uuid.uuid4().hex[:8], self.catalog.new_version()
+        raw = self.catalog.save_table(file_id, self._read(path), "raw", version)
+        return self._analyzed(file_id, filename or path.rsplit("/", 1)[-1], raw, version, self.settings)
 
-        payload = self._profile(df) | {"cleaning_report": report.as_dict(), "rows_raw": report.rows_start}
+    def reclean(self, file_id: str, settings: Settings | None = None) -> dict:
+        """Clean the stored raw rows again, with other settings (by default those of the analysis), and store what follows."""
+        found = self.get_analysis(file_id)
+        settings = settings or Settings(**found.get("cleaning_settings", {}))
+        return self._analyzed(file_id, found["filename"], self.catalog.load_table(file_id, "raw"), self.catalog.versions(file_id)["raw"], settings)
+
+    def _analyzed(self, file_id: str, filename: str, raw: DataFrame, raw_version: str, settings: Settings) -> dict:
+        cleaned, report = clean(raw, settings)
+        version = self.catalog.new_version()
+        df = self.catalog.save_table(file_id, cleaned, "cleaned", version)
+        payload = self._profile(df) | {"cleaning_report": report.as_dict(), "cleaning_settings": asdict(settings), "rows_raw": report.rows_start}
         payload |= self._insights(payload)
-        self.catalog.store(file_id, filename or path.rsplit("/", 1)[-1], payload)
+        self.catalog.store(file_id, filename, payload, {"raw": raw_version, "cleaned": version})
         return self.get_analysis(file_id)
 
     def _read(self, path: str) -> DataFrame:
@@ -143,7 +153,12 @@ class Analyst:
     # from the cleaned table --------------------------------------------------------------------------
 
     def cleaned(self, file_id: str) -> DataFrame:
-        return self.catalog.load_table(file_id)
+        """The cleaned table; where its files are gone, cleaned again from the raw rows."""
+        try:
+            return self.catalog.load_table(file_id)
+        except KeyError:
+            self.reclean(file_id)
+            return self.catalog.load_table(file_id)
 
     def preview(self, file_id: str, rows: int = 5) -> DataFrame:
         return preview(self.cleaned(file_id), rows)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as v
 from ..operators import assoc, charts, clean, gram, insights, metrics, network, outliers, profile, select
+from ..sources.catalog import newest_first
 from .views import oracle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,7 +167,7 @@ def _(spark, d):
 
 @query("dedup_documents", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy(F.xxhash64("text"), F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    return clean.copies(table(spark, d, "documents"), ["text"], "doc_id")
 
 
 @query(
@@ -298,29 +299,32 @@ def _(spark, d):
 # networks ------------------------------------------------------------------------------------------
 
 
-@query(
-    "correlation_components",
-    """WITH RECURSIVE names AS (SELECT col_a AS c FROM planted_edges UNION SELECT col_b FROM planted_edges),
-links AS (SELECT col_a AS a, col_b AS b FROM planted_edges WHERE abs(r) >= 0.35 UNION ALL SELECT col_b, col_a FROM planted_edges WHERE abs(r) >= 0.35),
+#: Columns of planted_lineitem whose correlations make a network of one large and two single columns.
+NETWORK = ("x1", "x2", "x3", "x4", "y", "l_linenumber")
+EDGES = "edges AS (" + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM planted_lineitem" for i, a in enumerate(NETWORK) for b in NETWORK[i + 1 :]) + ")"
+REACH = f"""WITH RECURSIVE {EDGES}, names AS (SELECT col_a AS c FROM edges UNION SELECT col_b FROM edges),
+links AS (SELECT col_a AS a, col_b AS b FROM edges WHERE abs(r) >= 0.35 UNION ALL SELECT col_b, col_a FROM edges WHERE abs(r) >= 0.35),
 reach AS (SELECT c, c AS z FROM names UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.z),
-of AS (SELECT c AS "column", min(z) AS component, count(*) AS size FROM reach GROUP BY c)
-SELECT *, size = (SELECT max(size) FROM of) AS is_largest FROM of""",
-)
+of AS (SELECT c AS "column", min(z) AS component, count(*) AS size FROM reach GROUP BY c)"""
+
+
+def network_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return assoc.correlation_pairs(table(spark, d, "planted_lineitem"), list(NETWORK))
+
+
+@query("correlation_components", REACH + "\nSELECT *, size = (SELECT max(size) FROM of) AS is_largest FROM of")
 def _(spark, d):
-    return network.component_table(table(spark, d, "planted_edges"), list("abcdef"))
+    return network.component_table(network_pairs(spark, d), NETWORK)
 
 
-@query("correlation_centrality", "SELECT c AS \"column\", round(sum(abs(r)), 6) AS centrality FROM (SELECT col_a AS c, r FROM planted_edges UNION ALL SELECT col_b, r FROM planted_edges) GROUP BY c")
+@query("correlation_centrality", f"WITH {EDGES} SELECT c AS \"column\", round(sum(abs(r)), 6) AS centrality FROM (SELECT col_a AS c, r FROM edges UNION ALL SELECT col_b, r FROM edges) GROUP BY c")
 def _(spark, d):
-    return rounded(network.centrality(table(spark, d, "planted_edges")), "centrality")
+    return rounded(network.centrality(network_pairs(spark, d)), "centrality")
 
 
-MAIN_NETWORK = """WITH RECURSIVE names AS (SELECT col_a AS c FROM planted_edges UNION SELECT col_b FROM planted_edges),
-links AS (SELECT col_a AS a, col_b AS b FROM planted_edges WHERE abs(r) >= 0.35 UNION ALL SELECT col_b, col_a FROM planted_edges WHERE abs(r) >= 0.35),
-reach AS (SELECT c, c AS z FROM names UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.z),
-of AS (SELECT c, min(z) AS component, count(*) AS size FROM reach GROUP BY c),
-main AS (SELECT c FROM of WHERE component = (SELECT component FROM of ORDER BY size DESC, component LIMIT 1)),
-inside AS (SELECT * FROM planted_edges WHERE col_a IN (SELECT c FROM main) AND col_b IN (SELECT c FROM main)),
+MAIN_NETWORK = REACH + """,
+main AS (SELECT "column" AS c FROM of WHERE component = (SELECT component FROM of ORDER BY size DESC, component LIMIT 1)),
+inside AS (SELECT * FROM edges WHERE col_a IN (SELECT c FROM main) AND col_b IN (SELECT c FROM main)),
 ends AS (SELECT col_a AS c, r FROM inside UNION ALL SELECT col_b, r FROM inside),
 central AS (SELECT main.c AS "column", coalesce(sum(abs(r)), 0) AS centrality FROM main LEFT JOIN ends ON ends.c = main.c GROUP BY main.c)
 """
@@ -328,13 +332,12 @@ central AS (SELECT main.c AS "column", coalesce(sum(abs(r)), 0) AS centrality FR
 
 @query("main_network_centrality", MAIN_NETWORK + 'SELECT "column", round(centrality, 6) AS centrality FROM central')
 def _(spark, d):
-    return rounded(network.main_centrality(table(spark, d, "planted_edges"), list("abcdef")), "centrality")
+    return rounded(network.main_centrality(network_pairs(spark, d), NETWORK), "centrality")
 
 
 @query("most_important_column", MAIN_NETWORK + 'SELECT "column" FROM central ORDER BY centrality DESC, "column" LIMIT 1')
 def _(spark, d):
-    pairs = [(r["col_a"], r["col_b"], r["r"]) for r in table(spark, d, "planted_edges").collect()]
-    return spark.createDataFrame([(network.most_important(pairs, list("abcdef")),)], "column string")
+    return network.main_centrality(network_pairs(spark, d), NETWORK).orderBy(F.desc("centrality"), "column").limit(1).select("column")
 
 
 NAMES = ("the", "de", "und", "qty_1", "a")
@@ -515,8 +518,7 @@ def _(spark, d):
 def _(spark, d):
     tagged = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array(*[F.lit(i) for i in range(gram.REPEATS)])).alias("repeat"))
     bucket = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("repeat") * 17) % 100
-    role = F.when(bucket < gram.TRAIN, "train").when(bucket < gram.VALIDATE, "validate").otherwise("unused")
-    return tagged.groupBy("repeat", role.alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return tagged.groupBy("repeat", gram.role(bucket).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # text ----------------------------------------------------------------------------------------------
@@ -543,7 +545,7 @@ def _(spark, d):
 
 @query("chat_history", "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 7 ORDER BY turn DESC")
 def _(spark, d):
-    return table(spark, d, "conversations").where("conv_id = 7").orderBy(F.desc("turn")).select("conv_id", "turn", "role", "text")
+    return newest_first(table(spark, d, "conversations"), "conv_id", 7, "turn").select("conv_id", "turn", "role", "text")
 
 
 @query("column_name_sanitise", "SELECT doc_id, substr(regexp_replace(concat(source, ' - ', lang, '%'), '[^A-Za-z0-9_]', '_', 'g'), 1, 48) AS name FROM documents")
@@ -553,10 +555,7 @@ def _(spark, d):
 
 @query("client_problem_type", "SELECT NOT (count(DISTINCT l_linenumber) > 10 OR count(DISTINCT l_linenumber) > greatest(2, 0.02 * count(*))) AS is_classification FROM lineitem")
 def _(spark, d):
-    c = F.col("l_linenumber")
-    whole = F.bool_and(c == F.floor(c))
-    few = (F.count_distinct(c) <= 10) & (F.count_distinct(c) <= F.greatest(F.lit(2.0), 0.02 * F.count(c)))
-    return table(spark, d, "lineitem").agg((whole & few).alias("is_classification"))
+    return metrics.few_whole_numbers(table(spark, d, "lineitem"), "l_linenumber")
 
 
 @query("locale_number", "SELECT o_orderkey, CAST(replace(format('{:,.2f}', o_totalprice), ',', '') AS DOUBLE) AS number FROM orders")

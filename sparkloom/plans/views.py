@@ -38,7 +38,6 @@ FROM customer""",
     ),
     "planted_rare": ("part", "SELECT p_partkey, CASE WHEN p_partkey % 500 = 0 THEN concat('RARE_', CAST(p_partkey % 7 AS STRING)) ELSE p_type END AS cat FROM part"),
     "planted_labels": ("labels", "SELECT doc_id, quality AS y_true, CAST(0.35 AS DOUBLE) * quality + CAST((doc_id * 37) % 100 AS DOUBLE) / CAST(130 AS DOUBLE) AS score FROM labels"),
-    "planted_edges": ("region", "SELECT * FROM (VALUES ('a','b',CAST(0.90 AS DOUBLE)),('b','c',CAST(-0.50 AS DOUBLE)),('d','e',CAST(0.40 AS DOUBLE)),('a','d',CAST(0.10 AS DOUBLE)),('f','a',CAST(0.34 AS DOUBLE))) AS t(col_a, col_b, r)"),
 }
 
 

@@ -532,3 +532,83 @@ def test_five_hundred_columns_in_one_scan(spark, monkeypatch):
     for r in pairs.collect():
         found[r["i"], r["j"]] = found[r["j"], r["i"]] = r["r"]
     assert np.allclose(found, np.corrcoef(x.T))
+
+
+# catalogue -----------------------------------------------------------------------------------------
+
+
+def test_versions_switch_with_the_analysis(spark, tmp_path, monkeypatch):
+    """A writer that dies between tables and switch loses nothing; raw rows are cleaned again with other settings."""
+    rows = "\n".join(f"{i % 40},{i % 40 * 2 + (i * 7) % 5},{'xyz'[i % 3]}" for i in range(120)) + "\n5000,1,x\n"
+    a = Analyst(spark, str(tmp_path / "store"))
+    key = a.analyze(write(tmp_path, f"size,price,kind\n{rows}"))["file_id"]
+    before, kept = a.get_analysis(key), a.cleaned(key).count()
+    assert before["cleaning_report"]["iqr_outlier_rows_removed"] == 1 and a.catalog.load_table(key, "raw").count() == 121
+    with monkeypatch.context() as m:
+        m.setattr(Catalog, "store", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            a.reclean(key, clean.Settings(remove_outliers=False))
+    assert a.get_analysis(key) == before and a.cleaned(key).count() == kept
+    after = a.reclean(key, clean.Settings(remove_outliers=False))
+    assert after["cleaning_report"]["iqr_outlier_rows_removed"] == 0 and a.cleaned(key).count() > kept
+    assert not after["cleaning_settings"]["remove_outliers"] and len(a.list_files()) == 1
+    versions = a.catalog.versions(key)
+    assert a.catalog._names(f"{a.catalog.folder}/cleaned/file_id={key}") == [f"version={versions['cleaned']}"]
+    a.catalog._remove(a.catalog._path(key, "cleaned", versions["cleaned"]))
+    assert a.cleaned(key).count() > kept  # rebuilt from the raw rows, with the settings of the analysis
+    assert a.delete(key) and a.list_files() == []
+
+
+def test_messages_are_merged_and_read_newest_first(spark, tmp_path, monkeypatch):
+    from sparkloom.sources import catalog as module
+
+    monkeypatch.setattr(module, "MOST_FILES", 4)
+    c = Catalog(spark, str(tmp_path))
+    for i in range(11):
+        c.add_message("f1", f"q{i}", f"a{i}")
+    c.add_message("f2", "other", "x")
+    bucket = f"{tmp_path}/chat/file_id=f1/" + c._names(f"{tmp_path}/chat/file_id=f1")[0]
+    assert len(c._data_files(bucket)) <= 5
+    assert [r["question"] for r in c.messages("f1").collect()] == [f"q{i}" for i in reversed(range(11))]
+    assert [r["question"] for r in c.messages("f1", 3).collect()] == ["q10", "q9", "q8"]
+    # a merge that died before the old files went: rows are there twice and count once
+    old = c._data_files(bucket)
+    monkeypatch.setattr(Catalog, "_remove", lambda *_: None)
+    c.merge_messages(bucket)
+    assert len(c._data_files(bucket)) == len(old) + 1 and c.messages("f1").count() == 11
+    older = bucket.replace("bucket=", "bucket=1")[:-1]  # an earlier month
+    spark.createDataFrame([("z", "old", "a", pd.Timestamp("2001-01-01").to_pydatetime())], "id string, question string, answer string, created_at timestamp").write.parquet(older)
+    assert c.messages("f1").count() == 12 and c.messages("f1", 2).count() == 2
+    read = [f for f in c.messages("f1", 2).inputFiles()]
+    assert read and not any(older.rsplit("/", 1)[1] + "/" in f for f in read)
+    assert c.messages("none").count() == 0
+
+
+def test_balanced_objects_in_columns(spark):
+    import random
+
+    def plain(text):
+        start, depth, quote, skip = text.find("{"), 0, None, False
+        for i in range(start, len(text)) if start >= 0 else ():
+            c = text[i]
+            if skip:
+                skip = False
+            elif quote:
+                skip, quote = c == "\\", None if c == quote else quote
+            elif c in "\"'":
+                quote = c
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if depth == 0:
+                    return text[start : i + 1]
+        return None
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["{", "}", '"', "'", "\\", "a", "é\n"], [3, 3, 2, 1, 2, 3, 1], k=rng.randint(0, 25))) for _ in range(800)]
+    texts += ['say {"a": "}", "b": {"c": 1}} end', "no braces", "", '{"q": "\\"}"} x']
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", insights.json_object(F.col("t")).alias("o"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        assert r["o"] == (None if r["t"] is None else plain(r["t"])), r["t"]
+        if r["t"] is not None:
+            assert insights.balanced_object(r["t"]) == plain(r["t"])
