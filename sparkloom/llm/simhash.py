@@ -39,8 +39,8 @@ WIDE_FROM = 1 << 26
 #: gives the same links.
 COUNTERS = 1 << 20
 COUNTER_ROWS = 64
-#: 64-bit words of a shingle set's parity bitmap.
-PARITY = 8
+#: 64-bit words of a shingle set's parity bitmap: of the one that goes with every posting, and of the one of candidate pairs.
+PARITY, WIDE_PARITY = 8, 64
 
 
 def shingles(text: bytes | None, words: int) -> list[bytes]:
@@ -270,8 +270,24 @@ def common_shingles(docs: DataFrame, words: int, least: int = BLOCK) -> np.ndarr
     return out.ravel() > least + 4 * out.mean()
 
 
+def parities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A bit for each of 64 * words classes of hashes: whether an odd number of them falls there."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def _may_share(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose wide parities allow the similarity: they differ in no more bits than the sets in shingles."""
+    own = of.select("node", "size", "wide")
+    for end in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}")), end)
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    return pairs.where(differ <= most).select("a", "b")
+
+
 def prefixes(docs: DataFrame, common: np.ndarray, words: int, lanes: int, similarity: float) -> DataFrame:
-    """doc_id, fp0 (fp1, ...), size, p0 ... (parity of the shingles in each bit) and prefix of every row with words.
+    """doc_id, fp0 (fp1, ...), size, p0 ... and wide (parity of the shingles in each bit) and prefix of every row with words.
 
     prefix holds the first shingles in one order of all: by hash, the very common ones last; so many that two sets
     sharing ``similarity`` have one in common.
@@ -282,21 +298,22 @@ def prefixes(docs: DataFrame, common: np.ndarray, words: int, lanes: int, simila
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = held.value
         for batch in batches:
-            rows, ids, kept = [], [], []
+            rows, ids, kept, wide = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), each_bytes(batch.column(1)), strict=True):
                 h = np.unique(gram_hashes(list(set(shingles(text, words)))))
                 if not len(h):
                     continue
                 order = np.argsort(last[(h % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")  # h is sorted
-                parity = np.bincount((h >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-                rows.append(np.r_[simhash(h, lanes), np.uint64(len(h)), np.packbits(parity.astype(bool), bitorder="little").view("<u8")])
+                rows.append(np.r_[simhash(h, lanes), np.uint64(len(h)), parities(h, PARITY)])
+                wide.append(parities(h, WIDE_PARITY).view("<i8"))
                 ids.append(i)
                 kept.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].view("<i8"))
             whole = np.array(rows, dtype="<u8").reshape(-1, len(names)).view("<i8")
             columns = [pa.array(np.ascontiguousarray(whole[:, k])) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns, pa.array(kept, pa.list_(pa.int64()))], ["doc_id", *names, "prefix"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (wide, kept)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns, *lists], ["doc_id", *names, "wide", "prefix"])
 
-    return id_and_text(docs).mapInArrow(of, ", ".join(["doc_id long", *(f"{x} long" for x in names), "prefix array<long>"]))
+    return id_and_text(docs).mapInArrow(of, ", ".join(["doc_id long", *(f"{x} long" for x in names), "wide array<long>", "prefix array<long>"]))
 
 
 def _across(group: np.ndarray, component: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -339,7 +356,7 @@ def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes
     carried = ["size", *(f"p{k}" for k in range(PARITY)), "component"]
     owned = nodes.where("first IS NOT NULL").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = prefixes(docs, common_shingles(docs, words, block), words, lanes, similarity).withColumnRenamed("doc_id", "first")
-    of = cut(of.join(owned, [*names, "first"]).select("node", *carried, "prefix").dropDuplicates(["node"]), "prefixes")
+    of = cut(of.join(owned, [*names, "first"]).select("node", *carried, "wide", "prefix").dropDuplicates(["node"]), "prefixes")
     posted = of.select("node", "component", F.explode("prefix").alias("key")).repartition("key")  # one exchange for both uses
     held = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
     met = cut(posted.join(held, "key"), "met")
@@ -372,7 +389,7 @@ def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes
         if rest is not None and len(rest):
             yield found(rest)
 
-    return dealt.mapInPandas(near, "a long, b long").distinct()
+    return _may_share(cut(dealt.mapInPandas(near, "a long, b long").distinct(), "candidates"), of, similarity)
 
 
 def near_duplicates(
