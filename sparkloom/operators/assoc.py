@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import numeric_columns
+from .cube import associations
 from .masked import column_facts, correlations
 
 STRONG = 0.7
@@ -69,24 +70,10 @@ def target_relationships(df: DataFrame, target: str, k: int = 10) -> DataFrame:
 
 
 def correlation_ratios(df: DataFrame, categorical: str, numbers: list[str]) -> DataFrame:
-    """(column, eta): how far a categorical column explains each numeric one. One grouping serves all numbers."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in numbers])).alias("cell")
-    long = df.select(F.col(f"`{categorical}`").alias("g"), cells).select("g", "cell.*").where("g is not null and x is not null")
-    groups = long.groupBy("column", "g").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("within"))
-    # total = between + within, so group rows are all that is needed
-    whole = groups.groupBy("column").agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.count(F.lit(1)).alias("groups"), F.sum(F.col("n") * F.col("within")).alias("ss_within"))
-    joined = groups.join(whole, "column")
-    between = joined.groupBy("column", "groups", "ss_within").agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ss_between"))
-    total = F.col("ss_between") + F.col("ss_within")
-    eta = F.when((F.col("groups") > 1) & (total > 0), F.sqrt(F.col("ss_between") / F.nullif(total, F.lit(0.0)))).otherwise(F.lit(0.0))
-    return between.select("column", eta.alias("eta"))
+    """(column, eta): how far a categorical column explains each numeric one."""
+    return associations(df, [categorical], numbers).select(F.col("col_b").alias("column"), F.col("value").alias("eta"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: v, without bias correction; zero if a side has fewer than two levels."""
-    cells = df.select(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("o"))
-    with_margins = cells.withColumn("r", F.sum("o").over(Window.partitionBy("a"))).withColumn("k", F.sum("o").over(Window.partitionBy("b")))
-    sums = with_margins.agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("k"))).alias("s"), F.count_distinct("a").alias("ra"), F.count_distinct("b").alias("rb"))
-    degrees = F.least("ra", "rb") - 1
-    chi = F.greatest(F.lit(0.0), F.col("n") * (F.col("s") - 1))
-    return sums.select(F.when(degrees > 0, F.sqrt(chi / F.nullif(F.col("n") * degrees, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("v"))
+    return associations(df, [a, b], []).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("v"))

@@ -8,18 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import NUMBER, ROW_ID, as_date, as_number, is_number, numeric_columns, text_columns
-from .assoc import correlation_ratios, cramers_v
-from .outliers import fences
 from ..store import written
+from .cube import associations
 from .profile import stacked
-from .ranks import quantiles, top_values
+from .ranks import as_double, counted_levels, distinct_counts, quantile_values, quantiles, sketch, top_values
 
 
 @dataclass(frozen=True)
@@ -66,7 +64,7 @@ class Report:
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != ROW_ID]
+    return [c for c in df.columns if c not in (ROW_ID, COPIES)]
 
 
 def q(name: str) -> Column:
@@ -100,8 +98,7 @@ def transform_numeric_like(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_low_cardinality(df: DataFrame, levels: int = 50) -> list[str]:
-    distinct = values(df, text_columns(df), lambda c: F.count_distinct(c))
-    return [c for c, n in distinct.items() if n < levels]
+    return [c for c, n in distinct_counts(df, text_columns(df), most=levels).items() if n < levels]
 
 
 def fit_dates(df: DataFrame, categories: list[str], numeric_share: float = 0.70, share: float = 0.35) -> list[str]:
@@ -120,13 +117,16 @@ def transform_dates(df: DataFrame, columns: list[str]) -> DataFrame:
 # rows ----------------------------------------------------------------------------------------------
 
 
-def fit_iqr(df: DataFrame, k: float = 1.5) -> dict[str, tuple[float, float]]:
-    """Fences of numeric columns with at least four values and a spread."""
+QUARTILES = (0.25, 0.75)
+
+
+def fit_iqr(df: DataFrame, k: float = 1.5, sketches: dict | None = None) -> dict[str, tuple[float, float]]:
+    """Fences of numeric columns with at least four values and a spread. ``sketches``: those of an earlier scan."""
     columns = [c for c in numeric_columns(df) if c != ROW_ID]
     if not columns:
         return {}
-    found = fences(df, columns).where("n >= 4 and q3 <> q1").collect()
-    return {r["column"]: (r["q1"] - k * (r["q3"] - r["q1"]), r["q3"] + k * (r["q3"] - r["q1"])) for r in found}
+    found = quantile_values(df, [as_double(q(c)) for c in columns], QUARTILES, [sketches[c] for c in columns] if sketches else None)
+    return {c: (x[0] - k * (x[1] - x[0]), x[1] + k * (x[1] - x[0])) for c, (n, x) in zip(columns, found, strict=True) if n >= 4 and x[0] != x[1]}
 
 
 def transform_iqr(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -139,18 +139,21 @@ def transform_iqr(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Data
 
 def fit_signs(df: DataFrame, share: float = 0.85) -> dict[str, str]:
     """Columns that are almost all of one sign, and that sign."""
+    return counted_signs(df, share)[1]
+
+
+def counted_signs(df: DataFrame, share: float = 0.85) -> tuple[int, dict[str, str]]:
+    """The number of rows, and the columns of one sign, from one scan."""
     columns = [c for c in numeric_columns(df) if c != ROW_ID]
-    if not columns:
-        return {}
-    rows = stacked(df, columns, {"n": lambda c: F.count(c), "pos": lambda c: F.count_if(c > 0), "neg": lambda c: F.count_if(c < 0)}).where("n >= 2").collect()
+    cells = [F.struct(F.count(q(c)).alias("n"), F.count_if(q(c) > 0).alias("pos"), F.count_if(q(c) < 0).alias("neg")).alias(f"s{i}") for i, c in enumerate(columns)]
+    rows, *found = df.agg(F.count(F.lit(1)).alias("rows"), *cells).first()
     out = {}
-    for r in rows:
-        n, pos, neg = r["n"], r["pos"], r["neg"]
-        if pos / n >= share or (n - pos == 1 and pos >= 1):
-            out[r["column"]] = "positive"
-        elif neg / n >= share or (n - neg == 1 and neg >= 1):
-            out[r["column"]] = "negative"
-    return out
+    for c, (n, pos, neg) in zip(columns, found, strict=True):
+        if n >= 2 and (pos / n >= share or (n - pos == 1 and pos >= 1)):
+            out[c] = "positive"
+        elif n >= 2 and (neg / n >= share or (n - neg == 1 and neg >= 1)):
+            out[c] = "negative"
+    return rows, out
 
 
 def transform_signs(df: DataFrame, signs: dict[str, str]) -> DataFrame:
@@ -161,12 +164,18 @@ def transform_signs(df: DataFrame, signs: dict[str, str]) -> DataFrame:
     return df.where(~out) if signs else df
 
 
+#: How often a row was there before duplicates went.
+COPIES = "__copies"
+
+
+def counted_duplicates(df: DataFrame) -> DataFrame:
+    """One row of each set of equal rows, nulls being equal, with their number; the first by __row_id where there is one."""
+    columns, id_ = data_columns(df), [ROW_ID] if ROW_ID in df.columns else []
+    return df.groupBy(*map(q, columns)).agg(*[F.min(c).alias(c) for c in id_], F.count(F.lit(1)).alias(COPIES)).select(*id_, *map(q, columns), COPIES)
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each set of equal rows, nulls being equal; the first by __row_id where there is one."""
-    columns = data_columns(df)
-    if ROW_ID not in df.columns:
-        return df.dropDuplicates(columns)
-    return df.groupBy(*map(q, columns)).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID, *map(q, columns))
+    return counted_duplicates(df).drop(COPIES)
 
 
 def copies(df: DataFrame, columns: list[str], order: str) -> DataFrame:
@@ -182,12 +191,10 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 # filling -------------------------------------------------------------------------------------------
 
 
-def fit_medians(df: DataFrame) -> dict[str, float]:
-    """Median of each numeric column that has nulls; 0 if it has nothing else."""
+def fit_medians(df: DataFrame, nulls: dict[str, int] | None = None) -> dict[str, float]:
+    """Median of each numeric column that has nulls; 0 if it has nothing else. ``nulls``: their numbers, where known."""
     columns = [c for c in numeric_columns(df) if c != ROW_ID]
-    if not columns:
-        return {}
-    nulls = values(df, columns, lambda c: F.count_if(c.isNull()))
+    nulls = nulls if nulls is not None else values(df, columns, lambda c: F.count_if(c.isNull()))
     columns = [c for c in columns if nulls[c]]
     if not columns:
         return {}
@@ -199,12 +206,10 @@ def transform_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(q(c).cast("double"), F.lit(m)) for c, m in medians.items()}) if medians else df
 
 
-def fit_modes(df: DataFrame) -> dict[str, str]:
+def fit_modes(df: DataFrame, nulls: dict[str, int] | None = None) -> dict[str, str]:
     """The most frequent value (the smallest of several) of each text column with nulls; Unknown if there is none."""
     columns = text_columns(df)
-    if not columns:
-        return {}
-    nulls = values(df, columns, lambda c: F.count_if(c.isNull()))
+    nulls = nulls if nulls is not None else values(df, columns, lambda c: F.count_if(c.isNull()))
     columns = [c for c in columns if nulls[c]]
     if not columns:
         return {}
@@ -230,9 +235,10 @@ def fit_categories(df: DataFrame, columns: list[str]) -> Categories:
     columns = [c for c in columns if c in text_columns(df)]
     if not columns:
         return Categories((), {})
-    rows = {r["column"]: r for r in stacked(df, columns, {"n": lambda c: F.count_distinct(c), "low": lambda c: F.min(c), "high": lambda c: F.max(c), "numbers": lambda c: F.count_if(c.isNotNull() & ~c.rlike(NUMBER))}).collect()}
-    constant = tuple(c for c in columns if rows[c]["n"] <= 1)
-    binary = {c: (rows[c]["low"], rows[c]["high"]) for c in columns if rows[c]["n"] == 2 and rows[c]["numbers"] > 0}
+    levels = counted_levels(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(~F.col("value").rlike(NUMBER)).alias("words"))
+    rows = {r["column"]: r for r in levels.collect()}
+    constant = tuple(c for c in columns if c not in rows or rows[c]["n"] <= 1)
+    binary = {c: (r["low"], r["high"]) for c in columns if (r := rows.get(c)) and r["n"] == 2 and r["words"] > 0}
     return Categories(constant, binary)
 
 
@@ -242,50 +248,65 @@ def transform_categories(df: DataFrame, found: Categories) -> DataFrame:
 
 
 def fit_weak_categories(df: DataFrame, columns: list[str], settings: Settings = Settings()) -> list[str]:
-    """Categorical columns of little association with the others; all are judged on the same table.
-
-    Each needs one grouping for all numeric columns, and each pair of categorical ones another.
-    """
-    columns = [c for c in columns if c in text_columns(df)]
-    dates = {f.name for f in df.schema if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType))}
-    others = [c for c in data_columns(df) if c not in dates]
-    numbers = [c for c in others if is_number(dict((f.name, f.dataType) for f in df.schema)[c])]
-    texts = [c for c in others if c in text_columns(df)]
-    if len(others) - 1 < settings.least_comparable:
+    """Categorical columns of little association with the others; all are judged on the same table, from its counted cells."""
+    texts = text_columns(df)
+    columns = [c for c in columns if c in texts]
+    fields = {f.name: f.dataType for f in df.schema}
+    others = [c for c in data_columns(df) if not isinstance(fields[c], (T.TimestampNTZType, T.TimestampType, T.DateType))]
+    numbers = [c for c in others if is_number(fields[c])]
+    if not columns or len(others) - 1 < settings.least_comparable:
         return []
-    between = {(a, b): cramers_v(df, a, b).first()["v"] or 0.0 for a, b in combinations(texts, 2) if a in columns or b in columns}
-    weak = []
-    for c in columns:
-        found = [r["eta"] for r in correlation_ratios(df, c, numbers).collect()] if numbers else []
-        found += [v for pair, v in between.items() if c in pair]
-        if sum(x >= settings.association for x in found) / (len(others) - 1) < settings.comparable_share:
-            weak.append(c)
-    return weak
+    judged = [*columns, *[c for c in texts if c in others and c not in columns]]
+    strong = dict.fromkeys(columns, 0)
+    for r in associations(df, judged, numbers).where(F.col("value") >= settings.association).collect():
+        for c in (r["col_a"], r["col_b"]):
+            if c in strong:
+                strong[c] += 1
+    return [c for c in columns if strong[c] / (len(others) - 1) < settings.comparable_share]
 
 
 # all together --------------------------------------------------------------------------------------
 
 
+def first_facts(df: DataFrame) -> tuple[int, dict]:
+    """The number of rows, and for each column what the first steps ask, from one scan: values that are there, numbers among a
+    text's, and a sketch of the numbers."""
+    texts = text_columns(df)
+    cells = []
+    for i, c in enumerate(data_columns(df)):
+        number = as_number(q(c)) if c in texts else as_double(q(c)) if c in numeric_columns(df) else F.lit(None).cast("double")
+        cells.append(F.struct(F.count(q(c)).alias("there"), F.count(number).alias("numbers"), sketch(number, QUARTILES).alias("sketch")).alias(f"c{i}"))
+    rows, *found = df.agg(F.count(F.lit(1)).alias("rows"), *cells).first()
+    return rows, dict(zip(data_columns(df), found, strict=True))
+
+
 def clean(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, Report]:
-    """The cleaned table and its report. What follows the one shuffle (duplicates) reads a table in the shared folder,
-    which the result reads too."""
-    report = Report(rows_start=df.count(), columns_start=len(data_columns(df)), null_threshold_percent=int(settings.null_threshold * 100), iqr_multiplier=settings.iqr_multiplier, sign_anomaly_threshold=settings.sign_share, outlier_row_removal_enabled=settings.remove_outliers, drop_remaining_null_rows_enabled=settings.drop_remaining_nulls)
-    report.columns_dropped_high_null = fit_high_null(df, settings.null_threshold)
+    """The cleaned table and its report. The given table is scanned six times: for the first facts, few levels, fences, signs,
+    dates (where texts are left) and duplicates. What follows reads a table in the shared folder, which the result reads too;
+    within ``store.scratch`` it goes when the block ends."""
+    rows, facts = first_facts(df)
+    report = Report(rows_start=rows, columns_start=len(data_columns(df)), null_threshold_percent=int(settings.null_threshold * 100), iqr_multiplier=settings.iqr_multiplier, sign_anomaly_threshold=settings.sign_share, outlier_row_removal_enabled=settings.remove_outliers, drop_remaining_null_rows_enabled=settings.drop_remaining_nulls)
+    report.columns_dropped_high_null = [c for c, f in facts.items() if rows and 1 - f["there"] / rows > settings.null_threshold]
     df = df.drop(*report.columns_dropped_high_null)
-    df = transform_numeric_like(df, fit_numeric_like(df, settings.numeric_share))
+    df = transform_numeric_like(df, [c for c in text_columns(df) if rows and facts[c]["numbers"] / rows >= settings.numeric_share])
     categories = fit_low_cardinality(df, settings.category_levels)
     report.low_cardinality_columns_as_category = list(categories)
-    rows = report.rows_start
     if settings.remove_outliers:
-        df = transform_iqr(df, fit_iqr(df, settings.iqr_multiplier))
-        report.iqr_outlier_rows_removed = rows - (rows := df.count())
-        df = transform_signs(df, fit_signs(df, settings.sign_share))
-        report.sign_anomaly_rows_removed = rows - (rows := df.count())
+        df = transform_iqr(df, fit_iqr(df, settings.iqr_multiplier, {c: f["sketch"] for c, f in facts.items()}))
+        left, signs = counted_signs(df, settings.sign_share)
+        report.iqr_outlier_rows_removed, rows = rows - left, left
+        df = transform_signs(df, signs)
     df = transform_dates(df, fit_dates(df, categories, settings.date_numeric_share, settings.date_share))
-    df = drop_duplicates(df)
-    df = written(df, "deduplicated") if df.columns else df
-    report.duplicate_rows_removed = rows - (rows := df.count())
-    medians, modes = fit_medians(df), fit_modes(df)
+    if not data_columns(df):
+        left = df.count()
+        report.sign_anomaly_rows_removed, report.rows_end = rows - left, left
+        return df, report
+    df = written(counted_duplicates(df), "deduplicated")
+    left, unique, *nulls = df.agg(F.coalesce(F.sum(COPIES), F.lit(0)), F.count(F.lit(1)), *[F.count_if(q(c).isNull()) for c in data_columns(df)]).first()
+    df = df.drop(COPIES)
+    report.sign_anomaly_rows_removed, report.duplicate_rows_removed, rows = rows - left, left - unique, unique
+    missing = dict(zip(data_columns(df), nulls, strict=True))
+    medians, modes = fit_medians(df, missing), fit_modes(df, missing)
     report.numeric_columns_filled, report.categorical_columns_filled = sorted(medians), sorted(modes)
     df = transform_modes(transform_medians(df, medians), modes)
 
@@ -299,8 +320,10 @@ def clean(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, Re
     report.categorical_columns_dropped_low_association = sorted(fit_weak_categories(df, [c for c in df.columns if c in categories], settings))
     df = df.drop(*report.categorical_columns_dropped_low_association)
     if settings.drop_remaining_nulls and data_columns(df):
-        df = drop_null_rows(df)
-        report.rows_removed_unresolved_nulls = rows - (rows := df.count())
-    df = categorise(df)
+        filled = {*medians, *modes}
+        if any(missing.get(c) and c not in filled for c in data_columns(df)):  # dates have nulls still
+            df = drop_null_rows(df)
+            report.rows_removed_unresolved_nulls = rows - (rows := df.count())
+            df = categorise(df)  # levels may be gone with their rows
     report.rows_end, report.columns_end = rows, len(data_columns(df))
     return df, report

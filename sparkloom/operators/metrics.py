@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+
 # The thresholds of the sweep, 0.05 to 0.95 in steps of 0.025.
 THRESHOLDS = tuple(round(0.05 + 0.025 * i, 3) for i in range(37))
 
@@ -70,10 +72,16 @@ def best_threshold(df: DataFrame, actual: str, score: str) -> float:
 
 
 def label_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """df with the number of the column's value among its sorted distinct values. The values are numbered, not the rows."""
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = distinct.select(F.col(column).alias("__value"), (F.row_number().over(Window.orderBy(column)) - 1).cast("int").alias(name))
-    return df.join(codes, F.col(column) == F.col("__value"), "left").drop("__value")
+    """df with the number of the column's value among its sorted distinct values. The values are numbered, not the rows: ranges
+    of them are, each by itself, and the ranges' sizes say where each begins."""
+    value = df.select(F.col(f"`{column}`").alias("__value")).where("__value is not null").distinct()
+    ranged = written(value.repartitionByRange("__value").withColumn("__part", F.spark_partition_id()), "labels")
+    sizes = ranged.groupBy("__part").count().toPandas().sort_values("__part")  # a row for each range
+    sizes["__start"] = sizes["count"].cumsum() - sizes["count"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(sizes[["__part", "__start"]], "__part int, __start long"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("__value")) - 1
+    codes = ranged.withColumn("__own", own).join(starts, "__part").select("__value", (F.col("__start") + F.col("__own")).cast("int").alias(name))
+    return df.join(codes, F.col(f"`{column}`") == F.col("__value"), "left").drop("__value")
 
 
 def problem_type(df: DataFrame, column: str, numeric: bool) -> Column | DataFrame:

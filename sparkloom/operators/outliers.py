@@ -12,8 +12,8 @@ FENCE = 1.5
 
 
 def fences(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n, q1, q3) of every column that has numbers, from one scan."""
-    return quantiles(df, columns, {"q1": 0.25, "q3": 0.75}).drop("unique_count")
+    """(column, n, q1, q3) of every column that has numbers."""
+    return quantiles(df, columns, {"q1": 0.25, "q3": 0.75})
 
 
 def iqr_report(df: DataFrame, columns: list[str] | None = None, k: float = FENCE) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import is_number, numeric_columns, text_columns
-from .ranks import quantiles, top_values
+from .ranks import distinct_counts, quantiles, top_values
 
 #: Aggregates of one pass; wider ones fall out of code generation.
 WIDE = 90
@@ -49,14 +49,18 @@ DATES = {
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Quartiles and distinct counts come from counted values (see ranks), all else from one scan."""
+    """Quartiles and distinct counts as in ranks, all else from one scan."""
     columns = columns or numeric_columns(df)
     ranked = quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("n")
-    rows = stacked(df, columns, NUMERIC).join(F.broadcast(ranked), "column", "left")
-    rows = rows.withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("long")))
+    rows = stacked(df, columns, NUMERIC).join(F.broadcast(ranked), "column", "left").join(F.broadcast(unique_counts(df, columns)), "column")
     return rows.select("column", "count", "null_count", "unique_count", "mean", "median", "std", "min", "max", "q1", "q3")
 
 
+def unique_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, unique_count), a row for each column."""
+    return df.sparkSession.createDataFrame(list(distinct_counts(df, columns).items()), "column string, unique_count long")
+
+
 def categorical_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The count includes nulls; the top value is the smallest of the most frequent ones."""
     columns = columns or text_columns(df)
@@ -101,18 +105,13 @@ def cleaned_type(field: T.StructField) -> str:
     return "numeric" if is_number(field.dataType) or isinstance(field.dataType, T.BooleanType) else "categorical"
 
 
-def prompt_type(field: T.StructField) -> str:
-    kind = upload_type(field)
-    return kind if kind in ("numeric", "datetime") else "categorical"
-
-
 def column_metadata(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column: null and distinct counts, and the range of numeric ones."""
     fields = {f.name: f for f in df.schema}
     columns = columns or df.columns
     kinds = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(upload_type(fields[c])))]) if columns else None
     numbers = [c for c in columns if is_number(fields[c].dataType)]
-    base = stacked(df, columns, {"null_count": lambda c: F.count_if(c.isNull()), "unique_count": lambda c: F.count_distinct(c)})
+    base = stacked(df, columns, {"null_count": lambda c: F.count_if(c.isNull())}).join(F.broadcast(unique_counts(df, columns)), "column")
     out = base.withColumn("inferred_type", kinds[F.col("column")])
     if not numbers:
         return out.withColumn("min", F.lit(None).cast("double")).withColumn("max", F.lit(None).cast("double"))

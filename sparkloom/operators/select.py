@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import numeric_columns, text_columns
@@ -16,7 +16,9 @@ from .gram import Grams
 from .masked import correlations as correlations_with
 from .metrics import Score as Value
 from .metrics import beats, first_of
+from .metrics import label_codes as numbered_labels
 from .profile import stacked
+from .ranks import distinct_counts, quantile_values
 
 # Words in names, and what they add to a target's prior.
 OUTCOMES = ("price", "value", "score", "count", "amount", "income", "cost", "sale", "rating", "risk", "prob", "churn", "demand")
@@ -65,16 +67,14 @@ def id_name(name: str) -> bool:
 def id_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, unique_ratio, is_id): by name, or by more than 95% distinct values."""
     columns = list(columns or df.columns)
-    rows = stacked(df, columns, {"unique_ratio": lambda c: F.count_distinct(c) / F.nullif(F.count(F.lit(1)), F.lit(0))})
-    named = F.col("column").isin(*[c for c in columns if id_name(c)] or [""])
-    return rows.withColumn("is_id", F.col("unique_ratio").isNotNull() & (named | (F.col("unique_ratio") > 0.95)))
+    n = df.count()
+    rows = [(c, unique / n if n else None, bool(n) and (id_name(c) or unique / n > 0.95)) for c, unique in distinct_counts(df, columns).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, unique_ratio double, is_id boolean")
 
 
 def label_codes(df: DataFrame, target: str) -> DataFrame:
-    """df with each label of a text target replaced by its place in the order of labels."""
-    y = F.col(f"`{target}`")
-    ranks = df.select(y.alias("__label")).distinct().withColumn("__code", F.dense_rank().over(Window.orderBy("__label")) - 1)
-    return df.join(ranks, y == F.col("__label")).withColumn(target, F.col("__code").cast("double")).drop("__label", "__code")
+    """df with each label of a text target replaced by its place in the order of labels; rows without one are left out."""
+    return numbered_labels(df, target, "__code").where("__code is not null").withColumn(target, F.col("__code").cast("double")).drop("__code")
 
 
 def relevance(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
@@ -298,7 +298,7 @@ def fragment(name: str) -> str:
 
 def engineered(df: DataFrame, proposals: Sequence[dict], base: Sequence[str], existing: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """df with the valid ones of up to twelve proposed column pairs; ratios by a denominator near zero and columns
-    that do not vary are left out, which one aggregation decides."""
+    that do not vary are left out."""
     base, taken, cells = list(base)[:12], set(existing), {}
     for p in [p for p in proposals[:12] if isinstance(p, dict)]:
         op, a, b = (str(p.get(k, "")).strip() for k in ("operator", "feature_a", "feature_b"))
@@ -314,11 +314,14 @@ def engineered(df: DataFrame, proposals: Sequence[dict], base: Sequence[str], ex
         if len(name) >= 180 or name in taken:
             continue
         taken.add(name)
-        cells[name] = (cell, F.percentile(F.abs(y), F.lit(0.5)) if op == "divide" else F.lit(1.0))
+        cells[name] = (cell, F.abs(y) if op == "divide" else None)
     if not cells:
         return df, []
-    facts = df.agg(*[F.struct(F.stddev_samp(c).alias("std"), m.alias("median")).alias(f"f{i}") for i, (c, m) in enumerate(cells.values())]).first()
-    kept = [n for i, n in enumerate(cells) if (facts[i]["std"] or 0.0) >= 1e-12 and (facts[i]["median"] or 0.0) >= 1e-8][:28]
+    stds = dict(zip(cells, df.agg(*[F.stddev_samp(c) for c, _ in cells.values()]).first(), strict=True))
+    ratios = [n for n, (_, below) in cells.items() if below is not None]
+    medians = dict(zip(ratios, quantile_values(df, [cells[n][1] for n in ratios], [0.5]), strict=True))
+    wide = lambda n: n not in medians or (medians[n][0] > 0 and medians[n][1][0] >= 1e-8)
+    kept = [n for n in cells if (stds[n] or 0.0) >= 1e-12 and wide(n)][:28]
     return df.withColumns({n: cells[n][0] for n in kept}) if kept else df, kept
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import assoc, charts, insights, network, outliers, profile, train
 from ..operators.clean import Settings, clean, data_columns
 from ..sources.catalog import Catalog, for_json
+from ..store import scratch
 from ..sources.ingest import ROW_ID, preview, read_delimited, read_parquet, with_row_id
 
 
@@ -47,9 +48,10 @@ class Analyst:
         return self._analyzed(file_id, found["filename"], self.catalog.load_table(file_id, "raw"), self.catalog.versions(file_id)["raw"], settings)
 
     def _analyzed(self, file_id: str, filename: str, raw: DataFrame, raw_version: str, settings: Settings) -> dict:
-        cleaned, report = clean(raw, settings)
         version = self.catalog.new_version()
-        df = self.catalog.save_table(file_id, cleaned, "cleaned", version)
+        with scratch(self.spark):
+            cleaned, report = clean(raw, settings)
+            df = self.catalog.save_table(file_id, cleaned, "cleaned", version)
         payload = self._profile(df) | {"cleaning_report": report.as_dict(), "cleaning_settings": asdict(settings), "rows_raw": report.rows_start}
         payload |= self._insights(payload)
         self.catalog.store(file_id, filename, payload, {"raw": raw_version, "cleaned": version})

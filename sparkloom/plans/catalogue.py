@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as v
-from ..operators import assoc, charts, clean, gram, insights, metrics, network, outliers, profile, select
+from ..operators import assoc, charts, clean, gram, insights, metrics, network, outliers, profile, ranks, select
 from ..sources.catalog import newest_first
 from .views import oracle, table
 
@@ -132,7 +132,8 @@ def _(spark, d):
 @query("low_cardinality_columns", f"""SELECT "column", n AS distinct_values FROM ({union([f'''SELECT '{c}' AS "column", count(DISTINCT {c}) AS n FROM part''' for c in ("p_name", "p_brand", "p_type")])}) WHERE n < 50""")
 def _(spark, d):
     df = table(spark, d, "part")
-    return profile.stacked(df, v.text_columns(df), {"distinct_values": lambda c: F.count_distinct(c)}).where("distinct_values < 50")
+    few = clean.fit_low_cardinality(df)
+    return spark.createDataFrame(list(ranks.distinct_counts(df, few).items()), "column string, distinct_values long")
 
 
 @query("iqr_fences", "SELECT 'value' AS \"column\", count(value) AS n, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3 FROM events")

@@ -418,11 +418,99 @@ def test_quantiles_by_rank(spark):
     assert set(found) == {"a", "b", "c"}
     for i, name in enumerate(("a", "b", "c")):
         held = np.array([r[i] for r in rows if r[i] is not None], dtype=float)
-        assert found[name]["n"] == len(held) and found[name]["unique_count"] == len(set(held))
+        assert found[name]["n"] == len(held)
         assert np.allclose([found[name][k] for k in ("low", "q", "mid", "high")], np.quantile(held, [0, 0.137, 0.5, 1]))
     assert ranks.quantiles(df.limit(0), ["a"], {"mid": 0.5}).count() == 0
-    big = spark.createDataFrame([(2**60,), (2**60 + 1,), (2**60 + 1,)], "a long")
-    assert ranks.quantiles(big, ["a"], {"mid": 0.5}).first()["unique_count"] == 2
+    assert ranks.distinct_counts(df, df.columns) == {"a": len(set(whole["a"].tolist())), "b": len({r[1] for r in rows} - {None}), "c": 1, "nothing": 0}
+
+
+@pytest.mark.parametrize("few", [0, ranks.FEW])
+def test_quantiles_by_brackets(spark, monkeypatch, few):
+    """Heavy ties, long tails and infinities; brackets that miss are opened."""
+    monkeypatch.setattr(ranks, "FEW", few)
+    rng = np.random.default_rng(1)
+    whole = np.column_stack([rng.normal(size=60_000), rng.integers(0, 3, 60_000), np.exp(rng.normal(size=60_000) * 9), np.r_[np.zeros(59_990), np.full(10, np.inf)]])
+    df = spark.createDataFrame(pd.DataFrame(whole, columns=list("abcd"))).repartition(5)
+    wanted = {"x": 0.0, "q": 0.25, "m": 0.5, "r": 0.9993, "z": 1.0}
+    found = {r["column"]: r for r in ranks.quantiles(df, list("abcd"), wanted).collect()}
+    for i, c in enumerate("abcd"):
+        ordered = np.sort(whole[:, i])
+        for name, p in wanted.items():
+            place = p * (len(ordered) - 1)
+            low, high, share = ordered[int(np.floor(place))], ordered[int(np.ceil(place))], place - np.floor(place)
+            assert found[c][name] == (low if not share else pytest.approx((1 - share) * low + share * high)), (c, name)
+    monkeypatch.setattr(ranks, "brackets", lambda found, wanted: [(1e300, 1e301)] * len(wanted))
+    assert ranks.quantiles(df, ["a"], {"m": 0.5}).first()["m"] == found["a"]["m"]
+
+
+def test_distinct_counts(spark):
+    rows = [(2**60 + i % 2, "t" * (i % 9), float(i % 5), i % 2 == 0, None) for i in range(500)] + [(None, "", -0.0, None, None), (1, "é", 0.0, True, None)]
+    df = spark.createDataFrame(rows, "a long, b string, c double, d boolean, e string").repartition(5)
+    assert ranks.distinct_counts(df, df.columns) == {"a": 3, "b": 10, "c": 5, "d": 2, "e": 0}
+    few = ranks.distinct_counts(df, df.columns, most=4)
+    assert few["a"] == 3 and few["b"] >= 4 and few["c"] >= 4 and few["d"] == 2
+    assert ranks.distinct_counts(df.limit(0), ["a"]) == {"a": 0} and ranks.distinct_counts(df, []) == {}
+    assert "Expand" not in profile.column_metadata(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plain_associations(pdf, texts, numbers):
+    out = {}
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            o = pd.crosstab(pdf[a], pdf[b]).to_numpy(float)
+            if o.size:
+                n, e = o.sum(), np.outer(o.sum(axis=1), o.sum(axis=0)) / o.sum()
+                k = min(o.shape) - 1
+                out[a, b] = float(np.sqrt(((o - e) ** 2 / e).sum() / (n * k))) if k > 0 else 0.0
+        for c in numbers:
+            both = pdf[[a, c]].dropna()
+            if len(both):
+                g = both.groupby(a)[c]
+                between, total = (g.count() * (g.mean() - both[c].mean()) ** 2).sum(), ((both[c] - both[c].mean()) ** 2).sum()
+                out[a, c] = float(np.sqrt(between / total)) if g.ngroups > 1 and both[c].nunique() > 1 else 0.0
+    return out
+
+
+@pytest.mark.parametrize("held", [5, 400_000])
+def test_all_associations_from_one_table_of_cells(spark, monkeypatch, held):
+    from sparkloom.operators import cube
+
+    monkeypatch.setattr(cube, "HELD", held)
+    rng = np.random.default_rng(6)
+    n = 300
+    pdf = pd.DataFrame({"k": rng.choice(list("abc"), n), "m": rng.choice(["x", "y", "é|;"], n), "one": "same", "id": [f"v{i}" for i in range(n)], "gone": None, "u": rng.normal(size=n) * 1e6 + 1e9, "v": rng.normal(size=n), "flat": 0.1})
+    pdf["m"] = pdf["m"].where(rng.random(n) > 0.3, pdf["k"].map({"a": "x", "b": "y", "c": "x"}))
+    pdf["v"] += pdf["k"].map({"a": 0, "b": 2, "c": 5})
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.1)
+    rows = [tuple(None if pd.isna(x) else x for x in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "k string, m string, one string, id string, gone string, u double, v double, flat double").repartition(4)
+    found = cube.associations(df, ["k", "m", "one", "id", "gone"], ["u", "v", "flat"])
+    assert {(r["col_a"], r["col_b"]): r["value"] for r in found.collect()} == pytest.approx(plain_associations(pdf, ["k", "m", "one", "id", "gone"], ["u", "v", "flat"]), abs=1e-9)
+    assert assoc.cramers_v(df, "gone", "k").first()["v"] == 0.0 and cube.associations(df.limit(0), ["k", "m"], ["u"]).count() == 0
+
+
+def test_cleaning_leaves_nothing_in_the_shared_folder(spark, tmp_path):
+    from sparkloom import store
+
+    folder = f"{store.shared_dir(spark)}/left-{tmp_path.name}"
+    token = store._FOLDER.set(folder)
+    try:
+        df = views.table(spark, SF, "dirty_lineitem")
+        profile.numeric_profile(df).collect()
+        outliers.iqr_report(df, ["qty"]).collect()
+        path = folder.removeprefix("file:")
+        import os
+
+        assert not os.path.exists(path) or os.listdir(path) == []
+        spark.sparkContext.setJobGroup(folder, "")
+        with store.scratch(spark):
+            cleaned, _ = clean.clean(df)
+            assert cleaned.count() > 0 and len(os.listdir(path)) == 1
+        assert os.listdir(path) == []
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(folder)) <= 45
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    finally:
+        store._FOLDER.reset(token)
 
 
 def test_top_values(spark):
