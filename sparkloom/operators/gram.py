@@ -32,6 +32,31 @@ def role(bucket: Column) -> Column:
     return F.when(bucket < TRAIN, "train").when(bucket < VALIDATE, "validate").otherwise("unused")
 
 
+#: Pivots after which a fit is built anew, and the share of a feature's variance that the others must leave open.
+FRESH, OPEN_SHARE = 64, 1e-7
+
+
+def _pivoted(a: np.ndarray, k: int) -> np.ndarray:
+    """The symmetric matrices [..., n, n] with variable k taken into the fit, or out of it if it is in."""
+    d = a[:, k, k][:, None]
+    row, column = a[:, k, :] / d, a[:, :, k]
+    out = a - column[:, :, None] * row[:, None, :]
+    out[:, k, :], out[:, :, k] = row, -column / d
+    out[:, k, k] = 1 / d[:, 0]
+    return out
+
+
+def _independent(start: np.ndarray, m: int) -> bool:
+    """Whether every feature varies beyond what all others say of it."""
+    state = start
+    for k in range(1, m + 1):
+        if (state[:, k, k] <= OPEN_SHARE * start[:, k, k]).any():
+            return False
+        state = _pivoted(state, k)
+    own, inverse = (np.stack([x[:, k, k] for k in range(1, m + 1)]) for x in (start, state))
+    return bool((1 / inverse > OPEN_SHARE * own).all())
+
+
 @dataclass
 class Grams:
     """Sums of products per (repeat, role), over columns [1, *features, target], of standardised values."""
@@ -63,6 +88,42 @@ class Grams:
         found = [x for r in range(REPEATS) if (x := self.r2(features, r)) is not None]
         return float(np.mean(found)) if found and features else None
 
+    def subset_scores(self, pool: list[str], most: int) -> dict[tuple[str, ...], float | None]:
+        """``score`` of every subset of the pool with up to ``most`` features, in the pool's order.
+
+        Subsets are visited so that each differs from the last by one feature, which one pivot takes in or out
+        of the fit. Empty where features are so dependent that pivots would lose digits.
+        """
+        if self.rows is not None and self.rows < LEAST_ROWS:
+            return {}
+        used = [r for r in range(REPEATS) if (r, "train") in self.sums and (r, "validate") in self.sums and self.sums[r, "validate"][0, 0] >= 5]
+        if not used:
+            return {}
+        m, y = len(pool), len(pool) + 1
+        at = [0, *(1 + self.columns.index(f) for f in pool), len(self.columns) + 1]
+        train, val = (np.stack([self.sums[r, role][np.ix_(at, at)] for r in used]) for role in ("train", "validate"))
+        total = val[:, y, y] - val[:, 0, y] ** 2 / val[:, 0, 0]
+        varies = total > 1e-9 * val[:, 0, 0]
+        start = _pivoted(train, 0) if (train[:, 0, 0] > 0).all() else None
+        if start is None or not _independent(start, m):
+            return {}
+        state, out, chosen = start, {}, np.zeros(m, bool)
+        for step in range(1, 1 << m):
+            bit = (step & -step).bit_length() - 1
+            chosen[bit] ^= True
+            if step % FRESH:
+                state = _pivoted(state, 1 + bit)
+            else:  # rounding is not carried on for ever
+                state = start
+                for k in np.flatnonzero(chosen):
+                    state = _pivoted(state, 1 + int(k))
+            if chosen.sum() <= most:
+                beta = np.where(np.r_[True, chosen], state[:, :y, y], 0.0)
+                error = val[:, y, y] - 2 * (beta * val[:, :y, y]).sum(axis=1) + np.einsum("ri,rij,rj->r", beta, val[:, :y, :y], beta)
+                r2 = np.where(varies, 1 - error / np.where(varies, total, 1.0), 0.0)
+                out[tuple(f for f, c in zip(pool, chosen, strict=True) if c)] = float(r2.mean())
+        return out
+
     def coefficients(self, features: list[str], role: str = "train", repeat: int = 0) -> tuple[float, dict[str, float]]:
         """Intercept and slopes in the table's own units."""
         g = self.sums[(repeat, role)]

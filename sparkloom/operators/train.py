@@ -18,6 +18,8 @@ from .metrics import Score, beats, classification_scores, first_of, problem_type
 #: Rows that a model needs, and test rows that it is judged on at least.
 LEAST_ROWS, LEAST_TEST = 30, 10
 ITERATIONS = 5
+#: Features of a pool whose subsets are all scored pivot by pivot.
+SWEPT = 14
 
 
 def usable(df: DataFrame, target: str, features: Sequence[str], numeric_target: bool = True) -> DataFrame:
@@ -90,6 +92,10 @@ class Scorer:
         if self.kind == "classification" and new:
             found = {r["candidate"]: (r["f1_macro"], r["accuracy"]) for r in candidate_scores(self.df, new, self.target).collect()}
             self.seen |= {s: found.get(i) for i, s in enumerate(new)}
+        elif self.grams is not None and len(new) > 2 * len(pool := [f for f in self.grams.columns if any(f in s for s in new)]) and len(pool) <= SWEPT:
+            found = self.grams.subset_scores(pool, max(map(len, new)))
+            order = {f: i for i, f in enumerate(pool)}
+            self.seen |= {s: found[key] for s in new if (key := tuple(sorted(s, key=order.__getitem__))) in found}
 
     def __call__(self, features: list[str]) -> Score | None:
         key = tuple(features)

@@ -700,3 +700,28 @@ def test_balanced_objects_in_columns(spark):
         assert r["o"] == (None if r["t"] is None else plain(r["t"])), r["t"]
         if r["t"] is not None:
             assert insights.balanced_object(r["t"]) == plain(r["t"])
+
+
+def test_all_subsets_by_pivots_equal_least_squares():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    names = [f"f{i}" for i in range(8)]
+    x = rng.normal(size=(400, 9))
+    x[:, 3] = x[:, 1] + 0.01 * x[:, 3]  # nearly the same
+    x[:, 8] = x[:, 1] - 2 * x[:, 5] + x[:, 8]
+    whole = np.column_stack([np.ones(400), x])
+    sums = {(r, role): (part := whole[rng.permutation(400)[: 280 if role == "train" else 60]]).T @ part for r in range(gram.REPEATS) for role in ("train", "validate")}
+    g = gram.Grams(names, np.zeros(9), np.ones(9), sums, 400)
+    found = g.subset_scores(names, 6)
+    every = [s for k in range(1, 7) for s in itertools.combinations(names, k)]
+    assert set(found) == set(every)
+    assert max(abs(found[s] - g.score(list(s))) for s in every) < 1e-9
+    whole[:, 2] = whole[:, 1] * 3  # dependent: left to least squares
+    bad = {key: whole.T @ whole for key in sums}
+    assert gram.Grams(names, np.zeros(9), np.ones(9), bad, 400).subset_scores(names, 6) == {}
+    score = train.Scorer.__new__(train.Scorer)
+    score.kind, score.grams, score.seen = "regression", g, {}
+    best = select.exhaustive(names, score, 6, 0.001)
+    plain = select.exhaustive(names, g.score, 6, 0.001)
+    assert best[0] == plain[0] and best[1] == pytest.approx(plain[1])
