@@ -6,16 +6,17 @@ a lost executor costs a re-read and not a failed job.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import new_path, remove, scratch, shared_dir, written
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "byte_values", "cut", "each_bytes", "free_name", "id_and_text", "new_path", "remove", "scratch", "shared_dir", "small", "table"]
+
 #: The ASCII white space of the operators' contracts: \x20 and \x09 to \x0D.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -23,43 +24,9 @@ SPACE = b" \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none, a temporary one, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-loom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-#: Folders, below the shared one, that ``new_path`` writes to; the innermost of the ``scratch`` blocks that are open.
-_FOLDERS: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_FOLDERS[-1] if _FOLDERS else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What ``cut`` writes within the block goes when the block ends; results must be written elsewhere by then."""
-    folder = new_path(spark, "scratch")
-    _FOLDERS.append(folder)
-    try:
-        yield
-    finally:
-        _FOLDERS.remove(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: it ends the lineage, and runs once."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def byte_values(column: pa.Array) -> list[bytes | None]:

@@ -163,6 +163,11 @@ def forest(fps: np.ndarray, max_bits: int, min_bytes: int, sure_bits: int | None
     return out
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """Few rows from which many are made, dealt to as many tasks as a shuffle has."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+
+
 def links(nodes: DataFrame, lanes: int, max_bits: int, min_bytes: int, block: int = BLOCK, wide_from: int = WIDE_FROM, sure_bits: int | None = None) -> DataFrame:
     """(a, b, sure): links between distinct fingerprints that keep every component together; all are sure
     unless ``sure_bits`` leaves those of more bits to be verified."""
@@ -173,7 +178,8 @@ def links(nodes: DataFrame, lanes: int, max_bits: int, min_bytes: int, block: in
     carried = names if lanes == 1 else ["spread"]
     nodes = nodes.withColumn("spread", F.xxhash64(*names))  # blocks follow the fingerprints, so that reruns agree
     split = F.explode(F.array(*[F.struct(F.lit(k).alias("lane"), F.col(n).alias("bytes")) for k, n in enumerate(names)])).alias("of")
-    posted = nodes.select("node", *carried, split).select("node", *carried, "of.*").select("node", *carried, F.explode(F.array(*keys)).alias("key"))
+    posted = spread(nodes).select("node", *carried, split).select("node", *carried, "of.*").select("node", *carried, F.explode(F.array(*keys)).alias("key"))
+    posted = posted.repartition("key")  # one exchange for both uses
     held = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = posted.join(held, "key").withColumn("blocks", F.ceil(F.col("n") / block))
     met = met.withColumn("mine", F.pmod(F.xxhash64(*carried), F.col("blocks")))
@@ -357,7 +363,7 @@ def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes
     owned = nodes.where("first IS NOT NULL").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = prefixes(docs, common_shingles(docs, words, block), words, lanes, similarity).withColumnRenamed("doc_id", "first")
     of = cut(of.join(owned, [*names, "first"]).select("node", *carried, "wide", "prefix").dropDuplicates(["node"]), "prefixes")
-    posted = of.select("node", "component", F.explode("prefix").alias("key")).repartition("key")  # one exchange for both uses
+    posted = spread(of.select("node", "component", "prefix")).select("node", "component", F.explode("prefix").alias("key")).repartition("key")  # one exchange for both uses
     held = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "n")
     met = cut(posted.join(held, "key"), "met")
     short = met.where(F.col("n") <= block).select("key", F.lit(0).cast("long").alias("part"), "node")
