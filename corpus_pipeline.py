@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, mixing, quality, sharding, simhash
-from sparkloom.llm.common import new_path, scratch, table
+from sparkloom.llm.common import new_path, remove, scratch, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, "stage-" + name.replace(" ", "-"))
         with scratch(spark):  # what a stage writes on its way goes once its result is there
             done = stage(spark, docs, sf_dir)
             done.write.parquet(path)
         docs = spark.read.schema(done.schema).parquet(path)
+        if before is not None:  # so does the stage before it: the result reads the last one alone
+            remove(spark, before)
+        before = path
     return docs
