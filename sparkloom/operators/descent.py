@@ -46,7 +46,11 @@ LEAST_ROWS, LEAST_VALIDATION = 40, 5
 
 
 def squash(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
+    """The sigmoid of new scores, in their place."""
+    np.clip(z, -30.0, 30.0, out=z)
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1.0
+    return np.reciprocal(z, out=z)
 
 
 @dataclass
@@ -120,7 +124,10 @@ def gradients(block: Block, plan: Plan, w: np.ndarray) -> np.ndarray:
             for c in _tiles(len(models), TILE_MODELS):
                 columns = slice(models.start + c.start, models.start + c.stop)
                 for r in _tiles(len(x), TILE_ROWS):
-                    out[:, columns] += x[r].T @ ((squash(x[r] @ w[:, columns]) - truth[r]) * weight[r])
+                    miss = squash(x[r] @ w[:, columns])
+                    miss -= truth[r]
+                    miss *= weight[r]
+                    out[:, columns] += x[r].T @ miss
     return out
 
 
