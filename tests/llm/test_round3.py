@@ -325,3 +325,41 @@ def test_forward_pass_one_document_at_a_time():
         a = [np.exp(v) / sum(np.exp(e)) for v in e]
         z = sum(w * v for w, v in zip(a, h, strict=True))
         assert y == pytest.approx(1 / (1 + np.exp(-(z @ p["wo"] + p["bo"][0]))))
+
+
+# what the queries return ---------------------------------------------------------------------------
+
+CONTRACT = {
+    "op1_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op3_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op4_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op5_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op6_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op7_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op8_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op12_infill": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op13_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_queries_return_what_their_contract_names(spark, name):
+    found = queries.QUERIES[name](spark, SMALL)
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+    assert {c: kinds.get(c) for c in (p.split()[0] for p in CONTRACT[name].split(", "))} == dict(p.split() for p in CONTRACT[name].split(", "))
+    rows = found.collect()
+    per_document = name not in ("op11_packing", "op13_whitening")
+    if per_document:
+        assert sorted(r["doc_id"] for r in rows) == list(range(200))
+    for column in (c for c in kinds if c.endswith("sha256")):
+        assert all(re.fullmatch("[0-9a-f]{64}", r[column]) for r in rows)
+    if name == "op3_simhash":
+        assert all(re.fullmatch("[0-9a-f]{16}", r["fingerprint"]) for r in rows)
+    if name == "op10_sharding":
+        slots = {}
+        for r in rows:
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {r["law"] for r in rows} == {"bytes"}
