@@ -18,7 +18,7 @@ like any other; rows with a null doc_id take part, but never give a component it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -282,16 +282,6 @@ def parities(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
 
 
-def _may_share(pairs: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose wide parities allow the similarity: they differ in no more bits than the sets in shingles."""
-    own = of.select("node", "size", "wide")
-    for end in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}")), end)
-    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    most = (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
-    return pairs.where(differ <= most).select("a", "b")
-
-
 def prefixes(docs: DataFrame, common: np.ndarray, words: int, lanes: int, similarity: float) -> DataFrame:
     """doc_id, fp0 (fp1, ...), size, p0 ... and wide (parity of the shingles in each bit) and prefix of every row with words.
 
@@ -322,17 +312,53 @@ def prefixes(docs: DataFrame, common: np.ndarray, words: int, lanes: int, simila
     return id_and_text(docs).mapInArrow(of, ", ".join(["doc_id long", *(f"{x} long" for x in names), "wide array<long>", "prefix array<long>"]))
 
 
-def _across(group: np.ndarray, component: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of different components whose sizes and parities allow the similarity; none that has it is left out."""
-    out = []
+def _across(group: np.ndarray, component: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of different components whose sizes and parities allow the similarity, by first members; none that has it is left out."""
     for k, a in enumerate(group[:-1].tolist()):
         b = group[k + 1 :]
         b = b[component[b] != component[a]]
+        b = b[np.minimum(size[b], size[a]) >= similarity * np.maximum(size[b], size[a]) - 1e-6]
         both = size[b] + size[a]
         differ = np.bitwise_count(parity[b] ^ parity[a]).sum(axis=1)  # no more than shingles in one set only
-        ok = (np.minimum(size[b], size[a]) >= similarity * np.maximum(size[b], size[a]) - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * both + 1e-6)
-        out += [(a, x) for x in b[ok].tolist()]
-    return out
+        b = b[differ <= (1 - similarity) / (1 + similarity) * both + 1e-6]
+        if len(b):
+            yield a, b
+
+
+def _clusters(group: np.ndarray, pairs: Iterator[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+    """The members of a group that some pair holds, those that pairs connect together."""
+    first = group[0]
+    label = np.arange(len(group))
+    for a, b in pairs:
+        ends = np.r_[a, b] - first
+        old = np.unique(label[ends])
+        label[np.isin(label, old[1:])] = old[0]
+    order = np.argsort(label, kind="stable")
+    parts = np.split(group[order], np.flatnonzero(np.diff(label[order])) + 1)
+    return [p for p in parts if len(p) > 1]
+
+
+def _groups(whole: pd.DataFrame, by: list[str]) -> list[np.ndarray]:
+    new = np.zeros(max(0, len(whole) - 1), dtype=bool)
+    for c in by:
+        x = whole[c].to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.split(np.arange(len(whole)), np.flatnonzero(new) + 1)
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], by: list[str], found: Callable[[pd.DataFrame, list[np.ndarray]], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What is found in sorted rows and the groups of equal ``by`` in them, which are whole."""
+    rest: pd.DataFrame | None = None  # the last group may go on in the next batch
+    for batch in batches:
+        whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if whole.empty:
+            continue
+        *full, last = _groups(whole, by)
+        rest = whole.iloc[last[0] :].reset_index(drop=True)
+        if full:
+            yield found(whole.iloc[: last[0]].reset_index(drop=True), full)
+    if rest is not None and len(rest):
+        yield found(rest, _groups(rest, by))
 
 
 def _dealt_long(met: DataFrame, block: int) -> DataFrame:
@@ -370,32 +396,37 @@ def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes
     met = short.unionByName(_dealt_long(met.where(F.col("n") > block), block))
     dealt = met.join(of.select("node", *carried), "node").repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found(whole: pd.DataFrame) -> pd.DataFrame:
-            node, key, part = (whole[c].to_numpy() for c in ("node", "key", "part"))
-            component, size = whole["component"].to_numpy(), whole["size"].to_numpy()
+    def partnered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(whole: pd.DataFrame, groups: list[np.ndarray]) -> pd.DataFrame:
+            node, component, size = (whole[c].to_numpy() for c in ("node", "component", "size"))
             parity = np.ascontiguousarray(whole[carried[1:-1]].to_numpy(np.int64)).view(np.uint64)
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            out: list[tuple[int, int]] = []
-            for group in np.split(np.arange(len(whole)), new[1:]):
-                out += _across(group, component, size, parity, similarity)
-            both = np.sort(node[np.array(out, dtype=np.int64).reshape(-1, 2)], axis=1)
+            members: dict[int, np.ndarray] = {}
+            for group in groups:
+                for held in _clusters(group, _across(group, component, size, parity, similarity)):
+                    own = node[held]  # sorted
+                    members[xxhash.xxh64_intdigest(own.tobytes(), 42)] = own
+            keys = np.repeat(np.array(list(members), dtype="<u8").view("<i8"), np.array([len(x) for x in members.values()], dtype=np.int64))
+            return pd.DataFrame({"cluster": keys, "node": np.concatenate([np.zeros(0, dtype=np.int64), *members.values()])})
+
+        return _whole_groups(batches, ["key", "part"], found)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(whole: pd.DataFrame, groups: list[np.ndarray]) -> pd.DataFrame:
+            node, component, size = (whole[c].to_numpy() for c in ("node", "component", "size"))
+            parity = np.stack(whole["wide"].to_list()).view(np.uint64)
+            pairs = [np.zeros((0, 2), dtype=np.int64)]
+            for group in groups:
+                pairs += [np.column_stack([np.full(len(b), a), b]) for a, b in _across(group, component, size, parity, similarity)]
+            both = np.sort(node[np.concatenate(pairs)], axis=1)
             return pd.DataFrame({"a": both[:, 1], "b": both[:, 0]}).drop_duplicates()
 
-        rest: pd.DataFrame | None = None  # the last group may go on in the next batch
-        for batch in batches:
-            whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if whole.empty:
-                continue
-            last = (whole["key"] == whole["key"].iloc[-1]) & (whole["part"] == whole["part"].iloc[-1])
-            cut_at = int(np.argmax(last.to_numpy()))
-            rest = whole.iloc[cut_at:].reset_index(drop=True)
-            if cut_at:
-                yield found(whole.iloc[:cut_at].reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield found(rest)
+        return _whole_groups(batches, ["cluster"], found)
 
-    return _may_share(cut(dealt.mapInPandas(near, "a long, b long").distinct(), "candidates"), of, similarity)
+    # Wide bitmaps travel with the members of clusters, which grow with the input, and not with pairs of them. Texts that
+    # share much meet under many shingles: equal clusters go on once.
+    held = cut(dealt.mapInPandas(partnered, "cluster long, node long").distinct(), "clusters")
+    again = held.join(of.select("node", "component", "size", "wide"), "node").repartition("cluster").sortWithinPartitions("cluster", "node")
+    return again.mapInPandas(near, "a long, b long").distinct()
 
 
 def near_duplicates(

@@ -363,3 +363,26 @@ def test_queries_return_what_their_contract_names(spark, name):
         for r in rows:
             slots.setdefault(r["shard"], []).append(r["slot"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {r["law"] for r in rows} == {"bytes"}
+
+
+def test_texts_that_share_a_passage_are_not_written_as_pairs(spark, monkeypatch):
+    """Long unrelated texts with one passage in common: every table on the way stays in proportion to them."""
+    from sparkloom.llm import simhash
+
+    rng, n = np.random.default_rng(5), 48
+    passage = " ".join(f"common{k}" for k in range(24))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 1500)) + " " + passage for _ in range(n)]
+    texts += [texts[0] + " once more", texts[1] + " once more"]  # near copies
+    rows, cut = {}, simhash.cut
+
+    def counted(df, name):
+        done = cut(df, name)
+        rows[name] = done.count()
+        return done
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == set(range(n))
+    assert rows["met"] >= n  # the passage is met
+    assert max(rows.values()) < n * (n - 1) // 2
