@@ -99,4 +99,5 @@ def mentions(text: Column, name: str) -> Column:
     if len(name) < 2:
         return F.lit(False)
     safe = "".join("\\" + c if not c.isalnum() and c != "_" and not c.isspace() else c for c in name.lower())
-    return F.lower(text).rlike(f"(^|[^a-z0-9_]){safe}($|[^a-z0-9_])")
+    # the name first, what stands before it after: only places of the name are looked at
+    return F.lower(text).rlike(f"{safe}(?<![a-z0-9_]{safe})(?![a-z0-9_])")

@@ -397,8 +397,9 @@ NAMES = ("the", "de", "und", "qty_1", "a")
 
 @query("mentioned_columns", union([f"SELECT doc_id, '{n}' AS name FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_]){n}($|[^a-z0-9_])')" for n in NAMES if len(n) > 1]))
 def _(spark, d):
-    found = F.array_compact(F.array(*[F.when(v.mentions(F.col("text"), n), F.lit(n)) for n in NAMES]))
-    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("name"))
+    # names are found once a text, and not again in a filter that Spark derives from the explode
+    found = F.explode(F.array(*[F.when(v.mentions(F.col("text"), n), F.lit(n)) for n in NAMES]))
+    return table(spark, d, "documents").select("doc_id", found.alias("name")).where("name is not null")
 
 
 # charts --------------------------------------------------------------------------------------------

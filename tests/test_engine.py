@@ -725,3 +725,10 @@ def test_all_subsets_by_pivots_equal_least_squares():
     best = select.exhaustive(names, score, 6, 0.001)
     plain = select.exhaustive(names, g.score, 6, 0.001)
     assert best[0] == plain[0] and best[1] == pytest.approx(plain[1])
+
+
+def test_mentioned_columns_searches_each_text_once(spark):
+    from sparkloom.plans.catalogue import NAMES, QUERIES
+
+    plan = QUERIES["mentioned_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == sum(len(n) > 1 for n in NAMES)
