@@ -41,6 +41,8 @@ COUNTERS = 1 << 20
 COUNTER_ROWS = 64
 #: 64-bit words of a shingle set's parity bitmap: of the one that goes with every posting, and of the one of candidate pairs.
 PARITY, WIDE_PARITY = 8, 64
+#: Shingles of one block of a group whose texts are compared in a task; a part holds two blocks.
+SHINGLES = 1 << 19
 
 
 def shingles(text: bytes | None, words: int) -> list[bytes]:
@@ -227,14 +229,18 @@ def links(nodes: DataFrame, lanes: int, max_bits: int, min_bytes: int, block: in
     return dealt.mapInPandas(near, "a long, b long, sure boolean").distinct()
 
 
-def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, lanes: int, similarity: float) -> DataFrame:
-    """(a, b) of the edges whose texts share ``similarity`` of their distinct shingles; only such texts are read."""
+def _grams(ends: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(node, grams): the hashes of the distinct shingles of these nodes' texts; no other texts are read."""
     names = [f"fp{k}" for k in range(lanes)]
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     ends = cut(ends.join(nodes, "node").where("first IS NOT NULL").select("node", *names, "first"), "ends")
     texts = id_and_text(docs).join(small(ends.select(F.col("first").alias("doc_id")).distinct(), 16), "doc_id", "left_semi")
     grams = fingerprints(texts, words, lanes, distinct=True, grams=True).dropDuplicates(names)
-    grams = cut(ends.join(grams, names).select("node", "grams"), "grams")
+    return cut(ends.join(grams, names).select("node", "grams"), "grams")
+
+
+def similar(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, lanes: int, similarity: float) -> DataFrame:
+    """(a, b) of the edges whose texts share ``similarity`` of their distinct shingles; only such texts are read."""
+    grams = _grams(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), nodes, docs, words, lanes)
     both = edges.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
@@ -338,6 +344,20 @@ def _clusters(group: np.ndarray, pairs: Iterator[tuple[int, np.ndarray]]) -> lis
     return [p for p in parts if len(p) > 1]
 
 
+def _joining(group: np.ndarray, label: np.ndarray, pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Of the pairs as few as connect all that the pairs and equal labels connect; the group's labels are made equal on the way."""
+    for a, b in pairs:
+        own, at = np.unique(label[b], return_index=True)
+        new = own != label[a]
+        yield from ((a, x) for x in b[at[new]].tolist())
+        label[group[np.isin(label[group], own[new])]] = label[a]
+
+
+def _ends(node: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
+    both = np.sort(node[np.array(edges, dtype=np.int64).reshape(-1, 2)], axis=1)
+    return pd.DataFrame({"a": both[:, 1], "b": both[:, 0]}).drop_duplicates()
+
+
 def _groups(whole: pd.DataFrame, by: list[str]) -> list[np.ndarray]:
     new = np.zeros(max(0, len(whole) - 1), dtype=bool)
     for c in by:
@@ -380,7 +400,8 @@ def _dealt_long(met: DataFrame, block: int) -> DataFrame:
 
 
 def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): every pair of nodes of different components (parts) that may share ``similarity`` of its shingles.
+    """(a, b): edges that connect every two nodes of different components (parts) that may share ``similarity`` of their
+    shingles, directly or over others; of a group of such nodes no more than a forest for each posting list.
 
     Nodes meet under each shingle of their prefixes, so no such pair is left out. Nodes without doc_id have no text.
     """
@@ -414,11 +435,9 @@ def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes
         def found(whole: pd.DataFrame, groups: list[np.ndarray]) -> pd.DataFrame:
             node, component, size = (whole[c].to_numpy() for c in ("node", "component", "size"))
             parity = np.stack(whole["wide"].to_list()).view(np.uint64)
-            pairs = [np.zeros((0, 2), dtype=np.int64)]
-            for group in groups:
-                pairs += [np.column_stack([np.full(len(b), a), b]) for a, b in _across(group, component, size, parity, similarity)]
-            both = np.sort(node[np.concatenate(pairs)], axis=1)
-            return pd.DataFrame({"a": both[:, 1], "b": both[:, 0]}).drop_duplicates()
+            label = np.arange(len(whole))  # components have to be told apart as they are, whatever edges connect
+            edges = [e for group in groups for e in _joining(group, label, _across(group, component, size, parity, similarity))]
+            return _ends(node, edges)
 
         return _whole_groups(batches, ["cluster"], found)
 
@@ -429,6 +448,52 @@ def apart(nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes
     return again.mapInPandas(near, "a long, b long").distinct()
 
 
+def linked(edges: DataFrame, nodes: DataFrame, parts: DataFrame, docs: DataFrame, words: int, lanes: int, similarity: float, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
+    """(a, b): links between texts that share ``similarity`` of their distinct shingles, as few as join all components (parts)
+    that such links between connected nodes of the edges join.
+
+    Texts of a group that edges connect are compared in the task that holds their shingles, so no pair leaves it that
+    joins nothing. Large groups are dealt out in blocks, each pair of which is a part.
+    """
+    of = cut(components(edges).withColumnRenamed("component", "group"), "groups")
+    of = of.join(_grams(of.select("node"), nodes, docs, words, lanes), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = cut(of, "grouped")
+    held = of.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("grams")).alias("grams"))
+    blocks = held.where("n > 1").select("group", F.ceil(F.greatest(F.col("n") / block, F.col("grams") / shingles)).cast("long").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), "blocks")
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.least(mine, other) * F.col("blocks") + F.greatest(mine, other))
+    dealt = of.join(blocks, "group").select("group", F.explode(each).alias("part"), "node", "component", "grams")
+    dealt = dealt.repartition("group", "part").sortWithinPartitions("group", "part", "node")
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(whole: pd.DataFrame, groups: list[np.ndarray]) -> pd.DataFrame:
+            node, label = whole["node"].to_numpy(), whole["component"].to_numpy().copy()
+            grams = [x.view(np.uint64) for x in whole["grams"]]
+            size = np.array([len(x) for x in grams])
+            parity = np.stack([parities(x, WIDE_PARITY) for x in grams])
+            edges: list[tuple[int, int]] = []
+            for group in groups:
+                number = np.unique(np.concatenate([grams[i] for i in group]), return_inverse=True)[1]
+                start = np.r_[0, np.cumsum(size[group])]
+                held = dict(zip(group.tolist(), np.split(number, start[1:-1]), strict=True))
+                mark = np.zeros(len(number), dtype=bool)
+
+                def alike() -> Iterator[tuple[int, np.ndarray]]:
+                    for a, b in _across(group, label, size, parity, similarity):  # noqa: B023
+                        mark[held[a]] = True  # noqa: B023
+                        at = np.r_[0, np.cumsum(size[b])[:-1]]
+                        shared = np.add.reduceat(mark[np.concatenate([held[x] for x in b.tolist()])], at, dtype=np.int64)  # noqa: B023
+                        mark[held[a]] = False  # noqa: B023
+                        yield a, b[shared >= similarity * (size[a] + size[b] - shared)]
+
+                edges += _joining(group, label, alike())
+            return _ends(node, edges)
+
+        return _whole_groups(batches, ["group", "part"], found)
+
+    return dealt.mapInPandas(verified, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 3, lanes: int = 1, max_bits: int = 3, min_bytes: int | None = None, block: int = BLOCK, wide_from: int = WIDE_FROM, sure_bits: int | None = None, similarity: float = 0.8
 ) -> DataFrame:
@@ -454,7 +519,7 @@ def near_duplicates(
     if sure_bits is not None:
         # what the index or its forests passed over: all pairs between the components so far, by their shingles
         parts = cut(parts, "parts")
-        more = similar(cut(apart(nodes, parts, docs, words, lanes, similarity, block), "apart"), nodes, docs, words, lanes, similarity)
+        more = linked(cut(apart(nodes, parts, docs, words, lanes, similarity, block), "apart"), nodes, parts, docs, words, lanes, similarity, block)
         # components that these links join are few: the graph is that of components from here on
         of_end = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
         across = more.join(of_end("a"), "a", "left").join(of_end("b"), "b", "left")

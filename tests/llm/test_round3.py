@@ -386,3 +386,48 @@ def test_texts_that_share_a_passage_are_not_written_as_pairs(spark, monkeypatch)
     assert kept == set(range(n))
     assert rows["met"] >= n  # the passage is met
     assert max(rows.values()) < n * (n - 1) // 2
+
+
+def test_texts_just_below_the_similarity_are_not_written_as_pairs(spark, monkeypatch):
+    """Texts that share 0.798 of their shingles with each other, which bitmaps can't tell from 0.8, and a few that share more."""
+    n = 48
+    base = " ".join(f"shared{k}" for k in range(804))  # 800 shingles; 101 more with the words of each text
+    texts = [base + " " + " ".join(f"own{i}x{k}" for k in range(101)) for i in range(n)]
+    texts += [texts[i] + " " + " ".join(f"more{i}x{k}" for k in range(40)) for i in (0, 7, 31)]
+    rows, cut = {}, simhash.cut
+
+    def counted(df, name):
+        done = cut(df, name)
+        rows[name] = rows.get(name, 0) + done.count()
+        return done
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    found = simhash.near_duplicates(texts_of(spark, list(enumerate(texts))), 5, 4, 56, 3, sure_bits=28, similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i for i in range(n)} | {n: 0, n + 1: 7, n + 2: 31}
+    assert rows["clusters"] >= n  # they meet
+    assert rows["apart"] < n * (n - 1) // 4  # 1,128 pairs
+
+
+def test_verified_links_in_blocks(spark):
+    """Whatever the size of blocks, links join the components that all similar pairs of a group join."""
+    rng = random.Random(4)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(6)]
+    for _ in range(54):
+        copy = list(rng.choice(texts))
+        for _ in range(rng.randint(0, 2)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+        texts.append(copy)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    frame = texts_of(spark, docs)
+    nodes = simhash.fingerprints(frame, 5, 4, distinct=True).groupBy("fp0", "fp1", "fp2", "fp3").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("first")).localCheckpoint()
+    ids = sorted(r["node"] for r in nodes.collect())
+    chain = spark.createDataFrame([(b, a) for a, b in zip(ids, ids[1:], strict=False)], "a long, b long")
+    none = spark.createDataFrame([], "node long, component long")
+    want = shared_components([d for d in docs if d[0] in ids], 5, 0.8)
+    for block, shingles in ((2048, 1 << 19), (7, 1 << 19), (2048, 300)):
+        edges = {(r["a"], r["b"]) for r in simhash.linked(chain, nodes, none, frame, 5, 4, 0.8, block, shingles).collect()}
+        top = {i: i for i in ids}
+        for a, b in edges:
+            low, high = sorted((top[a], top[b]))
+            top = {i: low if x == high else x for i, x in top.items()}
+        assert top == want
