@@ -11,19 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm import decontaminate, mixing, quality, sharding, simhash
 from sparkloom.llm.common import new_path, remove, scratch, table
 
+#: Bytes of texts that go to a Python worker at once. Spark's own bound, 64 MB, takes a multiple of that in each task: in the
+#: buffers of the JVM, in the worker, and in what the worker makes of them. Results do not depend on it.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """From here on in the session, as stages run only when their result is written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    in_small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest doc_id stays."""
+    in_small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; documents that are mostly benchmark go."""
+    in_small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

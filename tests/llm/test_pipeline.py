@@ -80,3 +80,24 @@ def test_shards_hold_every_copy(stages):
 
 def test_run_is_the_stages_in_turn(spark, stages):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "size").collect())) == Counter(map(tuple, stages[5].select("doc_id", "size").collect()))
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    """A stage's Python gets a few MB at once, whatever the table holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = [(i, f"{i} " * 25_000) for i in range(150)]  # 12 MB
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes], pa.int64())})
+
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.one_of_each(spark, docs.limit(3), SF)
+        assert max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect()) < 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
