@@ -81,19 +81,22 @@ def associations(df: DataFrame, texts: Sequence[str], numbers: Sequence[str]) ->
         return df.sparkSession.createDataFrame([], "i int, j int, col_a string, col_b string, measure string, value double")
     shift = np.array([f["mean"] for f in column_facts(df, numbers)]) if numbers else np.zeros(0)
     found = cells(df, texts, numbers, shift)
-    pair = ["i", "j"]
-    total = lambda by: F.sum("n").over(Window.partitionBy(*pair, by))
-    both = found.where(F.col("j") < len(texts)).withColumn("na", total("a").cast("double")).withColumn("nb", total("b").cast("double"))
+    # both measures from one aggregate of each pair, so that the cells are counted once
+    pair, two_texts = ["i", "j"], F.col("j") < len(texts)
+    total = lambda by: F.sum("n").over(Window.partitionBy(*pair, by)).cast("double")
+    found = found.withColumn("na", total("a")).withColumn("nb", total(F.coalesce("b", "a")))
     # a level's share of its margin adds up to 1, so such sums count the levels
-    n, s = F.sum("n").cast("double"), F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb")))
     levels = lambda margin: F.round(F.sum(F.col("n") / F.col(margin)))
-    v = both.groupBy(*pair).agg(n.alias("n"), s.alias("s"), (F.least(levels("na"), levels("nb")) - 1).alias("degrees"))
-    chi = F.greatest(F.lit(0.0), F.col("n") * (F.col("s") - 1))
-    v = v.select(*pair, F.lit("v").alias("measure"), F.when(F.col("degrees") > 0, F.sqrt(chi / F.nullif(F.col("n") * F.col("degrees"), F.lit(0.0)))).otherwise(0.0).alias("value"))
     part = F.col("s") * F.col("s") / F.col("n")
-    e = found.where(F.col("j") >= len(texts)).groupBy(*pair).agg(F.count(F.lit(1)).alias("levels"), (F.sum(part) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"), F.sum(F.col("ss") - part).alias("within"), F.sum("ss").alias("square"))
+    facts = found.groupBy(*pair).agg(
+        F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("share"), (F.least(levels("na"), levels("nb")) - 1).alias("degrees"),
+        F.count(F.lit(1)).alias("levels"), (F.sum(part) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"), F.sum(F.col("ss") - part).alias("within"), F.sum("ss").alias("square"),
+    )
+    chi = F.greatest(F.lit(0.0), F.col("n") * (F.col("share") - 1))
+    v = F.when(F.col("degrees") > 0, F.sqrt(chi / F.nullif(F.col("n") * F.col("degrees"), F.lit(0.0)))).otherwise(0.0)
     between, within = F.greatest("between", F.lit(0.0)), F.greatest("within", F.lit(0.0))
     varies = (F.col("levels") > 1) & (between + within > 1e-13 * F.col("square"))
-    e = e.select(*pair, F.lit("eta").alias("measure"), F.when(varies, F.sqrt(between / F.nullif(between + within, F.lit(0.0)))).otherwise(0.0).alias("value"))
+    eta = F.when(varies, F.sqrt(between / F.nullif(between + within, F.lit(0.0)))).otherwise(0.0)
+    measured = facts.select(*pair, F.when(two_texts, "v").otherwise("eta").alias("measure"), F.when(two_texts, v).otherwise(eta).alias("value"))
     names = F.array(*map(F.lit, [*texts, *numbers]))
-    return v.unionByName(e).select(*pair, names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"), "measure", "value")
+    return measured.select(*pair, names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"), "measure", "value")

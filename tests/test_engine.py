@@ -732,3 +732,13 @@ def test_mentioned_columns_searches_each_text_once(spark):
 
     plan = QUERIES["mentioned_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == sum(len(n) > 1 for n in NAMES)
+
+
+def test_associations_count_their_cells_once(spark):
+    """Pairs of texts and pairs with a number come from the same scan."""
+    from sparkloom.operators import cube
+
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0), ("a", "y", 4.0)], "s string, t string, n double")
+    found = cube.associations(df, ["s", "t"], ["n"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r["measure"] for r in found.collect()) == ["eta", "eta", "v"]
