@@ -13,12 +13,18 @@ from sparkloom.llm.common import new_path, remove, scratch, table
 
 #: Bytes of texts that go to a Python worker at once. Spark's own bound, 64 MB, takes a multiple of that in each task: in the
 #: buffers of the JVM, in the worker, and in what the worker makes of them. Results do not depend on it.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Bytes of texts that a task holds back as it writes Parquet, and that it reads at once; Spark's own bound is 128 MB. A page
+#: stays small enough for the heap's regions, and a batch of the reader holds so many rows, not 4096 whole texts.
+GROUP_BYTES, PAGE_BYTES, READ_ROWS = 8 << 20, 256 << 10, 512
 
 
 def in_small_batches(spark: SparkSession) -> None:
     """From here on in the session, as stages run only when their result is written."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("parquet.block.size", str(GROUP_BYTES))
+    spark.conf.set("parquet.page.size", str(PAGE_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +47,13 @@ def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
+    in_small_batches(spark)
     return mixing.mix(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and slot of every document copy."""
+    in_small_batches(spark)
     return sharding.packed(docs, shards=8)
 
 

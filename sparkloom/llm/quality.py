@@ -153,9 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS,
     for r in sorted(sized, key=lambda r: (r["h"], r["doc_id"])):
         if r["n"] <= left:  # one that is too long is passed over, and ends nothing
             left -= r["n"]
-            taken.append((r["doc_id"],))
+            taken.append(r["doc_id"])
     if len(taken) < len(sized):
-        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id", "left_semi")
+        few = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(taken, pa.int64())}), "doc_id long")  # as Arrow it needs no Python workers
+        rows = rows.join(F.broadcast(few), "doc_id", "left_semi")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,7 +150,8 @@ def _runs(spark: SparkSession, classes: list[tuple[int, int]], runs: list[tuple[
         out.append((classes[at][0], start, n, classes[at][1], shard))
         last, start = at, start + n
     names = ["total", "start", "n", "of_class", "shard"]
-    frame = pd.DataFrame(out, columns=names).astype(np.int64)
+    columns = np.array(out, dtype=np.int64).reshape(-1, len(names)).T
+    frame = pa.table([pa.array(c) for c in columns], names)  # as Arrow it needs no Python workers
     return cut(spark.createDataFrame(frame, "total long, start long, n long, of_class long, shard long").withColumn("shard", F.col("shard").cast("int")), "runs")
 
 

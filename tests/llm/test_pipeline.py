@@ -2,10 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from sparkloom.llm import quality, simhash
+from sparkloom.llm import quality, sharding, simhash
 from sparkloom.llm.common import cut, table
 from tests.llm.test_operators import hits_brute, targets_brute, words
 
@@ -101,3 +102,22 @@ def test_stages_hand_texts_to_python_in_small_batches(spark):
         assert max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect()) < 2 * corpus_pipeline.BATCH_BYTES
     finally:
         spark.conf.set(key, before)
+
+
+def test_stages_write_and_read_in_bounded_pieces(spark, tmp_path):
+    """No row group of a stage's result holds more than a bound of texts, however large the task's part."""
+    rows = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 1000), i -> sha2(concat(id, ':', i), 256)), ' ') AS text", "'a' AS source")
+    path = str(tmp_path / "mixed")
+    mixed = corpus_pipeline.mixed(spark, cut(rows, "long-texts"), SF)
+    mixed.coalesce(1).write.parquet(path)
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("mixed/*.parquet")]
+    groups = [f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)]
+    assert sum(groups) > 4 * corpus_pipeline.GROUP_BYTES and max(groups) < 1.5 * corpus_pipeline.GROUP_BYTES
+
+
+def test_runs_reach_spark_without_python_workers(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "cut", lambda df, name: df)
+    runs = sharding._runs(spark, [(9, 2), (4, 3)], [(0, 2, 1), (1, 2, 0), (1, 1, 1)])
+    assert sorted(map(tuple, runs.collect())) == [(4, 0, 2, 3, 0), (4, 2, 1, 3, 1), (9, 0, 2, 2, 1)]
+    assert "ExistingRDD" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert sharding._runs(spark, [], []).count() == 0
